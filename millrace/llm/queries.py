@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, url_filter
+from millrace.llm import decontamination, mixing, simhash, url_filter
 from millrace.llm.common import table
 
 #: host, path, verdict
@@ -20,9 +20,19 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op5_mix_sources": op5_mix_sources,
+    "op7_simhash": op7_simhash,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL = {
