@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, mixing, simhash, url_filter
+from millrace.llm import decontamination, mixing, simhash, substring_dedup, url_filter
 from millrace.llm.common import table
 
 #: host, path, verdict
@@ -28,11 +28,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op7_simhash": op7_simhash,
     "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
