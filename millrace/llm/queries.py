@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, language_id, mixing, simhash, substring_dedup, toxicity, url_filter
+from millrace.llm import decontamination, embedding_dedup, language_id, mixing, simhash, substring_dedup, toxicity, url_filter
 from millrace.llm.common import table
 
 #: host, path, verdict
@@ -35,6 +35,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -64,4 +69,14 @@ ORACLE_SQL = {
                  FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, host, path)
         SELECT page_id, host, path, r.rhost || r.rpath AS rule, coalesce(r.verdict, 'allow') AS verdict FROM best
     """,
+    "op8_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+               AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                 WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+        SELECT v.vec_id, (SELECT count(*) FROM link WHERE x = v.vec_id) AS n_links, min(reach.y) AS component_id, v.vec_id = min(reach.y) AS kept
+        FROM v JOIN reach ON reach.x = v.vec_id GROUP BY v.vec_id
+    """,
 }
