@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, embedding_dedup, language_id, mixing, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from millrace.llm import decontamination, embedding_dedup, language_id, mixing, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from millrace.llm.common import table
 
 #: host, path, verdict
@@ -25,6 +25,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality.judge(table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
     "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
     "op5_mix_sources": op5_mix_sources,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
