@@ -139,17 +139,20 @@ class Model:
     calibration: IsotonicRegressionModel | None
     rate: float
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """docs with score (0 to 1) and predicted (1 if score >= 0.5); columns of these names are replaced."""
+    def score(self, docs: DataFrame, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+        """docs with two more columns: the score (0 to 1), and 1 where it is at least 0.5, else 0."""
+        if clash := set(names) & set(docs.columns):
+            raise ValueError(f"these names are results: {sorted(clash)}")
+        score, predicted = names
         if self.trees is None:
-            scored = docs.withColumn("score", F.lit(self.rate))
+            scored = docs.withColumn(score, F.lit(self.rate))
         else:
             held = docs.withColumn("_features", array_to_vector(feature_column(text, self.learned)))
             raw = self.trees.transform(held).withColumn("_raw", vector_to_array("_probability")[1])
             made = self.calibration.transform(raw)
-            scored = made.withColumn("score", F.least(F.greatest("_calibrated", F.lit(0.0)), F.lit(1.0)))
+            scored = made.withColumn(score, F.least(F.greatest("_calibrated", F.lit(0.0)), F.lit(1.0)))
             scored = scored.drop("_features", "_margin", "_probability", "_prediction", "_raw", "_calibrated")
-        return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return scored.withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
 
 
 def held_out(id_col: str) -> Column:
