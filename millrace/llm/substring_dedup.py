@@ -5,8 +5,9 @@ anchors, and a text has few. Suffixes are partitioned by the anchor they hold, a
 share make a tree. The suffixes of a partition, cut at the depth that matters, are named from their words: names of
 one word, two, four and so on up to the window's length, each made of two shorter ones. Suffixes with equal names at
 the full depth are the leaves below one deep internal node, whose smallest document keeps the passage. Where too many
-suffixes share an anchor for one task, the prefix is lengthened to the whole window: each partition is then a single
-node, and its smallest document a plain minimum that is combined before the shuffle.
+suffixes share an anchor for one task, equal stretches of words are found first, of which the smallest document's alone
+goes on, and the prefix is lengthened to the whole window: each partition is then a single node, and its smallest
+document a plain minimum that is combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -83,7 +84,9 @@ def _described(window: int):
 def _segments(window: int):
     """The stretch of words that the windows of each listed anchor cover."""
 
-    kinds = [("h", pa.int64()), ("hot", pa.bool_()), ("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("segment", pa.binary())]
+    kinds = [
+        ("h", pa.int64()), ("hot", pa.bool_()), ("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("digest", pa.binary()), ("segment", pa.binary()),
+    ]
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +94,10 @@ def _segments(window: int):
             rows: list[tuple] = []
             for i, t, value, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = _bytes(value).split()
-                rows += [(a["h"], a["hot"], i, t, a["lo"], b" ".join(words[a["lo"] : a["hi"] + window])) for a in listed]
+                for a in listed:
+                    segment = b" ".join(words[a["lo"] : a["hi"] + window])
+                    digest = hashlib.blake2b(segment, digest_size=16).digest() if a["hot"] else None
+                    rows.append((a["h"], a["hot"], i, t, a["lo"], a["hi"] + window - a["lo"], digest, segment))
                 if len(rows) > 5000:
                     yield made(rows)
                     rows = []
@@ -183,17 +189,23 @@ def repeats(docs: DataFrame, described: DataFrame, window: int, tree_rows: int)
         .filter("a < b")
         .select("h", (F.col("n") > tree_rows).alias("hot"))
     )
+    shared = cut(shared)  # a table of its own, so that the join below can split the rows of one anchor
     listed = anchors.join(shared, "h").groupBy("id", "th").agg(F.collect_list(F.struct("h", "hot", "lo", "hi")).alias("listed"))
     segments = docs.join(listed, ["id", "th"]).select("id", "th", "text", "listed").mapInArrow(
-        _segments(window), "h long, hot boolean, id long, th long, lo int, segment binary"
+        _segments(window), "h long, hot boolean, id long, th long, lo int, n int, digest binary, segment binary"
     )
     segments = cut(segments)
     cold = segments.filter("not hot").select("h", "id", "th", "lo", "segment").repartition("h").sortWithinPartitions("h")
     trees = cold.mapInArrow(_trees(window), "id long, th long, from long, until long")
-    spelt = segments.filter("hot").select("id", "th", "lo", "segment").mapInArrow(_spelt_out(window), "node binary, id long, th long, from long")
-    least = spelt.groupBy("node").agg(F.min("id").alias("least"))
+    hot = segments.filter("hot")
+    first = cut(hot.groupBy("digest").agg(F.min("id").alias("first")))
+    copies = hot.select("digest", "id", "th", "lo", "n").join(first, "digest").filter("id > first")
+    copies = copies.select("id", "th", F.col("lo").cast("long").alias("from"), (F.col("lo") + F.col("n")).cast("long").alias("until"))
+    own = hot.join(first.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi").select("id", "th", "lo", "segment")
+    spelt = cut(own.mapInArrow(_spelt_out(window), "node binary, id long, th long, from long"))
+    least = cut(spelt.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").drop("last"))
     nodes = spelt.join(least, "node").filter("id > least").select("id", "th", "from", (F.col("from") + window).alias("until"))
-    return trees.unionByName(nodes)
+    return trees.unionByName(copies).unionByName(nodes)
 
 
 def dedup(
