@@ -145,14 +145,23 @@ def money_text(amount: Column) -> Column:
     return F.bround(amount, 2).cast("decimal(38,2)").cast("string")
 
 
+def one_decimal(x: Column) -> Column:
+    """A number that is not negative, as text with one decimal. Ties are told from near ties by the exact value of the double; true ones go to even."""
+    n = F.round(x * 20)
+    off = (n - x * 16) - x * 4  # exact: how far the tie n / 20 lies above x
+    half = F.floor(n / 2)
+    up = (off < 0) | ((off == 0) & (half % 2 == 1))
+    tie = (n % 2 == 1) & (x == n / 20)
+    return F.format_string("%.1f", F.when(tie, (half + up.cast("int")) / 10).otherwise(x))
+
+
 def hours_text(hours: Column) -> Column:
     """Hours for people: minutes below one hour, hours below two days, else days."""
-    tenths = lambda c: F.format_string("%.1f", c)
     return (
         F.when(hours.isNull(), "unknown")
-        .when(hours < 1, F.concat(F.format_string("%.0f", hours * 60), F.lit(" min")))
-        .when(hours < 48, F.concat(tenths(hours), F.lit(" h")))
-        .otherwise(F.concat(tenths(hours / 24), F.lit(" d")))
+        .when(hours < 1, F.concat(F.format_string("%.0f", F.rint(hours * 60)), F.lit(" min")))
+        .when(hours < 48, F.concat(one_decimal(hours), F.lit(" h")))
+        .otherwise(F.concat(one_decimal(hours / 24), F.lit(" d")))
     )
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import age_band, age_hours, bucket_start, exact_amount, hours_text, money_text
+from millrace.functions.scalars import age_band, age_hours, bucket_start, exact_amount, hours_text, money_text, one_decimal
 from millrace.model import CONFLICT, CREATED, EXHAUSTED, KEY, POISON, SCHEMA_DRIFT, UPDATED
 
 #: Depth and age in hours from which the queue is an incident.
@@ -158,7 +158,7 @@ def health(ledger: DataFrame, activities: DataFrame) -> DataFrame:
 def dashboard(state: dict[str, DataFrame], deals: DataFrame, as_of: datetime) -> dict[str, DataFrame]:
     """The panels by name, each a table that is ready to show."""
     counts, ledger, dead = funnel(state["ledger"], state["dead_letter"]), state["ledger"], state["dead_letter"]
-    rate = F.coalesce(F.concat(F.format_string("%.1f", F.col("upsert_rate") * 100), F.lit("%")), F.lit("n/a"))
+    rate = F.coalesce(F.concat(one_decimal(F.col("upsert_rate") * 100), F.lit("%")), F.lit("n/a"))
     queue = dead_letter_summary(dead, as_of)
     lag = cursor_lag(state["cursors"], as_of)
     per_source = throughput_by_source(ledger, dead, state["cursors"], state["audit"], as_of)
