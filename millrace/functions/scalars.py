@@ -152,7 +152,7 @@ def one_decimal(x: Column) -> Column:
     half = F.floor(n / 2)
     up = (off < 0) | ((off == 0) & (half % 2 == 1))
     tie = (n % 2 == 1) & (x == n / 20)
-    return F.format_string("%.1f", F.when(tie, (half + up.cast("int")) / 10).otherwise(x))
+    return F.when(x.isNotNull(), F.format_string("%.1f", F.when(tie, (half + up.cast("int")) / 10).otherwise(x)))
 
 
 def hours_text(hours: Column) -> Column:
