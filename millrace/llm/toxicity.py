@@ -26,6 +26,8 @@ from millrace.llm.common import cut
 SAMPLE_ROWS = 12_000
 #: Learned terms, at most, and the toxic texts that must hold one.
 LEARNED_TERMS, LEAST_SUPPORT = 600, 4
+#: Words whose facts a task remembers, before it begins anew.
+MEMO_WORDS = 200_000
 # Plain insults of the four languages, and words that address the reader.
 INSULTS = frozenset(
     "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool jerk dumb "
@@ -50,46 +52,64 @@ def _terms(word: str) -> Iterator[str]:
                 yield word[:n] + "*"
 
 
-def features(text: str | None, learned: dict[str, float]) -> list[float]:
-    """Dense features of a whole text; all zero for a null or blank one."""
-    words = _WORD.findall(text or "")
+def word_facts(raw: str, learned: dict[str, float]) -> tuple[float, ...]:
+    """Of one word: whether it is an insult, a hit of any kind and a form of address, the weight of the best learned term, whether
+    it is a veiled insult, odd, shouted and stretched, and its capitals, punctuation marks and letters."""
+    word = raw.strip(_EDGE)
+    low = word.lower()
+    insult = veiled = odd = False
+    if not low.isalpha():
+        plain = "".join(c for c in low.translate(_LEET) if c.isalpha())
+        odd = bool(low) and any(c.isalpha() for c in low)
+        veiled = odd and plain in INSULTS
+        low = plain if odd else low
+    else:
+        insult = low in INSULTS
+    best = max((learned.get(t, 0.0) for t in (low, low[:4] + "*", low[:5] + "*", low[:6] + "*")), default=0.0)
+    stretched = any(a == b == c for a, b, c in zip(low, low[1:], low[2:], strict=False))
+    return (
+        insult, insult or veiled or bool(best), low in YOU, best, veiled, odd, len(word) > 2 and word.isupper(), stretched,
+        sum(map(str.isupper, raw)), sum(c in _EDGE for c in raw), sum(map(str.isalpha, raw)),
+    )
+
+
+def features(text: str | None, learned: dict[str, float], memo: dict[str, tuple] | None = None) -> list[float]:
+    """Dense features of a whole text; all zero for a null or blank one. memo keeps the facts of words from text to text."""
+    words = (text or "").split()
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    hits, you, insults, known, weight, veiled, odd, shouted, stretched = [], [], 0, 0, 0.0, 0, 0, 0, 0
-    for i, raw in enumerate(words):
-        word = raw.strip(_EDGE)
-        low = word.lower()
-        if not low.isalpha():
-            plain = "".join(c for c in low.translate(_LEET) if c.isalpha())
-            mixed = bool(low) and any(c.isalpha() for c in low)
-            odd += mixed
-            if mixed and plain in INSULTS:
-                veiled += 1
-                hits.append(i)
-            low = plain if mixed else low
-        elif low in INSULTS:
-            insults += 1
-            hits.append(i)
-        if low in YOU:
-            you.append(i)
-        best = max((learned.get(t, 0.0) for t in (low, low[:4] + "*", low[:5] + "*", low[:6] + "*")), default=0.0)
-        if best:
-            known += 1
-            weight = max(weight, best)
-            hits.append(i)
-        shouted += len(word) > 2 and word.isupper()
-        stretched += any(a == b == c for a, b, c in zip(low, low[1:], low[2:], strict=False))
-    chars = max(1, len(text))
+    memo = {} if memo is None else memo
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    total, letters, weight, hit_words, you_words = [0] * 10, 0, 0.0, set(), set()
+    for raw, times in Counter(words).items():
+        held = memo.get(raw)
+        if held is None:
+            *facts, alphabetic = word_facts(raw, learned)
+            held = memo[raw] = (alphabetic, facts if any(facts) else None)
+        letters += times * held[0]
+        if held[1] is None:
+            continue
+        for k, v in enumerate(held[1]):
+            if v:
+                total[k] += times * (v if k != 3 else 1)
+        weight = max(weight, held[1][3])
+        if held[1][1]:
+            hit_words.add(raw)
+        if held[1][2]:
+            you_words.add(raw)
+    insults, _, you, known, veiled, odd, shouted, stretched, capitals, marks = total
     near, j = 0, 0
-    for i in you:
-        while j < len(hits) and hits[j] < i - 5:
-            j += 1
-        near += j < len(hits) and hits[j] <= i + 5
-    letters = sum(map(str.isalpha, text)) or 1
+    if hit_words and you_words:
+        hits = [i for i, w in enumerate(words) if w in hit_words]
+        for i in (i for i, w in enumerate(words) if w in you_words):
+            while j < len(hits) and hits[j] < i - 5:
+                j += 1
+            near += j < len(hits) and hits[j] <= i + 5
     return [
-        insults / n, math.log1p(insults), known / n, math.log1p(known), weight, veiled / n, len(you) / n, near / n,
-        sum(map(str.isupper, text)) / letters, shouted / n, sum(c in _EDGE for c in text) / chars, text.count("!") / chars,
+        insults / n, math.log1p(insults), known / n, math.log1p(known), weight, veiled / n, you / n, near / n,
+        capitals / (letters or 1), shouted / n, marks / len(text), text.count("!") / len(text),
         odd / n, stretched / n, math.log1p(n),
     ]
 
@@ -97,7 +117,8 @@ def features(text: str | None, learned: dict[str, float]) -> list[float]:
 def feature_column(text: str, learned: dict[str, float]) -> Column:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def made(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: features(t, learned))
+        memo: dict[str, tuple] = {}
+        return texts.map(lambda t: features(t, learned, memo))
 
     return made(F.col(text))
 
