@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = "8m"
+
+
+def text_batches(df: DataFrame) -> None:
+    """From now on the session hands rows to Python in batches of a few MB at most, so that a worker's memory does not depend on how long texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 #: Rows up to which a table may be sent whole to every executor.
 BROADCAST_ROWS = 200_000
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import text_batches
 from millrace.llm.windows import chunks
 
 SHINGLE_WORDS = 5
@@ -78,6 +79,7 @@ def contaminated(
     Items go to the executors in blocks of bounded size, one pass over the documents each, so neither table is held
     whole anywhere; with no items the result is empty.
     """
+    text_batches(docs)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, {item_id} {dict(items.dtypes)[item_id]}, n_shingles long, n_found long, containment double"

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import text_batches
 from millrace.llm.toxicity import held_out
 
 BITS = 13
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: st
     The sample takes about ``per_language`` texts of each language, by a hash of the id against its share; what comes
     to the driver is their bucket counts, of fixed width. Document frequencies are of all rows.
     """
+    text_batches(docs)
     known = docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, small_or_plain
+from millrace.llm.common import cut, small_or_plain, text_batches
 
 ORDER = 4
 #: Rows of the model that are sent to the executors at once; a larger model is scored shard by shard.
@@ -175,6 +175,7 @@ def judge(
     trusted text nothing can be judged, the perplexity and the bound are null and all is kept. Repeated rows each give
     a row.
     """
+    text_batches(docs)
     ids = cut(trusted.select(F.col(trusted.columns[0]).alias("id")).filter("id is not null").distinct())
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
     own = base.join(small_or_plain(ids), "id", "left_semi").filter("text <> ''").select("text")

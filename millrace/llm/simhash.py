@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, small_or_plain, sorted_groups, starts
+from millrace.llm.common import cut, small_or_plain, sorted_groups, starts, text_batches
 from millrace.llm.components import components
 
 _SPACE = re.compile(rb"[\x09-\x0D ]")
@@ -217,6 +217,7 @@ def near_duplicates(
     have fingerprint zero and are linked like any other. Repeated rows each give a row; a null id is never the
     smallest, and a component of nothing else has a null component_id. An empty table gives an empty result.
     """
+    text_batches(docs)
     marked = cut(fingerprints(docs, id_col, text, width, seed))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), radius))

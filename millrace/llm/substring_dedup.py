@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, sorted_groups
+from millrace.llm.common import cut, sorted_groups, text_batches
 from millrace.llm.windows import chunks
 
 WINDOW_WORDS = 50
@@ -218,6 +218,7 @@ def dedup(
     nothing. Rows with a null id, and windows that only rows of an equal id share, neither take nor lose anything.
     Repeated rows each give a row, an empty table gives none. Ids are whole numbers.
     """
+    text_batches(docs)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     described = cut(
         base.select("id", "th", "text").mapInArrow(

@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut
+from millrace.llm.common import cut, text_batches
 
 #: Labelled rows that the model is fitted on, at most: the first by a hash of the id.
 SAMPLE_ROWS = 12_000
 #: Learned terms, at most, and the toxic texts that must hold one.
 LEARNED_TERMS, LEAST_SUPPORT = 600, 4
 #: Words whose facts a task remembers, before it begins anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 40_000
 # Plain insults of the four languages, and words that address the reader.
 INSULTS = frozenset(
     "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool jerk dumb "
@@ -116,9 +116,10 @@ def features(text: str | None, learned: dict[str, float], memo: dict[str, tuple]
 
 def feature_column(text: str, learned: dict[str, float]) -> Column:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def made(texts: pd.Series) -> pd.Series:
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict[str, tuple] = {}
-        return texts.map(lambda t: features(t, learned, memo))
+        for texts in batches:
+            yield texts.map(lambda t: features(t, learned, memo))
 
     return made(F.col(text))
 
@@ -187,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     A document with several labels counts as toxic if one says so; null labels and labels without a document are left
     out. The sampled ids (a fixed number) are broadcast, so the documents are read once and not shuffled.
     """
+    text_batches(docs)
     chosen = (
         labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .select(F.col(id_col).alias("_id"), F.xxhash64(F.lit(3), id_col).alias("_h"), F.col(label).cast("int").alias("toxic"))
