@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import backoff_delays, closed_stage, closed_status, domain_of, content_hash, entries_of, hours_text, iso_text, name_of_email, parse_date, strip, utc_timestamp
 from millrace.model import KEY
 from millrace.operators import metrics
-from millrace.operators.merge import applied
 from millrace.operators.normalize import dead_letters, normalize
 from millrace.operators.projections import first_existing
 from millrace.plans.events import AS_OF, decided_events, decided_sql, raw_events, synced_events, table
@@ -119,8 +118,6 @@ def unrecovered_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event, how many of its user's events lie in the 60 seconds up to it, and whether a quota of two admits it."""
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     trailing = Window.partitionBy("user_id").orderBy("us").rangeBetween(-60_000_000 + 1, 0)
     return e.withColumn("in_window", F.count("*").over(trailing)).select("event_id", "in_window", (F.col("in_window") <= 2).alias("admitted"))
@@ -228,6 +225,12 @@ ORACLE_SQL = {
         FROM hours h CROSS JOIN (SELECT DISTINCT source FROM applied) s
         LEFT JOIN applied a ON a.source = s.source AND date_trunc('hour', a.occurred) = h.bucket GROUP BY h.bucket, s.source""",
     "writes_daily": f"{_PLAIN} SELECT CAST(bucket AS TIMESTAMP) AS bucket, source, created, updated FROM ({_DAILY})",
+    "writes_pivot": f"""{_PLAIN},
+        span AS (SELECT min(occurred) AS lo, max(occurred) AS hi FROM applied),
+        days AS (SELECT unnest(generate_series(date_trunc('day', lo), date_trunc('day', hi), INTERVAL 1 DAY)) AS bucket FROM span)
+        SELECT CAST(d.bucket AS TIMESTAMP) AS bucket, count(*) FILTER (source = 'click') AS click, count(*) FILTER (source = 'error') AS error,
+               count(*) FILTER (source = 'purchase') AS purchase, count(*) FILTER (source = 'signup') AS signup, count(*) FILTER (source = 'view') AS view
+        FROM days d LEFT JOIN applied a ON date_trunc('day', a.occurred) = d.bucket GROUP BY d.bucket""",
     "dlq_age_bands": f"{_QUEUE} SELECT band, count(*) AS n FROM open_queue GROUP BY band",
     "dlq_by_source": f"{_QUEUE} SELECT source, count(*) AS n FROM open_queue GROUP BY source",
     "dlq_by_category": f"{_QUEUE} SELECT category, count(*) AS n FROM open_queue GROUP BY category",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.fields import resolve, resolve_key
-from millrace.operators.projections import tickets
 from millrace.operators.merge import apply_batch, empty_state
+from millrace.operators.projections import contact_emails, deals, tickets
 from millrace.plans.events import AS_OF, table
 from millrace.sources.files import calendar_text, json_rows, mailbox_text, parse_calendar, parse_crm_export, parse_mailbox
 from millrace.sources.objects import parse_contacts, parse_deals, parse_tickets
@@ -108,8 +108,6 @@ def crm_deal_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.struct(F.array(F.struct((F.col("o_custkey") * 0 - 1).alias("id")), F.struct(F.col("o_custkey").alias("id"))).alias("results")).alias("contacts")).alias("associations"),
         )
     )
-    from millrace.operators.projections import contact_emails, deals
-
     state, _ = apply_batch(empty_state(spark), parse_contacts(c.select(contact.alias("value"))), now=AS_OF)
     raw = parse_deals(o.select(deal.alias("value")), contact_emails(state["activities"]))
     after, _ = apply_batch(state, raw, now=AS_OF)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.model import KEY
-from millrace.operators.merge import applied, conflict_audit, drift_audit, empty_state, reprocess, write_audit
+from millrace.operators.merge import applied, apply_batch, conflict_audit, drift_audit, empty_state, reprocess, write_audit
 from millrace.operators.normalize import dead_letters, normalize
 from millrace.plans.events import AS_OF, decided_events, decided_sql, raw_events, synced_events
 
@@ -65,8 +65,6 @@ def drift_audit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def second_run_is_a_no_op(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of a run over what is in the store already: nothing is written."""
-    from millrace.operators.merge import apply_batch
-
     state = synced_events(spark, sf_dir)
     again, stats = apply_batch(state, raw_events(spark, sf_dir), now=AS_OF, sources=None)
     return stats.select("source", "created", "updated", "unchanged", "conflict_ignored", "dead_lettered", "processed")
