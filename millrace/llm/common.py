@@ -1,15 +1,16 @@
-"""What the training-data operators share: reading tables, cutting lineage, checked broadcasts, sorted groups."""
+"""What the training-data operators share: reading tables, bounded batches, sorted groups, and lineage and checked broadcasts of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from millrace.lineage import cut, shared_dir, small_or_plain
+
+__all__ = ["cut", "shared_dir", "small_or_plain", "sorted_groups", "starts", "table", "text_batches"]
 
 #: One word of a text: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,23 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the cluster names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to a table in the shared folder and read it again: later work neither repeats it nor loses it with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of an Arrow batch of texts.
 BATCH_BYTES = "8m"
 
@@ -45,15 +29,6 @@ def text_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-#: Rows up to which a table may be sent whole to every executor.
-BROADCAST_ROWS = 200_000
-
-
-def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to have few rows; else as it is, so that Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut a partition that is sorted by keys into tables that hold whole groups, many small groups to a table."""
     rest: list[pa.RecordBatch] = []
