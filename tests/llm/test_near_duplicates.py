@@ -124,10 +124,10 @@ def vectors(seed, dims=16):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_embeddings_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "codes"), [(2048, None), (5, None), (2048, 60)])
+def test_embeddings_equal_brute_force(spark, block, codes):
     rows = vectors(2)
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS), block=block)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS), block=block, codes=codes)
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
 
     def usable(v):
@@ -154,3 +154,9 @@ def test_multi_sequence_is_in_order_and_complete():
     found = embedding_dedup.multi_sequence(a, b, 1.2)
     sums = [a[i] + b[j] for i, j in found]
     assert sums == sorted(sums) and set(found) == {(i, j) for i in range(7) for j in range(9) if a[i] + b[j] <= 1.2}
+
+
+def test_the_grid_follows_the_largest_label():
+    sides = [embedding_dedup.grid_side(n) for n in (0, 1, 16_384, 16_385, 1_000_000, 10**12)]
+    assert sides == [16, 16, 16, 17, 125, 1024]
+    assert all(n / embedding_dedup.grid_side(n) ** 2 <= embedding_dedup.CELL_ROWS for n in range(1, 3_000_000, 9973))
