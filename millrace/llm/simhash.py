@@ -8,6 +8,8 @@ of the radius, and once all of a block's lanes are out the block is abandoned.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -225,3 +227,120 @@ def near_duplicates(
     linked = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root")
     named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of sets of at least SURE shingles with a Jaccard similarity of 0.8 differ by some 10 of 64 bits; beyond FAR
+#: lies less than one pair in 100,000 of them, so only pairs within it are verified. Smaller sets are all verified.
+FAR, SURE = 24, 32
+#: Texts in which common shingles are looked for, about, and the share of them that makes one common; it costs time only if they are off.
+COMMON_TEXTS, COMMON = 2000, 0.005
+#: Neighbours in a group that are compared before all others.
+NEIGHBOURS = 16
+
+
+def shingle_set(value: str | None, width: int, seed: int) -> np.ndarray:
+    """The different shingle hashes of a text, in order."""
+    return np.unique(shingle_hashes((value or "").encode("utf-8", "surrogatepass").lower(), width, seed))
+
+
+def _lists(held: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*held, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _sketched(width: int, seed: int, similarity: float, common: np.ndarray):
+    """id, th, digest and size of the shingle set, its fingerprint, and the shingles of which similar sets share one.
+
+    The common shingles come last in the order of all. Of two sets of which a share of at least ``similarity`` of all elements is common, the least n - ceil(similarity * n) + 1
+    of each, in any order that is the same for both, have one in common.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, fps, least = [], [], [], []
+            for value in batch.column(2):
+                held = shingle_set(value.as_py(), width, seed)
+                digests.append(hashlib.blake2b(held.tobytes(), digest_size=16).digest())
+                sizes.append(len(held))
+                fps.append(majority_bits([held])[0])
+                last = np.isin(held, common)
+                least.append(np.concatenate([held[~last], held[last]])[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), _lists(least)],
+                ["id", "th", "digest", "n", "fp", "least"],
+            )
+
+    return scan
+
+
+def _candidates(keys: list[str], similarity: float, steps: int | None = None):
+    """Pairs of nodes of different roots that share a key, whose sizes and fingerprints let them be similar; of up to so many steps between them."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, keys):
+            begin = starts([rows.column(k).to_numpy() for k in keys])
+            end = np.repeat(np.append(begin[1:], rows.num_rows), np.diff(np.append(begin, rows.num_rows)))
+            node, root, n, fp = (rows.column(k).to_numpy() for k in ("node", "root", "n", "fp"))
+            at, step = np.arange(rows.num_rows), 1
+            while (steps is None or step <= steps) and len(at := at[at + step < end[at]]):
+                few, many = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
+                near = (root[at] != root[at + step]) & (few >= similarity * many - 1e-9) & ((few < SURE) | (np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) <= FAR))
+                if near.any():
+                    x, y = node[at[near]], node[at[near] + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                step += 1
+
+    return scan
+
+
+def near_copies(
+    docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8, block: int = BLOCK
+) -> DataFrame:
+    """id, component_id of each row: texts are linked whose sets of ``width``-word shingles have a Jaccard similarity of at least that.
+
+    Bands of one fingerprint cannot find these pairs (they differ by some 10 bits), so texts that share one of their
+    least shingles are candidates; fingerprints thin them out and the shingles themselves decide. Equal sets are
+    compared once; what neighbours of a group have joined is not compared again. Null and blank texts are copies of each other, a null id is never the smallest, as in near_duplicates.
+    """
+    text_batches(docs)
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(v.as_py(), width, seed) for v in batch.column(1)])], ["th", "shingles"])
+
+    part = max(1, docs.count() // COMMON_TEXTS)
+    looked = base.filter(F.pmod(F.xxhash64(F.lit(3), "th"), F.lit(part)) == 0).select("th", "text").dropDuplicates(["th"])
+    often = looked.mapInArrow(sets, "th long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count()
+    often = often.filter(F.col("count") > max(5, COMMON * COMMON_TEXTS)).select("s").toArrow()["s"].to_numpy().view(np.uint64)
+    marked = cut(base.mapInArrow(_sketched(width, seed, similarity, often), f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, least array<long>"))
+    one = marked.groupBy("digest").agg(F.min("id").alias("smallest"), F.min(F.struct("th", "n", "fp", "least")).alias("x"))
+    distinct = cut(one.select("digest", "smallest", "x.*").withColumn("node", F.monotonically_increasing_id()))
+    keyed = distinct.select("node", "n", "fp", F.explode("least").alias("s"))
+    shared = cut(keyed.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1"))
+    parts = F.ceil(F.col("m") / block).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), parts).cast("int")
+    others = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), parts - 1), own))
+    dealt = keyed.join(shared, "s").select("s", "node", "n", "fp", own.alias("own"), F.explode(others).alias("other"))
+    dealt = dealt.select("s", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "n", "fp")
+    keys = ["s", "p", "q"]
+    dealt = cut(dealt)
+
+    def similar(rows: DataFrame, steps: int | None) -> DataFrame:
+        found = rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").mapInArrow(_candidates(keys, similarity, steps), "a long, b long")
+        pairs = cut(found.distinct())
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "th"), "node"))
+        texts = base.select("th", "text").join(small_or_plain(wanted.select("th").distinct()), "th", "left_semi").dropDuplicates(["th"])
+        known = cut(texts.mapInArrow(sets, "th long, shingles array<long>").join(wanted, "th").select("node", "shingles"))
+        both = pairs.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b")
+        both = both.select("a", "b", F.size("left").alias("x"), F.size("right").alias("y"), F.size(F.array_intersect("left", "right")).alias("common"))
+        return cut(both.filter(F.col("common") >= similarity * (F.col("x") + F.col("y") - F.col("common")) - 1e-9).select("a", "b"))
+
+    first = similar(dealt.withColumn("root", F.col("node")), NEIGHBOURS)
+    joined = small_or_plain(cut(components(first)))
+    rest = similar(dealt.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), None)
+    roots = components(first.unionByName(rest))
+    rooted = roots.join(distinct.select("node", "smallest"), "node")
+    linked = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("node", "component_id")
+    named = distinct.join(linked, "node", "left").select("digest", F.coalesce("component_id", "smallest").alias("component_id"))
+    return marked.join(named, "digest").select(F.col("id").alias(id_col), "component_id")

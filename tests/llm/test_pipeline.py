@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -65,3 +67,52 @@ def test_run_writes_every_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "taken"} <= set(got.columns) and got.count() > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "SimHash near-dedup", "benchmark decontamination", "secret scans", "mixing sources to target weights"]
+
+
+def jaccard_groups(rows):
+    """The smallest id of each text's group, by the Jaccard similarity of all pairs of five-word shingle sets."""
+    sets = {}
+    for i, t in rows:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode("utf-8", "surrogatepass").split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    label, order = {i: i for i in sets}, sorted(sets)
+    with_shingle = {}
+    for i in order:
+        for s in sets[i] or {()}:
+            with_shingle.setdefault(s, []).append(i)
+    met = {i: {j for s in sets[i] or {()} for j in with_shingle[s] if j < i} for i in order}
+    links = [(i, j) for i in order for j in met[i] if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(label[i], label[j])
+            changed |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
+    return label
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_copies_are_the_groups_of_all_jaccard_pairs(spark, block):
+    draw = random.Random(8)
+    rows = []
+    for _ in range(60):
+        words = [draw.choice("Alpha beta gamma é".split()) + str(draw.randrange(60)) for _ in range(draw.choice([3, 5, 9, 10, 40, 200, 600]))]
+        rows.append(" ".join(words))
+        for _ in range(draw.randrange(4)):
+            again = list(words)
+            for _ in range(max(1, round(len(words) * draw.choice([0.01, 0.02, 0.03, 0.05])))):
+                again[draw.randrange(len(again))] = "changed"
+            rows.append("\n".join(again))
+    boiler = " ".join(f"b{k}" for k in range(30))
+    rows += [f"{boiler} {' '.join(str(draw.random()) for _ in range(20))}" for _ in range(30)] + [None, "", " \n"]
+    rows = list(enumerate(rows))
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+    label = jaccard_groups(rows)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == label and len(set(label.values())) < len(rows) - 5
+
+
+def test_the_stage_leaves_one_text_of_each_jaccard_group(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    label = jaccard_groups([(r["doc_id"], r["text"]) for r in table.collect()])
+    assert ids(dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, table, SF)) == sorted(set(label.values()))
