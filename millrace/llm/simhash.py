@@ -33,14 +33,14 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def word_pieces(data: bytes, carry: int, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words of a text, in lists of a bounded length of text; each begins with the last ``carry`` words of the one before."""
+    """The words of a text, in lists of a bounded length of text; each begins with the last ``carry`` words (or all) of the one before."""
     at, tail = 0, []
     while at < len(data):
         found = _SPACE.search(data, at + size)
         end = found.start() if found else len(data)
         words = tail + data[at:end].split()
         yield words
-        tail, at = words[len(words) - carry :] if carry else [], end
+        tail, at = words[max(0, len(words) - carry) :] if carry else [], end
 
 
 def shingle_hashes(data: bytes, width: int, seed: int) -> np.ndarray:

@@ -79,17 +79,27 @@ def chunks(texts: Iterable[bytes], overlap: int) -> Iterator[Chunk]:
             np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(data)]]),
         )
 
+    def hold(i: int, at: int, words: list[bytes]) -> None:
+        nonlocal size
+        held.append(b" ".join(words))
+        text.append(i)
+        number.append(at)
+        count.append(len(words))
+        size += len(held[-1])
+
     for i, data in enumerate(texts):
-        at = 0
+        at, short = 0, []
         for words in word_pieces(data, overlap, CHUNK):
-            if not words or (at and len(words) <= overlap):
+            if len(words) <= overlap:  # no word beyond the carried ones, or too few so far: the next piece repeats them all
+                short = words if not at else []
                 continue
-            held.append(b" ".join(words))
-            text.append(i)
-            number.append(at)
-            count.append(len(words))
-            at += len(words) - overlap
-            size += len(held[-1])
+            hold(i, at, words)
+            at, short = at + len(words) - overlap, []
+            if size >= CHUNK:
+                yield made()
+                held, text, number, count, size = [], [], [], [], 0
+        if short:
+            hold(i, at, short)
             if size >= CHUNK:
                 yield made()
                 held, text, number, count, size = [], [], [], [], 0

@@ -67,3 +67,14 @@ def test_a_long_text_is_read_whole(spark):
     rows = [(1, passage, "x"), (2, f"{filler} {passage}", "x")]
     found = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {1: 0, 2: 60}
+
+
+@pytest.mark.parametrize("tree_rows", [1000, 1])
+@pytest.mark.parametrize("first", [1, 9, 27, 49, 50])
+def test_texts_whose_first_words_are_longer_than_a_chunk(spark, first, tree_rows):
+    passage = " ".join(f"p{k}" for k in range(70))
+    blobs = " ".join(f"{k}" + "x" * (600_000 // first) for k in range(first))
+    more = " ".join(f"f{k}" for k in range(30))
+    rows = [(1, f"{blobs} {more} {passage} end", "x"), (2, f"{more} {passage}", "x"), (3, f"{blobs} {passage} {blobs} {more}", "x"), (4, f"{more} {blobs}", "x")]
+    found = substring_dedup.dedup(spark.createDataFrame(rows, SCHEMA), tree_rows=tree_rows)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows, 50)
