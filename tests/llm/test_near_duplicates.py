@@ -160,3 +160,25 @@ def test_the_grid_follows_the_largest_label():
     sides = [embedding_dedup.grid_side(n) for n in (0, 1, 16_384, 16_385, 1_000_000, 10**12)]
     assert sides == [16, 16, 16, 17, 125, 1024]
     assert all(n / embedding_dedup.grid_side(n) ** 2 <= embedding_dedup.CELL_ROWS for n in range(1, 3_000_000, 9973))
+
+
+@pytest.mark.parametrize("falling", [1.0, 1.5])
+def test_recall_where_the_variance_is_uneven(spark, falling):
+    draw = np.random.default_rng(7)
+    scale = np.arange(1, 97) ** (-falling / 2)
+    base = draw.normal(size=(1500, 96)) * scale
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    step = draw.normal(size=base.shape) * scale
+    step -= (step * base).sum(axis=1)[:, None] * base
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    angle = np.arccos(draw.uniform(0.98, 0.99, len(base)))[:, None]
+    x = np.concatenate([base, np.cos(angle) * base + np.sin(angle) * step])
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), codes=64)
+    links = x @ x.T >= 0.98
+    degree = links.sum(axis=1) - 1
+    n = np.zeros(len(x), int)
+    for r in got.collect():
+        n[r["vec_id"]] = r["n_links"]
+    print("recall", n.sum() / degree.sum())
+    assert (n <= degree).all() and n.sum() >= 0.998 * degree.sum()
