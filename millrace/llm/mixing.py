@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD
+from millrace.llm.common import WORD, cut
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -140,15 +140,18 @@ def mix(
 
     One row per row of docs. A null text has size 0; a null source is a source of its own, and the last. Documents
     with equal ids keep a fixed order by size; repeated rows each count. An empty table gives an empty result. Every
-    word lies in one block and a block is taken at most ``most`` times (whole times), so no document exceeds that.
+    word lies in one block and a block is taken at most ``most`` times (whole times), so no document exceeds that. Columns beside
+    the three are neither read nor returned.
     The words that a source gives differ from its target by the schedule's discrepancy, a few blocks.
     """
-    base = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        source_key(F.col(source)).alias("key"),
-    )
+    base = cut(
+        docs.select(
+            F.col(id_col).alias("id"),
+            F.col(source).alias("source"),
+            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            source_key(F.col(source)).alias("key"),
+        )
+    )  # the texts are read and counted once
     plan = source_plan(base, share, most, weights, block_words)
     placed = positions(base, plan, seed)
     uses = schedule(docs, plan, most).groupBy("idx", "block").agg(F.count("*").alias("uses"))

@@ -6,13 +6,16 @@ the label, counted on Spark. The trees and the calibration are Spark ML's, fitte
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -20,14 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, text_batches
+from millrace.llm.common import cut, first_by_hash, fresh, text_batches
 
 #: Labelled rows that the model is fitted on, at most: the first by a hash of the id.
 SAMPLE_ROWS = 12_000
 #: Learned terms, at most, and the toxic texts that must hold one.
 LEARNED_TERMS, LEAST_SUPPORT = 600, 4
-#: Words whose facts a task remembers, before it begins anew.
-MEMO_WORDS = 40_000
 # Plain insults of the four languages, and words that address the reader.
 INSULTS = frozenset(
     "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool jerk dumb "
@@ -52,74 +53,109 @@ def _terms(word: str) -> Iterator[str]:
                 yield word[:n] + "*"
 
 
-def word_facts(raw: str, learned: dict[str, float]) -> tuple[float, ...]:
-    """Of one word: whether it is an insult, a hit of any kind and a form of address, the weight of the best learned term, whether
-    it is a veiled insult, odd, shouted and stretched, and its capitals, punctuation marks and letters."""
-    word = raw.strip(_EDGE)
-    low = word.lower()
-    insult = veiled = odd = False
-    if not low.isalpha():
-        plain = "".join(c for c in low.translate(_LEET) if c.isalpha())
-        odd = bool(low) and any(c.isalpha() for c in low)
-        veiled = odd and plain in INSULTS
-        low = plain if odd else low
-    else:
-        insult = low in INSULTS
-    best = max((learned.get(t, 0.0) for t in (low, low[:4] + "*", low[:5] + "*", low[:6] + "*")), default=0.0)
-    stretched = any(a == b == c for a, b, c in zip(low, low[1:], low[2:], strict=False))
-    return (
-        insult, insult or veiled or bool(best), low in YOU, best, veiled, odd, len(word) > 2 and word.isupper(), stretched,
-        sum(map(str.isupper, raw)), sum(c in _EDGE for c in raw), sum(map(str.isalpha, raw)),
-    )
+@lru_cache(maxsize=1)
+def _letter_facts() -> np.ndarray:
+    """For each code point of the basic plane what _judged says of it."""
+    return np.array([_judged(i) for i in range(1 << 16)], np.int64)
+
+
+def _judged(point: int) -> tuple[bool, bool, bool]:
+    """Whether a code point is a capital, a mark of _EDGE, a letter."""
+    c = chr(point)
+    return c.isupper(), c in _EDGE, c.isalpha()
+
+
+def _points(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words, each word followed by a space, and where each word begins."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+    points = np.frombuffer(f"{joined} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(words)) + 1)]).astype(np.int64)
+
+
+def _per_word(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[begin[1:]] - sums[begin[:-1]]
 
 
-def features(text: str | None, learned: dict[str, float], memo: dict[str, tuple] | None = None) -> list[float]:
-    """Dense features of a whole text; all zero for a null or blank one. memo keeps the facts of words from text to text."""
-    words = (text or "").split()
-    n = len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
-    memo = {} if memo is None else memo
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    total, letters, weight, hit_words, you_words = [0] * 10, 0, 0.0, set(), set()
-    for raw, times in Counter(words).items():
-        held = memo.get(raw)
-        if held is None:
-            *facts, alphabetic = word_facts(raw, learned)
-            held = memo[raw] = (alphabetic, facts if any(facts) else None)
-        letters += times * held[0]
-        if held[1] is None:
-            continue
-        for k, v in enumerate(held[1]):
-            if v:
-                total[k] += times * (v if k != 3 else 1)
-        weight = max(weight, held[1][3])
-        if held[1][1]:
-            hit_words.add(raw)
-        if held[1][2]:
-            you_words.add(raw)
-    insults, _, you, known, veiled, odd, shouted, stretched, capitals, marks = total
-    near, j = 0, 0
-    if hit_words and you_words:
-        hits = [i for i, w in enumerate(words) if w in hit_words]
-        for i in (i for i, w in enumerate(words) if w in you_words):
-            while j < len(hits) and hits[j] < i - 5:
-                j += 1
-            near += j < len(hits) and hits[j] <= i + 5
-    return [
-        insults / n, math.log1p(insults), known / n, math.log1p(known), weight, veiled / n, you / n, near / n,
-        capitals / (letters or 1), shouted / n, marks / len(text), text.count("!") / len(text),
-        odd / n, stretched / n, math.log1p(n),
-    ]
+#: What is known of a word, by column: insult, hit of any kind, form of address, hit of a learned term, veiled insult, odd, shouted,
+#: stretched; capitals, marks and letters in it.
+_FACTS = 11
+
+
+def word_facts(raw: pa.StringArray, learned: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The facts of different words (a row each), and the weight of the best learned term of each."""
+    words = pc.utf8_trim(raw, characters=_EDGE)
+    low = pc.utf8_lower(words)
+    alpha = np.asarray(pc.utf8_is_alpha(low))
+    insult = np.asarray(pc.is_in(low, pa.array(sorted(INSULTS)))) & alpha
+    odd, veiled, spelt = np.zeros(len(raw), bool), np.zeros(len(raw), bool), low.filter(pa.array(~alpha)).to_pylist()
+    for k, i in enumerate(np.flatnonzero(~alpha)):
+        plain = "".join(c for c in spelt[k].translate(_LEET) if c.isalpha())
+        odd[i] = any(map(str.isalpha, spelt[k]))
+        veiled[i] = odd[i] and plain in INSULTS
+        spelt[k] = plain if odd[i] else spelt[k]
+    best, low = np.zeros(len(raw)), pc.replace_with_mask(low, pa.array(~alpha), pa.array(spelt, pa.string()))
+    if learned:
+        terms, weights = pa.array(list(learned)), np.array([*learned.values(), 0.0])
+        for n in (0, 4, 5, 6):
+            begun = low if not n else pc.binary_join_element_wise(pc.utf8_slice_codeunits(low, 0, n), "*", "")
+            best = np.maximum(best, weights[np.asarray(pc.fill_null(pc.index_in(begun, terms), len(learned)))])
+    facts = np.zeros((len(raw), _FACTS), np.int64)
+    facts[:, 0], facts[:, 4], facts[:, 5] = insult, veiled, odd
+    facts[:, 1], facts[:, 3] = insult | veiled | (best > 0), best > 0
+    facts[:, 2] = np.asarray(pc.is_in(low, pa.array(sorted(YOU))))
+    facts[:, 6] = np.asarray(pc.utf8_is_upper(words)) & (np.asarray(pc.utf8_length(words)) > 2)
+    points, begin = _points(low)
+    same = points[1:] == points[:-1]
+    facts[:, 7] = _per_word(np.concatenate([same[1:] & same[:-1], np.zeros(min(2, len(points)), bool)]), begin) > 0
+    points, begin = _points(raw)
+    held = _letter_facts()[np.minimum(points, 65535)]
+    for i in np.flatnonzero(points > 65535):
+        held[i] = _judged(int(points[i]))
+    for k in range(3):
+        facts[:, 8 + k] = _per_word(held[:, k], begin)
+    return facts, best
+
+
+def features(texts: pa.Array, learned: dict[str, float]) -> np.ndarray:
+    """Dense features of whole texts, a row each; all zero for a null or blank one. Each different word of the texts is judged once."""
+    texts = pc.fill_null(texts, "")
+    out = np.zeros((len(texts), len(FEATURES)))
+    listed = pc.utf8_split_whitespace(texts)
+    begin = np.asarray(listed.offsets).astype(np.int64)
+    coded = listed.flatten().dictionary_encode()
+    if not len(coded):
+        return out
+    begin, code = begin - begin[0], np.asarray(coded.indices)
+    facts, weight = word_facts(coded.dictionary, learned)
+    blank = np.asarray(pc.equal(coded.dictionary, ""))  # before and after the white space at the ends of a text
+    n = _per_word(~blank[code], begin)
+    some, div = n > 0, np.maximum(n, 1)
+    insults, _, you, known, veiled, odd, shouted, stretched, capitals, marks, letters = (_per_word(facts[code, k], begin) for k in range(_FACTS))
+    doc = np.repeat(np.arange(len(texts)), np.diff(begin))
+    at = np.arange(len(code)) + 16 * doc  # no word is near one of another text
+    hits, called = at[facts[code, 1] > 0], facts[code, 2] > 0
+    first = np.searchsorted(hits, at[called] - 5)
+    met = (np.append(hits, np.iinfo(np.int64).max)[first] <= at[called] + 5) if len(hits) else np.zeros(called.sum(), bool)
+    near = np.bincount(doc[called][met], minlength=len(texts))
+    best = np.zeros(len(texts))
+    np.maximum.at(best, doc[facts[code, 3] > 0], weight[code[facts[code, 3] > 0]])
+    length = np.maximum(np.asarray(pc.utf8_length(texts)), 1)
+    columns = (
+        insults / div, np.log1p(insults), known / div, np.log1p(known), best, veiled / div, you / div, near / div,
+        capitals / np.maximum(letters, 1), shouted / div, marks / length, np.asarray(pc.count_substring(texts, "!")) / length,
+        odd / div, stretched / div, np.log1p(n),
+    )
+    for k, column in enumerate(columns):
+        out[:, k] = np.where(some, column, 0.0)
+    return out
 
 
 def feature_column(text: str, learned: dict[str, float]) -> Column:
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, tuple] = {}
-        for texts in batches:
-            yield texts.map(lambda t: features(t, learned, memo))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def made(texts: pa.Array) -> pa.Array:
+        held = features(texts, learned)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(FEATURES), pa.int32()), pa.array(held.ravel()))
 
     return made(F.col(text))
 
@@ -162,19 +198,24 @@ class Model:
     rate: float
 
     def score(self, docs: DataFrame, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-        """docs with two more columns: the score (0 to 1), and 1 where it is at least 0.5, else 0."""
+        """docs with two more columns: the score (0 to 1), and 1 where it is at least 0.5, else 0.
+
+        Null and empty texts are scored like any other, repeated rows each; all columns of docs stay as they are, and
+        one that has a result's name is refused.
+        """
         if clash := set(names) & set(docs.columns):
             raise ValueError(f"these names are results: {sorted(clash)}")
         score, predicted = names
         if self.trees is None:
-            scored = docs.withColumn(score, F.lit(self.rate))
-        else:
-            held = docs.withColumn("_features", array_to_vector(feature_column(text, self.learned)))
-            raw = self.trees.transform(held).withColumn("_raw", vector_to_array("_probability")[1])
-            made = self.calibration.transform(raw)
-            scored = made.withColumn(score, F.least(F.greatest("_calibrated", F.lit(0.0)), F.lit(1.0)))
-            scored = scored.drop("_features", "_margin", "_probability", "_prediction", "_raw", "_calibrated")
-        return scored.withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
+            return docs.withColumn(score, F.lit(self.rate)).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
+        made, margin, probability, prediction, raw, calibrated = fresh(docs, "features", "margin", "probability", "prediction", "raw", "calibrated")
+        trees, calibration = self.trees.copy(), self.calibration.copy()
+        trees.setFeaturesCol(made).setRawPredictionCol(margin).setProbabilityCol(probability).setPredictionCol(prediction)
+        calibration.setFeaturesCol(raw).setPredictionCol(calibrated)
+        held = trees.transform(docs.withColumn(made, array_to_vector(feature_column(text, self.learned))))
+        scored = calibration.transform(held.withColumn(raw, vector_to_array(probability)[1]))
+        scored = scored.withColumn(score, F.least(F.greatest(calibrated, F.lit(0.0)), F.lit(1.0)))
+        return scored.withColumn(predicted, (F.col(score) >= 0.5).cast("int")).select(*docs.columns, score, predicted)
 
 
 def held_out(id_col: str) -> Column:
@@ -186,17 +227,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     """Fit on at most ``rows`` labelled documents that are not held out, chosen by a hash of the id.
 
     A document with several labels counts as toxic if one says so; null labels and labels without a document are left
-    out. The sampled ids (a fixed number) are broadcast, so the documents are read once and not shuffled.
+    out; repeated documents count each. Without documents or labels the model gives every text the same score. The
+    sampled ids (a fixed number) are broadcast, so the documents are read once and not shuffled.
     """
     text_batches(docs)
-    chosen = (
-        labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-        .select(F.col(id_col).alias("_id"), F.xxhash64(F.lit(3), id_col).alias("_h"), F.col(label).cast("int").alias("toxic"))
-        .orderBy("_h", "_id", F.desc("toxic"))
-        .limit(rows)
-        .groupBy("_id", "_h")
-        .agg(F.max("toxic").alias("toxic"))
-    )
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    chosen = first_by_hash(cut(known.withColumn("_h", F.xxhash64(F.lit(3), "_id"))), "_h", rows)
     sample = cut(
         docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("text", "toxic", F.pmod("_h", F.lit(10)).alias("part"))
     )

@@ -8,8 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, language_id, mixing, quality, secret_scan, toxicity, url_filter
 
@@ -289,10 +290,76 @@ def test_toxic_texts_score_higher(spark, documents):
     assert {r["score"] for r in constant.score(odd).collect()} == {0.0}
 
 
-def test_features_do_not_depend_on_the_memo():
-    memo: dict[str, tuple] = {}
-    texts = ["You 1d10t!", "you are FINE, fiiine", None, "", "é" * 10 + "!" * 3, "you 1d10t!"]
-    first = [toxicity.features(t, {"fine": 1.5}, memo) for t in texts]
-    assert first == [toxicity.features(t, {"fine": 1.5}) for t in texts]
-    named = pd.DataFrame(first, columns=list(toxicity.FEATURES))
-    assert named["veiled_rate"].tolist()[:2] == [0.5, 0.0] and named["learned_weight"][1] == 1.5 and named["near_you"][0] == 0.5 and not any(first[2]) and not any(first[3])
+def plain_features(text, learned):
+    """The features by their definition, word by word."""
+    words = (text or "").split()
+    n = len(words)
+    if not n:
+        return [0.0] * len(toxicity.FEATURES)
+    edge, leet = toxicity._EDGE, toxicity._LEET
+    insults = veiled = you = known = odd = shouted = stretched = 0
+    best, hits, called = 0.0, [], []
+    for i, raw in enumerate(words):
+        word = raw.strip(edge)
+        low = word.lower()
+        hit = False
+        if low.isalpha():
+            hit = low in toxicity.INSULTS
+            insults += hit
+        elif any(map(str.isalpha, low)):
+            odd += 1
+            low = "".join(filter(str.isalpha, low.translate(leet)))
+            hit = low in toxicity.INSULTS
+            veiled += hit
+        weight = max(learned.get(t, 0.0) for t in (low, low[:4] + "*", low[:5] + "*", low[:6] + "*"))
+        known += weight > 0
+        best = max(best, weight)
+        if hit or weight:
+            hits.append(i)
+        if low in toxicity.YOU:
+            called.append(i)
+        shouted += len(word) > 2 and word.isupper()
+        stretched += bool(re.search(r"(.)\1\1", low))
+    near = sum(any(abs(i - j) <= 5 for j in hits) for i in called)
+    solid = "".join(words)
+    capitals, letters, marks = sum(map(str.isupper, solid)), sum(map(str.isalpha, solid)), sum(c in edge for c in solid)
+    return [
+        insults / n, math.log1p(insults), known / n, math.log1p(known), best, veiled / n, len(called) / n, near / n, capitals / max(letters, 1),
+        shouted / n, marks / len(text), text.count("!") / len(text), odd / n, stretched / n, math.log1p(n),
+    ]
+
+
+def test_features_equal_their_definition():
+    draw = random.Random(12)
+    learned = {"fine": 1.5, "terr*": 0.7, "awful*": 2.5}
+    vocabulary = "you You! idiot IDIOT 1d10t fiiine fine, terrible awfully (crétin) 42 -- YOUR dich É\u2028x x\u00a0y sch…ade 𝒳 aaa".split(" ")
+    texts = [None, "", " \n ", "é" * 10 + "!" * 3, "  you 1d10t!  ", "you idiot " * 3000]
+    texts += [draw.choice([" ", "\n", "  "]).join(draw.choice(vocabulary) for _ in range(draw.randrange(60))) for _ in range(300)]
+    got = toxicity.features(pa.array(texts, pa.string()), learned)
+    assert np.allclose(got, [plain_features(t, learned) for t in texts], atol=1e-12)
+    assert toxicity.features(pa.array(["", None], pa.string()), {}).tolist() == [[0.0] * len(toxicity.FEATURES)] * 2
+    alone = [toxicity.features(pa.array([t], pa.string()), learned)[0] for t in texts]
+    assert np.array_equal(alone, got)
+
+
+def test_toxicity_of_clashing_columns_and_empty_tables(spark):
+    names = ["features", "margin", "probability", "prediction", "raw", "calibrated", "_features", "_id", "_h", "part", "toxic"]
+    rows = [(i, f"you idiot number {i}" if i % 2 else f"a calm text number {i}") for i in range(400)]
+    table = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(None, 1), (3, None), (5, 1), (9999, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels)
+    got = model.score(table)
+    assert got.columns == [*table.columns, "score", "predicted"]
+    assert all(r["predicted"] == r["doc_id"] % 2 and [r[n] for n in names] == ["x"] * len(names) for r in got.collect())
+    assert model.score(table.limit(0)).count() == 0
+    for docs_, labels_ in ((table.limit(0), labels), (table, labels.limit(0))):
+        none = toxicity.fit(docs_, labels_)
+        assert {r["score"] for r in none.score(table).collect()} == {0.0}
+
+
+def test_the_first_rows_by_hash(spark):
+    from millrace.llm.common import first_by_hash
+
+    table = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    assert [r["id"] for r in first_by_hash(table, "h", 70).collect()] == [r["id"] for r in table.orderBy("h").limit(70).collect()]
+    assert first_by_hash(table.limit(0), "h", 5).count() == 0 and first_by_hash(table, "h", 9000).count() == 5000
