@@ -180,5 +180,24 @@ def test_recall_where_the_variance_is_uneven(spark, falling):
     n = np.zeros(len(x), int)
     for r in got.collect():
         n[r["vec_id"]] = r["n_links"]
-    print("recall", n.sum() / degree.sum())
+    assert (n <= degree).all() and n.sum() >= 0.998 * degree.sum()
+
+
+def test_many_lengths_of_vectors_and_low_rank(spark):
+    """More lengths than codebooks are kept for, each with few vectors; and unit vectors of rank five in 64 dimensions, counted on both sides."""
+    rows = [(d * 3 + k, [1.0] * (d + 1) if k < 2 else [1.0] + [-1.0] * d, 0) for d in range(1, 1200) for k in range(3)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    for i, v, _ in rows:
+        want = 1 if i % 3 < 2 else 0
+        assert (got[i]["n_links"], got[i]["component_id"]) == (want, i - 1 if i % 3 == 1 else i)
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(4000, 5)) @ draw.normal(size=(5, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x.astype(np.float32).astype(float)
+    found = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int"), codes=64)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    degree = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    n = np.zeros(len(x), int)
+    for r in found.collect():
+        n[r["vec_id"]] = r["n_links"]
     assert (n <= degree).all() and n.sum() >= 0.998 * degree.sum()
