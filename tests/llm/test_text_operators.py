@@ -91,6 +91,43 @@ def test_formats_find_bare_credentials_of_a_known_kind(spark):
     assert clean[500] == "look at [SECRET] now" and clean[0] == "some words and token=[SECRET] here" and clean[100] == rows[60][1]
 
 
+def test_formats_where_many_tokens_are_bare_credentials(spark):
+    """A tenth of the tokens that could be one are keys of a known format; all are found, ordinary tokens and other ids stay."""
+    draw = random.Random(14)
+    vocabulary = ["".join(draw.choice(["ra", "to", "mi", "nel", "sta", "po", "ing", "er"]) for _ in range(draw.randrange(2, 7))) for _ in range(400)]
+    key = lambda: "".join(draw.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(32))
+    words = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    rows, bare = [], {}
+    for i in range(600):
+        if i % 10 == 0:
+            bare[i] = key()
+            rows.append((i, f"{words(20)} {bare[i]} {words(3)}"))
+        elif i % 10 == 1:
+            rows.append((i, f"{words(5)} secret: {key()} {words(5)}"))
+        else:
+            rows.append((i, f"{words(15)} {draw.choice(vocabulary)}-{draw.choice(vocabulary)}_{draw.choice(vocabulary)} 1234567890123 /usr/{draw.choice(vocabulary)}/{draw.choice(vocabulary)}"))
+    got = {r["doc_id"]: [s["value"] for s in r["format"]] for r in secret_scan.scan(docs(spark, *rows)).collect()}
+    assert {i: v for i, v in got.items() if v} == {i: [v] for i, v in bare.items()}
+
+
+def test_letter_pairs_and_redaction_of_odd_rows(spark):
+    texts = ["ab ab-é", "", "b"]
+    pairs = Counter()
+    for t in texts:
+        for token in re.findall(r"[A-Za-z0-9+/_=-]+", t):
+            pairs.update(zip(f"\0{token}", f"{token}\0", strict=True))
+    place = {c: i + 1 for i, c in enumerate(secret_scan._LETTERS)} | {"\0": 0}
+    want = np.zeros(len(place) ** 2, int)
+    for (a, b), n in pairs.items():
+        want[place[a] * len(place) + place[b]] = n
+    assert np.array_equal(secret_scan.letter_pairs(texts), want)
+    table = spark.createDataFrame([(1, "token=abcdef1", "x"), (1, "token=abcdef1", "x"), (2, None, None), (3, "", "x"), (None, "AKIA" + "B" * 16 + "=1", "y")], "doc_id long, text string, format string")
+    got = sorted(map(tuple, secret_scan.redact(table).collect()), key=str)
+    assert got == sorted([(1, "token=[SECRET]", "x"), (1, "token=[SECRET]", "x"), (2, None, None), (3, "", "x"), (None, "[SECRET]=1", "y")], key=str)
+    assert secret_scan.redact(table.limit(0)).count() == 0 and len(secret_scan.scan(table).collect()) == 5
+    assert list(secret_scan.candidates("aaaaaaaa token=abcdefgh-bbbbbbbb", secret_scan.base_spans("aaaaaaaa token=abcdefgh-bbbbbbbb"))) == [(0, 8)]
+
+
 def test_automaton_merges_and_scores():
     words = ["ab" * n for n in range(1, 40)]
     automaton = secret_scan.Automaton.learned(words)
