@@ -193,8 +193,8 @@ def shingles(text, width=5):
     return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or ({" ".join(words)} if words else set())
 
 
-@pytest.mark.parametrize("block", [400_000, 50])
-def test_containment_equals_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [24, 7])
+def test_containment_equals_brute_force(spark, bits):
     draw = random.Random(6)
     word = lambda: draw.choice("ab cd ef gh".split()) + str(draw.randrange(60))
     items = [(i, " ".join(word() for _ in range(draw.choice([1, 3, 5, 9, 40, 120])))) for i in range(60)]
@@ -209,7 +209,7 @@ def test_containment_equals_brute_force(spark, block):
                 words[draw.randrange(len(words))] = "XX"
         rows.append((i, "\n".join([*parts, *words, *[word() for _ in range(20)]])))
     rows += [(500, None), (501, ""), (3, rows[3][1]), (None, items[5][1]), (502, "z " * 200_000 + items[7][1])]
-    got = decontamination.contaminated(docs(spark, *rows), spark.createDataFrame(items, "item_id long, text string"), block_shingles=block)
+    got = decontamination.contaminated(docs(spark, *rows), spark.createDataFrame(items, "item_id long, text string"), bits=bits)
     want = []
     for d, t in rows:
         have = shingles(t)
