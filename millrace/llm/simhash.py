@@ -1,6 +1,7 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked where few bits differ, compared by bit planes.
 
-Fingerprints within the radius agree on at least two of five bands, so equal pairs of bands make the groups to compare.
+Fingerprints within the radius agree on at least two of five bands, so equal pairs of bands make the groups to compare;
+a group that is too large is split by bands of the other bits, of which two agree again.
 A group stores its fingerprints as 64 bit planes, a lane for each fingerprint. Against one fingerprint, every plane
 gives a word of differing lanes, which carry-save counters add up for all lanes at once; a lane that overflows is out
 of the radius, and once all of a block's lanes are out the block is abandoned.
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, small_or_plain, sorted_groups, starts, text_batches
+from millrace.llm.common import cut, join_counted, small_or_plain, sorted_groups, starts, text_batches
 from millrace.llm.components import components
 
 _SPACE = re.compile(rb"[\x09-\x0D ]")
@@ -88,12 +89,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(scan, f"id {dict(docs.dtypes)[id_col]}, fp long")
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
 def band_masks(agree: int = 2) -> list[int]:
-    """For each choice of bands that agree, the mask of their bits (as signed longs)."""
+    """For each choice of bands that agree, the mask of their bits."""
     edges = np.concatenate([[0], np.cumsum(BANDS)])
     bits = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    masks = [sum(bits[i] for i in chosen) for chosen in combinations(range(len(BANDS)), agree)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    return [sum(bits[i] for i in chosen) for chosen in combinations(range(len(BANDS)), agree)]
+
+
+def finer_masks(mask: int, agree: int = 2) -> list[int]:
+    """The mask with the bits of two of five bands of those it lacks, for each choice of two."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    parts = [sum(1 << int(b) for b in part) for part in np.array_split(left, len(BANDS))]
+    return [mask | sum(chosen) for chosen in combinations(parts, agree)]
 
 
 def _within(planes: np.ndarray, words: np.ndarray | None, fps: np.ndarray, valid: np.ndarray, radius: int) -> np.ndarray:
@@ -178,9 +189,20 @@ def _large_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """a, b: links that connect what is connected by at most ``radius`` differing bits; not all pairs. distinct: fp."""
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(band_masks())])
-    keyed = distinct.select("fp", F.inline(tables))
+    """a, b: links that connect what is connected by at most ``radius`` differing bits; not all pairs. distinct: fp.
+
+    Groups of more than ``block`` are split by further bands; what is still as large, as so much of it is alike, is
+    dealt out as pairs of blocks.
+    """
+    masks = band_masks()
+    under = lambda t, mask: F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
+    keyed = distinct.select("fp", F.inline(F.array(*[under(i, m) for i, m in enumerate(masks)])))
+    crowded = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block).drop("n"))
+    if not crowded.isEmpty():
+        crowded = small_or_plain(crowded)
+        finer = F.array(*[F.array(*[under(len(masks) * (i + 1) + j, m) for j, m in enumerate(finer_masks(mask))]) for i, mask in enumerate(masks)])
+        split = keyed.join(crowded, ["t", "key"], "left_semi").select("fp", F.inline(finer[F.col("t")]))
+        keyed = keyed.join(crowded, ["t", "key"], "left_anti").unionByName(split)
     heavy = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block))
     parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(7), "fp"), parts).cast("int")
@@ -221,12 +243,12 @@ def near_duplicates(
     """
     text_batches(docs)
     marked = cut(fingerprints(docs, id_col, text, width, seed))
-    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("times")))
     roots = components(links(distinct.select("fp"), radius))
     rooted = roots.withColumnRenamed("node", "fp").join(distinct, "fp")
     linked = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", "times", F.coalesce("component_id", "least").alias("component_id"))
+    return join_counted(marked, named, "fp", "times", marked.count()).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Fingerprints of sets of at least SURE shingles with a Jaccard similarity of 0.8 differ by some 10 of 64 bits; beyond FAR
@@ -296,7 +318,8 @@ def _candidates(keys: list[str], similarity: float, steps: int | None = None):
 def near_copies(
     docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8, block: int = BLOCK
 ) -> DataFrame:
-    """id, component_id of each row: texts are linked whose sets of ``width``-word shingles have a Jaccard similarity of at least that.
+    """id, component_id, text_hash and group of each row: texts are linked whose sets of ``width``-word shingles have a Jaccard
+    similarity of at least that. group is a number that only the rows of one component share.
 
     Bands of one fingerprint cannot find these pairs (they differ by some 10 bits), so texts that share one of their
     least shingles are candidates; fingerprints thin them out and the shingles themselves decide. Equal sets are
@@ -314,8 +337,8 @@ def near_copies(
     often = looked.mapInArrow(sets, "th long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count()
     often = often.filter(F.col("count") > max(5, COMMON * COMMON_TEXTS)).select("s").toArrow()["s"].to_numpy().view(np.uint64)
     marked = cut(base.mapInArrow(_sketched(width, seed, similarity, often), f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, least array<long>"))
-    one = marked.groupBy("digest").agg(F.min("id").alias("smallest"), F.min(F.struct("th", "n", "fp", "least")).alias("x"))
-    distinct = cut(one.select("digest", "smallest", "x.*").withColumn("node", F.monotonically_increasing_id()))
+    one = marked.groupBy("digest").agg(F.min("id").alias("smallest"), F.count("*").alias("times"), F.min(F.struct("th", "n", "fp", "least")).alias("x"))
+    distinct = cut(one.select("digest", "smallest", "times", "x.*").withColumn("node", F.monotonically_increasing_id()))
     keyed = distinct.select("node", "n", "fp", F.explode("least").alias("s"))
     shared = cut(keyed.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / block).cast("int")
@@ -341,6 +364,9 @@ def near_copies(
     rest = similar(dealt.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), None)
     roots = components(first.unionByName(rest))
     rooted = roots.join(distinct.select("node", "smallest"), "node")
-    linked = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("node", "component_id")
-    named = distinct.join(linked, "node", "left").select("digest", F.coalesce("component_id", "smallest").alias("component_id"))
-    return marked.join(named, "digest").select(F.col("id").alias(id_col), "component_id")
+    linked = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root")
+    named = distinct.join(linked.select("node", "root", "component_id"), "node", "left").select(
+        "digest", "times", F.coalesce("root", "node").alias("group"), F.when(F.col("root").isNull(), F.col("smallest")).otherwise(F.col("component_id")).alias("component_id")
+    )
+    found = join_counted(marked.select("id", "th", "digest"), named, "digest", "times", marked.count())
+    return found.select(F.col("id").alias(id_col), "component_id", F.col("th").alias("text_hash"), "group")

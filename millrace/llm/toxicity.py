@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -163,20 +162,21 @@ def feature_column(text: str, learned: dict[str, float]) -> Column:
 def learn_terms(sample: DataFrame, most: int = LEARNED_TERMS) -> dict[str, float]:
     """Terms that go with the label, by smoothed log odds. sample: text, toxic."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {w.strip(_EDGE).lower() for w in _WORD.findall(text or "")}
                 held[int(toxic)].update({t for w in words for t in _terms(w)})
             terms = list(held[0].keys() | held[1].keys())
-            yield pd.DataFrame({"term": terms, "toxic": [held[1][t] for t in terms], "clean": [held[0][t] for t in terms]})
+            counts = [pa.array([h[t] for t in terms], pa.int64()) for h in (held[1], held[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], ["term", "toxic", "clean"])
 
     n = sample.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = n["toxic"] or 0, n["n"] - (n["toxic"] or 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     top = (
-        sample.mapInPandas(count, "term string, toxic long, clean long")
+        sample.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long")
         .groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter(F.col("toxic") >= LEAST_SUPPORT)

@@ -87,6 +87,27 @@ def test_links_join_all_within_the_radius(spark, block):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, found.values()))
 
 
+def test_finer_masks_keep_what_is_within_the_radius():
+    draw = random.Random(6)
+    for mask in simhash.band_masks():
+        finer = simhash.finer_masks(mask)
+        assert len(set(finer)) == 10 and all(m & mask == mask and m >> 64 == 0 for m in finer)
+        free = [b for b in range(64) if not mask >> b & 1]
+        for _ in range(200):
+            change = sum(1 << b for b in draw.sample(free, 3))
+            assert any(not change & m for m in finer)
+
+
+def test_a_frequent_key_is_joined_like_any_other(spark):
+    from millrace.llm.common import join_counted
+
+    rows = [(7, i) for i in range(1500)] + [(k, k) for k in range(10)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "-k as w")
+    got = join_counted(left, right, "k", "n", len(rows))
+    assert sorted(map(tuple, got.select("k", "v", "w").collect())) == sorted((k, v, -k) for k, v in rows)
+
+
 def test_null_ids_and_empty_tables(spark):
     rows = [(None, "a b c d", "", 1, ""), (5, "a b c d", "", 1, ""), (None, "q w e r t y", "", 1, "")]
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
