@@ -2,8 +2,9 @@
 
 The model is of order four over UTF-16 units, so that an n-gram is one long. Counts of all trusted texts are summed on
 Spark; the lower orders, the discounts and the probabilities come from joins of the count tables. For scoring, the
-tables are sharded by the unit before the predicted one: all that a position looks up lies in one shard, each shard is
-of bounded size, and a document's log probability is the sum of what it gets from each.
+tables are sharded by the two units before the predicted one: all that a position looks up lies in one shard, each
+shard is sent to the documents as the small side of a join, and a document's log probability is the sum of what it gets
+from each. The bounds come from trusted texts as a model sees them that was not trained on them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from millrace.llm.common import cut, small_or_plain, text_batches
 ORDER = 4
 #: Rows of the model that are sent to the executors at once; a larger model is scored shard by shard.
 SHARD_ROWS = 2_000_000
-#: Share of a language's trusted texts that lies within its bound.
+#: Share of a language's trusted texts that lies within its bound, each judged by a model of the other half of them.
 QUANTILE = 0.99
 _PAD = "\x02" * (ORDER - 1)
 
@@ -89,7 +90,7 @@ def model_tables(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Shard:
-    """Sorted keys and values of each order; the positions whose unit before has this remainder are its own."""
+    """Sorted keys and values of each order; the positions whose two units before fall to this remainder are its own."""
 
     index: int
     of: int
@@ -98,8 +99,8 @@ class Shard:
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
         """Of each gram's last unit after the ones before; zero for those of other shards."""
         out = np.zeros(len(grams))
-        before = (grams >> np.uint64(16)) & np.uint64(0xFFFF)
-        at = np.flatnonzero(before % np.uint64(self.of) == self.index)
+        first, second = (grams >> np.uint64(32)) & np.uint64(0xFFFF), (grams >> np.uint64(16)) & np.uint64(0xFFFF)
+        at = np.flatnonzero((first * np.uint64(_SPREAD[0]) + second * np.uint64(_SPREAD[1])) % np.uint64(self.of) == self.index)
         for k in range(ORDER, 0, -1):
             known, value = self._look(k, grams[at] & np.uint64((1 << 16 * k) - 1))
             out[at] += value
@@ -119,12 +120,18 @@ class Shard:
         return known, np.where(known, values[at], 0.0)
 
 
+#: Multipliers of the two units whose sum, modulo the number of shards, names the shard.
+_SPREAD = (40503, 30011)
+
+
 def shards(tables: DataFrame, most: int = SHARD_ROWS) -> Iterator[Shard]:
-    """The model in parts of about ``most`` rows; the rows of one unit (orders 0, 1 and 10) are in each."""
-    of = max(1, -(-tables.count() // most))
-    unit = F.when(F.col("order").between(2, 4), F.expr("shiftrightunsigned(key, 16) & 65535")).when(F.col("order").between(11, 13), F.expr("key & 65535"))
+    """The model in parts of about ``most`` rows; the rows of one unit and of two (orders 0 to 2, 10 and 11) are in each."""
+    shared = F.col("order").isin(0, 1, 2, 10, 11)
+    of = max(1, -(-tables.filter(~shared).count() // most))
+    pair = F.when(F.col("order").isin(3, 4), F.expr("shiftrightunsigned(key, 16) & 4294967295")).otherwise(F.expr("key & 4294967295"))
+    unit = F.shiftright(pair, 16) * _SPREAD[0] + pair.bitwiseAND(F.lit(65535)) * _SPREAD[1]
     for i in range(of):
-        rows = tables.filter(unit.isNull() | (unit % of == i)).toPandas()
+        rows = tables.filter(shared | (unit % of == i)).toPandas()
         parts = {}
         for order, own in rows.groupby("order"):
             key = own["key"].to_numpy(np.int64).view(np.uint64)
@@ -170,21 +177,32 @@ def judge(
 ) -> DataFrame:
     """id, lang (``und`` for null), n_units, perplexity, bound and kept of each row. trusted: ids of the texts to learn from.
 
-    A text is kept if its perplexity is at most the bound: that quantile of the trusted texts of its language, or of
-    all trusted texts for a language without any. A null or empty text has no perplexity and is not kept. Without a
-    trusted text nothing can be judged, the perplexity and the bound are null and all is kept. Repeated rows each give
-    a row.
+    The model is of all trusted texts. A text is kept if its perplexity is at most the bound of its language (ties are
+    kept): that quantile of the language's trusted texts, or of all trusted texts for a language without any, where
+    each half of them, by a hash of the text, is judged by a model of the other. A null or empty text has no perplexity
+    and is not kept; a very long one is read in pieces that overlap. Without a trusted text nothing can be judged, the
+    perplexity and the bound are null and all is kept. Repeated rows each give a row, an empty table none; other
+    columns are neither read nor returned.
     """
     text_batches(docs)
     ids = cut(trusted.select(F.col(trusted.columns[0]).alias("id")).filter("id is not null").distinct())
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    own = base.join(small_or_plain(ids), "id", "left_semi").filter("text <> ''").select("text")
-    tables = model_tables(own)
+    own = base.join(small_or_plain(ids), "id", "left_semi").filter("text <> ''").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
+    tables = model_tables(own.select("text"))
     if tables.isEmpty():
         none = F.lit(None).cast("double")
         return base.select(F.col("id").alias(id_col), "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_units"), none.alias("perplexity"), none.alias("bound"), F.lit(True).alias("kept"))
-    scored = cut(log_probabilities(base, tables).withColumn("perplexity", F.when(F.col("n_units") > 0, F.exp(-F.col("logp") / F.col("n_units")))))
-    known = scored.select("id", "lang", "perplexity").join(small_or_plain(ids), "id", "left_semi").filter("perplexity is not null")
+    perplexity = F.when(F.col("n_units") > 0, F.exp(-F.col("logp") / F.col("n_units")))
+    scored = cut(log_probabilities(base, tables).withColumn("perplexity", perplexity))
+    known = None
+    for half in (0, 1):
+        other = model_tables(own.filter(F.col("half") != half).select("text"))
+        if not other.isEmpty():
+            part = log_probabilities(own.filter(F.col("half") == half).select("id", "lang", "text"), other).select("lang", perplexity.alias("perplexity"))
+            known = part if known is None else known.unionByName(part)
+    known = cut(known)
+    if known.isEmpty():  # all trusted texts are one
+        known = scored.join(small_or_plain(ids), "id", "left_semi").filter("perplexity is not null")
     at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     bounds = known.groupBy("lang").agg(at.alias("bound"))
     overall = known.agg(at.alias("overall"))

@@ -284,6 +284,28 @@ def test_judgement_by_language(spark):
     assert quality.judge(table.limit(0), trusted).collect() == []
 
 
+def test_unseen_clean_texts_are_kept_and_long_ones_read_whole(spark):
+    draw = random.Random(9)
+    vocabulary = {lang: ["".join(draw.choice(parts) for _ in range(draw.randrange(1, 5))) for _ in range(300)] for lang, parts in (("en", ["the", "ing", "er", "st", "on"]), ("fr", ["eau", "que", "ou", "le", "ai"]))}
+    text = lambda lang, n: " ".join(draw.choice(vocabulary[lang]) for _ in range(n))
+    rows = [(i, text(lang, draw.randrange(60, 120)), lang, "x", "x") for i, lang in enumerate(["en"] * 240 + ["fr"] * 60)]
+    long = text("en", 260_000)
+    rows += [(900, long, "en", "x", "x"), (901, "\u00e9\u4f60 zq " * 300, "en", "x", "x"), (3, rows[3][1], "en", "x", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, perplexity string, bound string")
+    trusted = table.filter("doc_id < 300 and doc_id % 2 = 0").select("doc_id")
+    got = quality.judge(table, trusted).collect()
+    assert len(got) == len(rows)
+    kept = {r["doc_id"]: r["kept"] for r in got}
+    for low, high in ((0, 240), (240, 300)):
+        unseen = [i for i in range(low, high) if i % 2]
+        assert sum(kept[i] for i in unseen) >= 0.9 * len(unseen)
+    assert kept[900] and not kept[901]
+    tables = quality.model_tables(table.filter("doc_id < 300").select("text"))
+    whole = quality.log_probabilities(table.filter("doc_id = 900").select("doc_id", "lang", "text").toDF("id", "lang", "text"), tables).first()
+    (shard,) = quality.shards(tables)
+    assert len(long) > 1 << 20 and whole["logp"] == pytest.approx(float(shard.log_probability(quality.ngrams(long)).sum()), rel=1e-9)
+
+
 # models
 
 
