@@ -23,6 +23,8 @@ BITS = 13
 BUCKETS = 1 << BITS
 #: About so many texts of each language are in the sample.
 ROWS_PER_LANGUAGE = 600
+#: The weights of all languages are held by the driver and each task; more languages than this are refused.
+MAX_LANGUAGES = 1000
 _PIECE = 1 << 20
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -128,13 +130,16 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: st
     """A model of the languages of the rows that are not held out; None if no such row has a text with a letter.
 
     The sample takes about ``per_language`` texts of each language, by a hash of the id against its share; what comes
-    to the driver is their bucket counts, of fixed width. Document frequencies are of all rows.
+    to the driver is their bucket counts, of fixed width for each of MAX_LANGUAGES at most. Document frequencies are of
+    all rows. Null texts and languages are left out, repeated rows count each; with an empty table there is no model.
     """
     text_batches(docs)
     known = docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")
     )
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return None
     languages = sorted(sizes)
@@ -177,10 +182,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", lang: st
 def predict(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, lang_pred and score of each row, from the whole text alone.
 
-    ``und`` with score 0 for a null text, one without a letter, or where there was nothing to learn from. Repeated
-    rows each give a row.
+    ``und`` with score 0 for a null text, one without a letter, or where there was nothing to learn from. Of languages
+    that are equally likely the first by code point is taken. Repeated rows each give a row, an empty table none; other
+    columns are neither read nor returned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed width: buckets by languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets by MAX_LANGUAGES at most
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

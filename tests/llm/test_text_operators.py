@@ -327,6 +327,51 @@ def test_languages_are_told_apart(spark, documents):
     assert nothing is None and {r["lang_pred"] for r in language_id.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_the_language_model_equals_its_definition(spark):
+    """Bucket counts against a loop over n-grams, FTRL against a plain one with dense weights, TF-IDF against sums, on a small table."""
+    texts = ["Der Hund, 12 läuft", "the dog runs", "le chien  court!", "ÉTÉ"]
+
+    def grams(text):
+        m = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else " " for c in text)
+        m = re.sub(" +", " ", f" {m} ")
+        return m
+
+    def hashed(text):
+        out, m, mask = np.zeros(language_id.BUCKETS, int), [ord(c) for c in grams(text)], 0xFFFFFFFF
+        for i in range(len(m)):
+            one = m[i] * 0x9E3779B1 & mask
+            two = (one * 31 + m[i + 1] * 0x85EBCA77) & mask if i + 1 < len(m) else None
+            three = (two * 31 + m[i + 2] * 0xC2B2AE3D) & mask if i + 2 < len(m) else None
+            for h in (one, two, three):
+                if h is not None:
+                    h ^= h >> 15
+                    out[(h * 0x2C1B3C6D & mask) >> (32 - language_id.BITS)] += 1
+        return out
+
+    counts = [hashed(t) for t in texts]
+    assert all(np.array_equal(language_id.bucket_counts(t), c) for t, c in zip(texts, counts, strict=True))
+    n, df = language_id.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert n == 4 and np.array_equal(df, sum((c > 0).astype(int) for c in counts))
+    idf = np.log((1 + n) / (1 + df)) + 1
+    dense = [np.append(x / np.linalg.norm(x), 1.0) for x in (np.log1p(c) * idf for c in counts)]
+    rows, y = [(np.flatnonzero(x), x[np.flatnonzero(x)], k % 2) for k, x in enumerate(dense)], [0, 1, 0, 1]
+    z, s = np.zeros((language_id.BUCKETS + 1, 2)), np.zeros((language_id.BUCKETS + 1, 2))
+    solved = lambda: np.where(np.abs(z) <= 0.02, 0.0, -(z - np.sign(z) * 0.02) / ((1 + np.sqrt(s)) / 0.5 + 0.02))
+    order = np.random.default_rng(5)
+    for _ in range(4):
+        for k in order.permutation(4):
+            w = solved()
+            p = np.exp(dense[k] @ w)
+            g = dense[k][:, None] * (p / p.sum() - np.eye(2)[y[k]])
+            z += g - (np.sqrt(s + g * g) - np.sqrt(s)) / 0.5 * w
+            s += g * g
+    assert np.allclose(language_id.ftrl(rows, 2), solved())
+    table = spark.createDataFrame([(1, texts[0], "x")] * 2 + [(2, None, "x")], "doc_id long, text string, score string")
+    model = language_id.Model(["de", "en"], idf, solved(), 1.0)
+    got = sorted(map(tuple, language_id.predict(table, model).collect()))
+    assert len(got) == 3 and got[0] == got[1] and got[2][2] == "und" and language_id.predict(table.limit(0), model).collect() == []
+
+
 def test_held_out_is_by_crc32_of_the_id(spark):
     rows = spark.range(50).select("id", toxicity.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
