@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.model import CLOSED_STAGES, CLOSED_STATUSES
 
-_SPACE = r"[\s\x1c-\x1f]"
+# The white space of Unicode, and the four separators of ASCII.
+_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The spelling that a cast reads as it is; others are taken apart first.
+_PLAIN_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$"
 _ISO_DATE = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?)"
 _ISO_TIME = r"(\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{2}(?:\d{2}(?:\d{2}(?:[.,]\d+)?)?)?)"
 _ISO_ZONE = r"(Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)"
@@ -20,7 +25,12 @@ BUCKETS = ("hour", "day")
 
 def strip(c: Column) -> Column:
     """Without the white space (of Unicode) at both ends."""
-    return F.regexp_replace(c, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.trim(c, F.lit(_SPACE))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def text_or(c: Column, default: Column) -> Column:
@@ -33,7 +43,12 @@ def utc_timestamp(c: Column) -> Column:
 
     Dates may be basic, extended or of a week; a date alone is its midnight.
     """
-    part = lambda i: F.regexp_extract(c, _ISO, i)
+    return F.when(c.rlike(_PLAIN_TIME), c.try_cast("timestamp")).otherwise(F.when(c.rlike(_ISO), let(F.regexp_replace(c, _ISO, "$1|$2|$3"), _assembled)))
+
+
+def _assembled(parts: Column) -> Column:
+    """The instant of date, time and offset, parted by bars; the latter two may be empty."""
+    part = lambda i: F.split_part(parts, F.lit("|"), F.lit(i))
     date = part(1)
     year, week = F.substring(date, 1, 4), F.regexp_extract(date, r"W(\d{2})", 1)
     day = text_or(F.regexp_extract(date, r"W\d{2}-?(\d)", 1), F.lit("1"))
@@ -47,8 +62,7 @@ def utc_timestamp(c: Column) -> Column:
     time = F.regexp_replace(F.rpad(digits, 6, "0"), r"(\d{2})(\d{2})(\d{2})", "$1:$2:$3")
     fraction = F.regexp_replace(F.regexp_extract(part(2), r"[.,]\d+$", 0), ",", ".")
     zone = F.regexp_replace(F.regexp_replace(text_or(part(3), F.lit("Z")), ":", ""), r"([+-]\d{2})(\d{2})(\d{2})?", "$1:$2")
-    made = F.concat(plain, F.lit(" "), time, F.substring(fraction, 1, 7), zone).try_cast("timestamp")
-    return F.when(c.rlike(_ISO), made)
+    return F.concat(plain, F.lit(" "), time, F.substring(fraction, 1, 7), zone).try_cast("timestamp")
 
 
 def iso_text(ts: Column) -> Column:

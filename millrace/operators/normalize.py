@@ -21,10 +21,14 @@ def normalize(raw: DataFrame, sources: tuple[str, ...] | None = SOURCES) -> Data
     ``extra_json``, is an object. The hash covers the canonical fields and extra, never drift. Columns that
     normalisation does not know are carried along.
     """
-    clean = {c: strip(F.coalesce(F.col(c), F.lit(""))) for c in PAYLOAD}
-    key, email, occurred = strip(F.col("natural_key")), clean["contact_email"], utc_timestamp(F.col("occurred_at"))
+    # worked out once in a projection of its own, as the checks and the row both need them
+    own = {c: f"_clean_{c}" for c in (*PAYLOAD, "natural_key")}
+    raw = raw.withColumns({own[c]: strip(F.coalesce(F.col(c), F.lit(""))) for c in own} | {"_occurred": utc_timestamp(F.col("occurred_at"))})
+    columns = [c for c in raw.columns if c not in (*own.values(), "_occurred")]
+    clean = {c: F.col(own[c]) for c in PAYLOAD}
+    key, email, occurred = F.when(F.col("natural_key").isNotNull(), F.col(own["natural_key"])), clean["contact_email"], F.col("_occurred")
     checks = [
-        F.when(F.coalesce(key, F.lit("")) == "", "missing natural key"),
+        F.when(F.col(own["natural_key"]) == "", "missing natural key"),
         F.when(F.coalesce("occurred_at", F.lit("")) == "", "missing occurred_at timestamp"),
         F.when(occurred.isNull(), F.concat(F.lit("unparseable occurred_at "), _quoted(F.col("occurred_at")))),
         F.when(~email.contains("@"), F.concat(F.lit("missing or invalid contact_email "), _quoted(email))),
@@ -33,13 +37,13 @@ def normalize(raw: DataFrame, sources: tuple[str, ...] | None = SOURCES) -> Data
         known = F.coalesce(F.col("source").isin(*sources), F.lit(False))
         checks.insert(0, F.when(~known, F.concat(F.lit("unknown source "), _quoted(F.col("source")))))
     extra = F.col("extra")
-    if "extra_json" in raw.columns:
+    if "extra_json" in columns:
         kind = F.split(F.expr("schema_of_variant(try_parse_json(extra_json))"), "[<(]")[0]
         given = F.col("extra_json").isNotNull() & ~F.col("extra_json").isin("", "null", "false", "0", "[]", '""')
         checks.append(F.when(given & (F.coalesce(kind, F.lit("")) != "OBJECT"), F.concat(F.lit("extra must be an object, got "), F.lower(kind))))
         extra = F.coalesce(F.from_json("extra_json", "map<string,string>"), extra)
     extra = F.transform_values(F.coalesce(extra, F.create_map().cast("map<string,string>")), lambda _, v: F.coalesce(v, F.lit("")))
-    payload = F.to_json(F.struct(*PAYLOAD, *[c for c in ("extra", "extra_json", "drift") if c in raw.columns]))
+    payload = F.to_json(F.struct(*PAYLOAD, *[c for c in ("extra", "extra_json", "drift") if c in columns]))
     more = {
         "kind": text_or(clean["kind"], F.lit("activity")),
         "account_name": text_or(clean["account_name"], after_at(email)),
@@ -47,7 +51,7 @@ def normalize(raw: DataFrame, sources: tuple[str, ...] | None = SOURCES) -> Data
     canonical = clean | more
     fields = {c: canonical[c] for c in PAYLOAD if c != "occurred_at"}
     staged = raw.select(
-        *[c for c in raw.columns if c not in (*PAYLOAD, "natural_key", "extra", "extra_json")],
+        *[c for c in columns if c not in (*PAYLOAD, "natural_key", "extra", "extra_json")],
         F.col("natural_key").alias("raw_key"),
         key.alias("natural_key"),
         payload.alias("payload_json"),

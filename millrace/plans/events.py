@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.lineage import cut
 from millrace.model import DRIFT
 from millrace.operators.merge import State, apply_batch, decide, empty_state
 from millrace.operators.normalize import normalize
@@ -27,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores: a small file comes in fewer parts than there are cores, a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_events(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataFrame:
     """Raw records of all events; with ``failing``, writes of some fail up to four times."""
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events"))
     text, value, user = lambda c: F.col(c).cast("string"), F.col("value"), F.col("user_id").cast("string")
     arrival = F.floor(F.col("event_id") / _PRIME) * _PRIME + F.pmod(F.col("event_id") * _STEP, F.lit(_PRIME))
     account = F.concat(F.lit("acct"), (F.col("user_id") % 20).cast("string"))
@@ -55,7 +62,7 @@ def raw_events(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataF
 
 
 def decided_events(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataFrame:
-    valid = normalize(raw_events(spark, sf_dir, failing), None).filter("error is null")
+    valid = cut(normalize(raw_events(spark, sf_dir, failing), None).filter("error is null"))  # decide() reads it more than once
     return decide(valid, empty_state(spark)["ledger"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.fields import resolve, resolve_key
 from millrace.operators.merge import apply_batch, empty_state
 from millrace.operators.projections import contact_emails, deals, tickets
-from millrace.plans.events import AS_OF, table
+from millrace.plans.events import AS_OF, dealt, table
 from millrace.sources.files import calendar_text, json_rows, mailbox_text, parse_calendar, parse_crm_export, parse_mailbox
 from millrace.sources.objects import parse_contacts, parse_deals, parse_tickets
 
@@ -23,7 +23,7 @@ def _payload(raw: DataFrame) -> DataFrame:
 
 def calendar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a calendar entry, written and read."""
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events"))
     entries = e.select(
         F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("uid"), F.concat(F.lit("Talk; "), "event_type", F.lit(", daily")).alias("summary"),
         F.col("props").alias("description"), F.lit(None).cast("string").alias("location"), F.col("ts").cast("timestamp").alias("start"), F.lit(None).cast("timestamp").alias("end"),
@@ -35,7 +35,7 @@ def calendar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mailbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a mail, written and read."""
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events"))
     mails = e.select(
         F.concat(F.lit("<"), F.col("event_id").cast("string"), F.lit("@example>")).alias("message_id"), F.concat(F.lit("u"), _user(), F.lit("@Acme.example")).alias("from_email"),
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("User "), _user())).alias("from_name"), F.lit("me@example.com").alias("to"), F.col("event_type").alias("subject"),
@@ -46,7 +46,7 @@ def mailbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crm_export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as an export, some with null, missing or malformed fields."""
-    e, odd = table(spark, sf_dir, "events"), F.col("event_id") % 10
+    e, odd = dealt(table(spark, sf_dir, "events")), F.col("event_id") % 10
     row = F.to_json(
         F.struct(
             F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("record_id"), F.when(odd != 1, F.lit("call")).alias("kind"),
@@ -61,7 +61,7 @@ def crm_export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a ticket in one of four shapes: as declared, renamed and retyped, with unknown fields, or without a required one."""
-    e, shape = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    e, shape = dealt(table(spark, sf_dir, "events")), F.col("event_id") % 4
     key, at = F.concat(F.lit("T-"), F.col("event_id").cast("string")), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     who = F.concat(F.lit("first.u"), _user(), F.lit("@acme.example"))
     due = F.date_format("ts", "yyyy-MM-dd")

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import domain_of, iso_text, strip, text_or, utc_timestamp
+from millrace.functions.scalars import domain_of, iso_text, let, strip, text_or, utc_timestamp
 from millrace.model import CALENDAR, CRM_IMPORT, DRIFT, EMAIL, PAYLOAD
 
 _EVENT, _MESSAGE = "BEGIN:VEVENT", "\nFrom "
@@ -37,35 +37,51 @@ def after_cursor(raw: DataFrame, since: datetime | None) -> DataFrame:
     return raw.filter(at.isNull() | (at > F.lit(since).cast("timestamp")))
 
 
-def _property(entry: Column, name: str) -> Column:
-    """The line of a property, parameters and value; null if there is none."""
-    return F.nullif(F.regexp_extract(entry, rf"(?im)^({name}(?:;[^:\r\n]*(?:\"[^\"]*\"[^:\r\n]*)*)?:[^\r\n]*)", 1), F.lit(""))
+_PARAMETERS = r'(?:;(?:[^:"]|"[^"]*")*)?'
+
+
+def _properties(lines: Column, *names: str) -> Column:
+    """A map of the properties by name to their first line, parameters and value; each line is looked at once."""
+    head = F.regexp_extract
+    wanted = F.filter(lines, lambda x: x.rlike(f"(?i)^(?:{'|'.join(names)})[;:]"))
+    pairs = F.transform(wanted, lambda x: F.struct(F.upper(head(x, "^[^;:]*", 0)).alias("k"), x.alias("v")))
+    # of lines with one name the first stays
+    firsts = F.filter(pairs, lambda x, i: F.try_element_at(F.filter(F.slice(pairs, 1, i), lambda y: y["k"] == x["k"]), F.lit(1)).isNull())
+    return F.map_from_entries(firsts)
 
 
 def _value(line: Column) -> Column:
-    value = F.regexp_extract(line, r'^(?:[^:"]|"[^"]*")*:(.*)$', 1)
-    value = F.regexp_replace(value, r"\\[nN]", "\n")
-    return F.regexp_replace(value, r"\\([,;\\])", "$1")
+    value = F.regexp_extract(line, rf"^[^:;]*{_PARAMETERS}:(.*)$", 1)
+    return F.when(F.contains(value, F.lit("\\")), F.regexp_replace(F.regexp_replace(value, r"\\[nN]", "\n"), r"\\([,;\\])", "$1")).otherwise(value)
 
 
 def parse_calendar(entries: DataFrame) -> DataFrame:
-    """Raw records of calendar events. entries: value, the text after the line that begins an event."""
-    body = F.regexp_replace(F.regexp_extract("value", r"(?is)^(.*?)\r?\n?END:VEVENT", 1), r"\r?\n[ \t]", "")
-    e = entries.filter(F.col("value").rlike("(?i)END:VEVENT")).select(body.alias("e"), *[c for c in entries.columns if c != "value"])
-    start, organizer = _property(F.col("e"), "DTSTART"), _property(F.col("e"), "ORGANIZER")
-    at = strip(_value(start))
-    zoned = F.regexp_extract(start, r"(?i)TZID=\"?([^\":;]+)", 1)
+    """Raw records of calendar events. entries: value, the text after the line that begins an event.
+
+    Each step is a projection of its own, so that what several columns need is worked out once.
+    """
+    folded = F.regexp_replace(F.regexp_extract("value", r"(?is)^(.*?)\r?\n?END:VEVENT", 1), r"\r?\n[ \t]", "")
+    e = with_arrival(entries.filter(F.col("value").rlike("(?i)END:VEVENT"))).select("arrival", F.split(folded, r"\r?\n").alias("lines"))
+    e = e.select("arrival", _properties(F.col("lines"), "UID", "SUMMARY", "DESCRIPTION", "DTSTART", "ORGANIZER", "X-ACCOUNT-NAME").alias("p"))
+    line = lambda name: F.try_element_at(F.col("p"), F.lit(name))
+    text = lambda name: F.coalesce(_value(line(name)), F.lit(""))
+    e = e.select(
+        "arrival", line("DTSTART").alias("start"), strip(_value(line("DTSTART"))).alias("at"), line("ORGANIZER").alias("organizer"),
+        _value(line("UID")).alias("uid"), text("SUMMARY").alias("summary"), text("DESCRIPTION").alias("description"), text("X-ACCOUNT-NAME").alias("account"),
+    )
+    at, start = F.col("at"), F.col("start")
+    zoned = F.regexp_extract(start, r"(?i);TZID=\"?([^\":;]+)", 1)
     local = F.regexp_replace(at, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")
-    instant = F.when((zoned != "") & ~at.endswith("Z"), F.to_utc_timestamp(local.try_cast("timestamp"), zoned)).otherwise(utc_timestamp(at))
-    email = strip(F.regexp_replace(_value(organizer), r"(?i)^mailto:", ""))
-    name = strip(F.regexp_replace(F.regexp_extract(organizer, r'(?i);CN=("[^"]*"|[^;:]*)', 1), '"', ""))
-    text = lambda p: F.coalesce(_value(_property(F.col("e"), p)), F.lit(""))
-    mail = F.coalesce(email, F.lit(""))
-    return with_arrival(e).select(
+    instant = F.when(~at.endswith("Z") & start.rlike("(?i);TZID="), F.to_utc_timestamp(local.try_cast("timestamp"), zoned)).otherwise(utc_timestamp(at))
+    email = strip(F.regexp_replace(_value(F.col("organizer")), r"(?i)^mailto:", ""))
+    name = strip(F.replace(F.regexp_extract("organizer", r'(?i);CN=("[^"]*"|[^;:]*)', 1), F.lit('"'), F.lit("")))
+    e = e.select("arrival", "uid", "summary", "description", "account", instant.alias("instant"), F.coalesce(email, F.lit("")).alias("mail"), F.coalesce(name, F.lit("")).alias("name"))
+    e = e.withColumn("domain", domain_of(F.col("mail")))
+    return e.select(
         "arrival",
         *raw_row(
-            CALENDAR, _value(_property(F.col("e"), "UID")), kind=F.lit("meeting"), occurred_at=iso_text(instant), subject=text("SUMMARY"), body=text("DESCRIPTION"),
-            contact_email=mail, contact_name=F.coalesce(name, F.lit("")), account_name=text_or(text("X-ACCOUNT-NAME"), domain_of(mail)), account_domain=domain_of(mail),
+            CALENDAR, F.col("uid"), kind=F.lit("meeting"), occurred_at=iso_text(F.col("instant")), subject=F.col("summary"), body=F.col("description"),
+            contact_email=F.col("mail"), contact_name=F.col("name"), account_name=text_or(F.col("account"), F.col("domain")), account_domain=F.col("domain"),
         ),
     )
 
@@ -85,28 +101,39 @@ def mail_time(date: Column) -> Column:
 
 
 def parse_mailbox(messages: DataFrame) -> DataFrame:
-    """Raw records of mails. messages: value, the text of a mail after ``From `` at the start of a line."""
-    text = F.regexp_replace("value", r"\r\n", "\n")
-    text = F.regexp_replace(F.regexp_replace(text, r"^(?:From )?[^\n]*\n", ""), r"\n$", "")
-    head = F.regexp_replace(F.regexp_extract(text, r"(?s)^(.*?)(?:\n\n|$)", 1), r"\n[ \t]+", " ")
-    m = messages.filter(strip(F.col("value")) != "").select(text.alias("t"), head.alias("h"), *[c for c in messages.columns if c != "value"])
-    header = lambda name: F.nullif(F.regexp_extract("h", rf"(?im)^({name}:[^\n]*)", 1), F.lit(""))
+    """Raw records of mails. messages: value, the text of a mail after ``From `` at the start of a line.
+
+    Each step is a projection of its own, so that what several columns need is worked out once.
+    """
+    m = with_arrival(messages.filter(strip(F.col("value")) != "")).select("arrival", F.regexp_replace("value", r"\r\n", "\n").alias("t"))
+    m = m.select("arrival", F.regexp_replace(F.regexp_replace("t", r"^(?:From )?[^\n]*\n", ""), r"\n$", "").alias("t"))
+    ends = F.instr("t", "\n\n")
+    m = m.select(
+        "arrival", F.when(ends > 0, F.substring("t", ends + 2, F.length("t"))).otherwise("").alias("rest"),
+        F.split(F.regexp_replace(F.when(ends > 0, F.left("t", ends - 1)).otherwise(F.col("t")), r"\n[ \t]+", " "), "\n").alias("lines"),
+    )
+    names = ("Message-ID", "From", "Subject", "Date", "X-Account-Name", "Content-Type")
+    m = m.select("arrival", "rest", _properties(F.col("lines"), *names).alias("h"))
+    header = lambda name: F.try_element_at(F.col("h"), F.lit(name.upper()))
     value = lambda name: strip(F.regexp_replace(header(name), r"^[^:]*:", ""))
-    given = F.coalesce(value("From"), F.lit(""))
+    m = m.select(
+        "arrival", "rest", F.coalesce(value("From"), F.lit("")).alias("given"), value("Message-ID").alias("id"), F.coalesce(value("Subject"), F.lit("")).alias("subject"),
+        mail_time(value("Date")).alias("at"), F.coalesce(value("X-Account-Name"), F.lit("")).alias("account"),
+        F.regexp_extract(F.coalesce(header("Content-Type"), F.lit("")), r'(?i)multipart/.*boundary="?([^";]+)', 1).alias("edge"),
+    )
+    given, edge = F.col("given"), F.col("edge")
     named = given.contains("<") & given.contains(">")
     email = F.when(named, strip(F.regexp_extract(given, r"<([^>]*)>", 1))).otherwise(given)
     name = F.when(named, F.regexp_replace(strip(F.substring_index(given, "<", 1)), '^"+|"+$', "")).otherwise(F.lit(""))
-    rest = F.regexp_extract("t", r"(?s)^.*?\n\n(.*)$", 1)
-    edge = F.regexp_extract(F.coalesce(header("Content-Type"), F.lit("")), r'(?i)multipart/.*boundary="?([^";]+)', 1)
-    pieces = F.split(F.concat(F.lit("\n"), rest), F.concat(F.lit(r"\n--\Q"), edge, F.lit(r"\E(?:--)?[ \t]*(?=\n|$)")))
-    parts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda p: F.regexp_extract(p, r"(?s)\n\n(.*)$", 1))
-    body = strip(F.when(edge != "", F.array_join(parts, "\n")).otherwise(rest))
-    account = text_or(F.coalesce(value("X-Account-Name"), F.lit("")), domain_of(email))
-    return with_arrival(m).select(
+    pieces = F.split(F.concat(F.lit("\n"), "rest"), F.concat(F.lit(r"\n--\Q"), edge, F.lit(r"\E(?:--)?[ \t]*(?=\n|$)")))
+    joined = let(pieces, lambda p: F.array_join(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))), lambda x: F.regexp_extract(x, r"(?s)\n\n(.*)$", 1)), "\n"))
+    m = m.select("arrival", "id", "subject", "at", "account", email.alias("mail"), name.alias("name"), strip(F.when(edge != "", joined).otherwise(F.col("rest"))).alias("body"))
+    m = m.withColumn("domain", domain_of(F.col("mail")))
+    return m.select(
         "arrival",
         *raw_row(
-            EMAIL, value("Message-ID"), kind=F.lit("email"), occurred_at=iso_text(mail_time(value("Date"))), subject=F.coalesce(value("Subject"), F.lit("")), body=body,
-            contact_email=email, contact_name=name, account_name=account, account_domain=domain_of(email),
+            EMAIL, F.col("id"), kind=F.lit("email"), occurred_at=iso_text(F.col("at")), subject=F.col("subject"), body=F.col("body"),
+            contact_email=F.col("mail"), contact_name=F.col("name"), account_name=text_or(F.col("account"), F.col("domain")), account_domain=F.col("domain"),
         ),
     )
 

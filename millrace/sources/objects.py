@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.fields import TICKET_FIELDS, FieldSpec, note, resolve, resolve_key
+from millrace.functions.fields import TICKET, Contract, note, resolve, resolve_key
 from millrace.functions.scalars import after_at, closed_stage, closed_status, iso_text, name_of_email, strip, text_or, utc_timestamp
 from millrace.model import CRM_CONTACTS, CRM_DEALS, DRIFT, MISSING_REQUIRED, TICKETS
 from millrace.operators.projections import first_existing
@@ -34,13 +34,13 @@ def tickets_after(issues: DataFrame, since: datetime | None) -> DataFrame:
     return issues if since is None else issues.filter(updated_of(F.col("value")) > iso_text(F.lit(since).cast("timestamp")))
 
 
-def parse_tickets(issues: DataFrame, specs: tuple[FieldSpec, ...] = TICKET_FIELDS) -> DataFrame:
+def parse_tickets(issues: DataFrame, contract: Contract = TICKET) -> DataFrame:
     """Raw records of issues. issues: value, the JSON text of one.
 
     An issue without a required field has no time, so that validation refuses it, and a drift note that says why; its
     texts are kept in ``raw_json`` of extra, so that it can be resolved again.
     """
-    rows = with_arrival(issues).select("arrival", "value", resolve_key(F.col("value")).alias("k"), resolve(F.get_json_object("value", "$.fields"), specs).alias("f"))
+    rows = with_arrival(issues).select("arrival", "value", resolve_key(F.col("value")).alias("k"), resolve(F.get_json_object("value", "$.fields"), contract).alias("f"))
     lost = F.col("f.missing").isNotNull()
     own = lambda c: F.when(lost, F.lit("")).otherwise(F.col(f"f.{c}"))
     key, email, status = F.col("k.key"), own("assignee_email"), own("status")

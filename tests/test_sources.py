@@ -10,7 +10,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from millrace.functions.fields import TICKET_FIELDS, resolve, resolve_key
+from millrace.functions.fields import TICKET, resolve, resolve_key
 from millrace.functions.retry import ApiError, CassetteMiss
 from millrace.model import TABLES
 from millrace.operators.merge import apply_batch, empty_state, reprocess
@@ -116,7 +116,7 @@ def test_written_entries_read_back(spark, tmp_path):
 
 def resolved(spark, *bags):
     rows = spark.createDataFrame([(i, None if b is None else json.dumps(b)) for i, b in enumerate(bags)], "i int, v string")
-    return [r["f"] for r in sorted(rows.select("i", resolve(F.col("v"), TICKET_FIELDS).alias("f")).collect())]
+    return [r["f"] for r in sorted(rows.select("i", resolve(F.col("v"), TICKET).alias("f")).collect())]
 
 
 GOOD = {"summary": "s", "status": "Open", "assignee": {"emailAddress": "a@b.c"}, "updated": "2026-03-01"}
