@@ -258,6 +258,8 @@ FAR, SURE = 24, 32
 COMMON_TEXTS, COMMON = 2000, 0.005
 #: Neighbours in a group that are compared before all others.
 NEIGHBOURS = 16
+#: Bins of a sketch, and by how many deviations a pair's estimate may be too low; fewer than one pair in 100,000 has more.
+BINS, DEVIATIONS = 64, 4.5
 
 
 def shingle_set(value: str | None, width: int, seed: int) -> np.ndarray:
@@ -265,13 +267,37 @@ def shingle_set(value: str | None, width: int, seed: int) -> np.ndarray:
     return np.unique(shingle_hashes((value or "").encode("utf-8", "surrogatepass").lower(), width, seed))
 
 
+def bin_sketch(held: np.ndarray) -> bytes:
+    """For each of BINS equal ranges of hashes 16 bits of the least one in it, zero where there is none. held: in order."""
+    bins = (held >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])) if len(held) else np.zeros(0, np.int64)
+    out = np.zeros(BINS, np.uint16)
+    out[bins[first]] = held[first] % np.uint64(65535) + np.uint64(1)
+    return out.tobytes()
+
+
+def _plausible(similarity: float):
+    """Pairs (a, b) whose sketches (x, y) let them be similar, of sets with at least SURE shingles (n); all pairs of smaller ones."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS) for k in ("x", "y"))
+            both = ((x != 0) | (y != 0)).sum(axis=1)
+            same = ((x == y) & (x != 0)).sum(axis=1)
+            slack = DEVIATIONS * np.sqrt(similarity * (1 - similarity) * np.maximum(both, 1))
+            near = (batch.column("n").to_numpy() < SURE) | (same >= similarity * both - slack)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return scan
+
+
 def _lists(held: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int32)
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*held, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 def _sketched(width: int, seed: int, similarity: float, common: np.ndarray):
-    """id, th, digest and size of the shingle set, its fingerprint, and the shingles of which similar sets share one.
+    """id, th, digest and size of the shingle set, its fingerprint, its sketch, and the shingles of which similar sets share one.
 
     The common shingles come last in the order of all. Of two sets of which a share of at least ``similarity`` of all elements is common, the least n - ceil(similarity * n) + 1
     of each, in any order that is the same for both, have one in common.
@@ -279,17 +305,18 @@ def _sketched(width: int, seed: int, similarity: float, common: np.ndarray):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, fps, least = [], [], [], []
+            digests, sizes, fps, sketches, least = [], [], [], [], []
             for value in batch.column(2):
                 held = shingle_set(value.as_py(), width, seed)
                 digests.append(hashlib.blake2b(held.tobytes(), digest_size=16).digest())
                 sizes.append(len(held))
                 fps.append(majority_bits([held])[0])
+                sketches.append(bin_sketch(held))
                 last = np.isin(held, common)
                 least.append(np.concatenate([held[~last], held[last]])[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), _lists(least)],
-                ["id", "th", "digest", "n", "fp", "least"],
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), _lists(least)],
+                ["id", "th", "digest", "n", "fp", "sketch", "least"],
             )
 
     return scan
@@ -322,7 +349,7 @@ def near_copies(
     similarity of at least that. group is a number that only the rows of one component share.
 
     Bands of one fingerprint cannot find these pairs (they differ by some 10 bits), so texts that share one of their
-    least shingles are candidates; fingerprints thin them out and the shingles themselves decide. Equal sets are
+    least shingles are candidates; fingerprints and sketches thin them out and the shingles themselves decide. Equal sets are
     compared once; what neighbours of a group have joined is not compared again. Null and blank texts are copies of each other, a null id is never the smallest, as in near_duplicates.
     """
     text_batches(docs)
@@ -336,8 +363,8 @@ def near_copies(
     looked = base.filter(F.pmod(F.xxhash64(F.lit(3), "th"), F.lit(part)) == 0).select("th", "text").dropDuplicates(["th"])
     often = looked.mapInArrow(sets, "th long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count()
     often = often.filter(F.col("count") > max(5, COMMON * COMMON_TEXTS)).select("s").toArrow()["s"].to_numpy().view(np.uint64)
-    marked = cut(base.mapInArrow(_sketched(width, seed, similarity, often), f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, least array<long>"))
-    one = marked.groupBy("digest").agg(F.min("id").alias("smallest"), F.count("*").alias("times"), F.min(F.struct("th", "n", "fp", "least")).alias("x"))
+    marked = cut(base.mapInArrow(_sketched(width, seed, similarity, often), f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, sketch binary, least array<long>"))
+    one = marked.groupBy("digest").agg(F.min("id").alias("smallest"), F.count("*").alias("times"), F.min(F.struct("th", "n", "fp", "sketch", "least")).alias("x"))
     distinct = cut(one.select("digest", "smallest", "times", "x.*").withColumn("node", F.monotonically_increasing_id()))
     keyed = distinct.select("node", "n", "fp", F.explode("least").alias("s"))
     shared = cut(keyed.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1"))
@@ -351,7 +378,9 @@ def near_copies(
 
     def similar(rows: DataFrame, steps: int | None) -> DataFrame:
         found = rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").mapInArrow(_candidates(keys, similarity, steps), "a long, b long")
-        pairs = cut(found.distinct())
+        left, right = (distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+        met = found.distinct().join(left, "a").join(right, "b").select("a", "b", F.least("n_a", "n_b").alias("n"), "x", "y")
+        pairs = cut(met.mapInArrow(_plausible(similarity), "a long, b long"))
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "th"), "node"))
         texts = base.select("th", "text").join(small_or_plain(wanted.select("th").distinct()), "th", "left_semi").dropDuplicates(["th"])
         known = cut(texts.mapInArrow(sets, "th long, shingles array<long>").join(wanted, "th").select("node", "shingles"))
