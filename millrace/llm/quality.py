@@ -35,20 +35,21 @@ def ngrams(text: str) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(held: list[np.ndarray]) -> pa.RecordBatch:
+    """half, gram, n of texts and their halves, counted for each batch."""
+
+    def made(half: int, held: list[np.ndarray]) -> pa.RecordBatch:
         gram, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), half), pa.int32()), pa.array(gram.view(np.int64)), pa.array(n)], ["half", "gram", "n"])
 
     for batch in batches:
-        held, size = [], 0
-        for value in batch.column(0):
-            held.append(ngrams(value.as_py() or ""))
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield made(held)
-                held, size = [], 0
-        if held:
-            yield made(held)
+        held: dict[int, list[np.ndarray]] = {}
+        for value, half in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            own = held.setdefault(half, [])
+            own.append(ngrams(value.as_py() or ""))
+            if sum(map(len, own)) > 4_000_000:
+                yield made(half, held.pop(half))
+        for half, own in held.items():
+            yield made(half, own)
 
 
 def _last(gram: str, units: int) -> str:
@@ -58,36 +59,60 @@ def _last(gram: str, units: int) -> str:
 def model_tables(texts: DataFrame) -> DataFrame:
     """order, key, value: for a gram of ``order`` units its log probability, and for a context (order 10 + units) the log
     of the weight of the lower order. texts: one column, all of them counted."""
-    counts = {ORDER: cut(texts.mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))}
+    return _tables(texts.select(F.col(texts.columns[0]).alias("text"), F.lit(0).alias("half"))).drop("half")
+
+
+#: What stands for the halves together.
+_ALL = 2
+
+
+def half_tables(texts: DataFrame) -> DataFrame:
+    """model_tables() of each half of the texts and, as half _ALL, of both, made side by side. texts: text, half (0 or 1)."""
+    return _tables(texts, together=True)
+
+
+def _tables(texts: DataFrame, together: bool = False) -> DataFrame:
+    counts = {ORDER: cut(texts.select("text", "half").mapInArrow(_counted, "half int, gram long, n long").groupBy("half", "gram").agg(F.sum("n").alias("n")))}
+    if together:
+        counts[ORDER] = counts[ORDER].unionByName(counts[ORDER].groupBy("gram").agg(F.sum("n").alias("n")).withColumn("half", F.lit(_ALL)))
     for k in range(ORDER - 1, 0, -1):
-        counts[k] = cut(counts[k + 1].groupBy(F.expr(_last("gram", k)).alias("gram")).agg(F.count("*").alias("n")))
-    size = counts[1].count()
-    out, lower = None, None
+        counts[k] = cut(counts[k + 1].groupBy("half", F.expr(_last("gram", k)).alias("gram")).agg(F.count("*").alias("n")))
+    sizes = {r["half"]: r["n"] for r in counts[1].groupBy("half").agg(F.count("*").alias("n")).collect()}
+    per_half = lambda values: F.element_at(F.create_map(*[F.lit(x) for h, v in values.items() for x in (h, float(v))]), F.col("half")) if values else F.lit(None).cast("double")
+    unknown, out, lower = 1 / (per_half(sizes) + 1), None, None
     for k in range(1, ORDER + 1):
-        n = {r["n"]: r["c"] for r in counts[k].filter("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}
-        n1, n2, n3, n4 = (max(1, n.get(i, 0)) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-        off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = counts[k].select("gram", "n", off.alias("off"), F.expr("shiftrightunsigned(gram, 16)").alias("context"), F.expr(_last("gram", max(1, k - 1))).alias("suffix"))
-        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("spare"))
-        weights = totals.select("context", "total", (F.col("spare") / F.col("total")).alias("weight"))
-        joined = rows.join(weights, "context")
+        found: dict[int, dict[int, int]] = {h: {} for h in sizes}
+        for r in counts[k].filter("n <= 4").groupBy("half", "n").agg(F.count("*").alias("c")).collect():
+            found[r["half"]][r["n"]] = r["c"]
+        d = {h: _discounts(n) for h, n in found.items()}
+        first, second, more = (per_half({h: x[i] for h, x in d.items()}) for i in range(3))
+        off = F.when(F.col("n") == 1, first).when(F.col("n") == 2, second).otherwise(more)
+        rows = counts[k].select("half", "gram", "n", off.alias("off"), F.expr("shiftrightunsigned(gram, 16)").alias("context"), F.expr(_last("gram", max(1, k - 1))).alias("suffix"))
+        totals = rows.groupBy("half", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("spare"))
+        weights = totals.select("half", "context", "total", (F.col("spare") / F.col("total")).alias("weight"))
+        joined = rows.join(weights, ["half", "context"])
         if k == 1:
-            p = (F.col("n") - F.col("off")) / F.col("total") + F.col("weight") / (size + 1)
+            p = (F.col("n") - F.col("off")) / F.col("total") + F.col("weight") * unknown
         else:
-            joined = joined.join(lower, "suffix")
+            joined = joined.join(lower, ["half", "suffix"])
             p = (F.col("n") - F.col("off")) / F.col("total") + F.col("weight") * F.col("p")
-        level = cut(joined.select("gram", p.alias("p")))
-        part = level.select(F.lit(k).alias("order"), F.col("gram").alias("key"), F.log("p").alias("value"))
-        part = part.unionByName(weights.select(F.lit(10 + k - 1).alias("order"), F.col("context").alias("key"), F.log("weight").alias("value")))
+        level = cut(joined.select("half", "gram", p.alias("p")))
+        part = level.select("half", F.lit(k).alias("order"), F.col("gram").alias("key"), F.log("p").alias("value"))
+        part = part.unionByName(weights.select("half", F.lit(10 + k - 1).alias("order"), F.col("context").alias("key"), F.log("weight").alias("value")))
         if k == 1:
-            part = part.unionByName(weights.select(F.lit(0).alias("order"), F.lit(0).cast("long").alias("key"), F.log(F.col("weight") / (size + 1)).alias("value")))
+            part = part.unionByName(weights.select("half", F.lit(0).alias("order"), F.lit(0).cast("long").alias("key"), F.log(F.col("weight") * unknown).alias("value")))
         out = part if out is None else out.unionByName(part)
-        lower = level.select(F.col("gram").alias("suffix"), "p")
+        lower = level.select("half", F.col("gram").alias("suffix"), "p")
     return cut(out)
 
 
+def _discounts(n: dict[int, int]) -> list[float]:
+    """What is taken off counts of one, two, and more, from how many grams have counts of one to four."""
+    n1, n2, n3, n4 = (max(1, n.get(i, 0)) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    return [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+
+
 @dataclass
 class Shard:
     """Sorted keys and values of each order; the positions whose two units before fall to this remainder are its own."""
@@ -188,7 +213,9 @@ def judge(
     ids = cut(trusted.select(F.col(trusted.columns[0]).alias("id")).filter("id is not null").distinct())
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).alias("text"))
     own = base.join(small_or_plain(ids), "id", "left_semi").filter("text <> ''").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
-    tables = model_tables(own.select("text"))
+    models = half_tables(own.select("text", F.col("half").cast("int").alias("half")))
+    of = lambda half: models.filter(F.col("half") == half).drop("half")
+    tables = of(_ALL)
     if tables.isEmpty():
         none = F.lit(None).cast("double")
         return base.select(F.col("id").alias(id_col), "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_units"), none.alias("perplexity"), none.alias("bound"), F.lit(True).alias("kept"))
@@ -196,7 +223,7 @@ def judge(
     scored = cut(log_probabilities(base, tables).withColumn("perplexity", perplexity))
     known = None
     for half in (0, 1):
-        other = model_tables(own.filter(F.col("half") != half).select("text"))
+        other = of(1 - half)
         if not other.isEmpty():
             part = log_probabilities(own.filter(F.col("half") == half).select("id", "lang", "text"), other).select("lang", perplexity.alias("perplexity"))
             known = part if known is None else known.unionByName(part)
