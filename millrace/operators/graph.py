@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from millrace.lineage import cut
 
 DONE, PLANNED = "done", "planned"
+#: Milestones of a cycle that an error names.
+NAMED = 20
 
 
 class UnknownDependency(ValueError):
@@ -22,7 +24,11 @@ class UnknownDependency(ValueError):
 
 
 class DependencyCycle(ValueError):
-    """Some milestones depend on themselves."""
+    """Some milestones depend on themselves. stuck: milestone_key of all that cannot be levelled; the text names the first of them."""
+
+    def __init__(self, text: str, stuck: DataFrame) -> None:
+        super().__init__(text)
+        self.stuck = stuck
 
 
 def topological_levels(keys: DataFrame, deps: DataFrame) -> DataFrame:
@@ -47,9 +53,10 @@ def topological_levels(keys: DataFrame, deps: DataFrame) -> DataFrame:
         met = deps.join(ready.withColumnRenamed("milestone_key", "depends_on_key"), "depends_on_key").groupBy("milestone_key").agg(F.count("*").alias("met"))
         rest = cut(rest.filter("n > 0").join(met, "milestone_key", "left").select("milestone_key", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")))
         level += 1
-    stuck = [r["milestone_key"] for r in rest.orderBy("milestone_key").limit(20).collect()]
-    if stuck:
-        raise DependencyCycle(f"cycle among milestones {stuck}")
+    left = rest.select("milestone_key")
+    if named := [r["milestone_key"] for r in left.orderBy("milestone_key").limit(NAMED + 1).collect()]:
+        more = f" and {left.count() - NAMED} more" if len(named) > NAMED else ""
+        raise DependencyCycle(f"cycle among milestones {named[:NAMED]}{more}", left)
     return out if out is not None else keys.withColumn("level", F.lit(0))
 
 

@@ -93,7 +93,10 @@ def writes_over_time(audit: DataFrame, bucket: str = "hour", fill_gaps: bool = T
 
 
 def writes_pivot(series: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """A row per bucket and a column per source, of created and updated together; zero where there is none."""
+    """A row per bucket and a column per source, of created and updated together; zero where there is none.
+
+    Without the sources Spark looks them up, and refuses more than spark.sql.pivotMaxValues of them.
+    """
     return series.groupBy("bucket").pivot("source", sources).agg(F.sum(F.col("created") + F.col("updated"))).fillna(0)
 
 

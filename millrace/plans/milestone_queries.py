@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from millrace.lineage import cut
 from millrace.model import TABLES
 from millrace.operators import graph, metrics, report, rules
+from millrace.operators.order import READ_ORDER, numbered
 from millrace.operators.projections import merge_milestones
 from millrace.plans.events import table
+from millrace.sources.files import parse_milestones
 
 AS_OF = date(2001, 6, 1)
 
@@ -92,6 +94,44 @@ def milestone_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.filter("section in (1, 3)").select("section", "key", "rule_id", "subject_key", "part", F.rtrim("line").alias("line"))
 
 
+def schedule_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The milestones in the order of the schedule, with their places."""
+    rows = _milestones(spark, sf_dir)[0].select("milestone_key", F.date_format("planned_end", "yyyy-MM-dd").alias("planned_end"))
+    return numbered(rows, *READ_ORDER["milestones"])
+
+
+def escalations_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The escalations as they are reported: by severity, milestone, rule and subject."""
+    found = _found(spark, sf_dir)[1]
+    return numbered(found.select("rank", "milestone_key", "rule_id", "subject_key"), "rank", "milestone_key", "rule_id", "subject_key")
+
+
+def escalations_by_other_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules with a wider tolerance and a longer look ahead."""
+    plan, deps = _plan(spark, sf_dir)
+    return rules.evaluate(plan, deps, _tickets(spark, sf_dir), AS_OF, rules.RuleConfig(slip_tolerance_days=40, unowned_within_days=30))
+
+
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report, its lines numbered as they are read."""
+    plan, found = _found(spark, sf_dir)
+    lines = report.report_lines(plan, cut(found), metrics.ticket_counts(_tickets(spark, sf_dir)), AS_OF)
+    return numbered(lines, *report.ORDER).select("pos", "section", F.rtrim("line").alias("line"))
+
+
+def milestone_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The milestones of each customer as a JSON array, read and merged into an empty plan."""
+    milestones, deps = _milestones(spark, sf_dir)
+    listed = deps.groupBy("milestone_key").agg(F.collect_list("depends_on_key").alias("depends_on"))
+    day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(" ")).alias(c)
+    row = F.to_json(F.struct("milestone_key", "name", "owner_email", day("planned_end"), day("actual_end"), "status", "depends_on"))
+    texts = milestones.join(listed, "milestone_key", "left").groupBy("account_name").agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("value"))
+    rows, edges = merge_milestones(*[spark.createDataFrame([], TABLES[n]) for n in ("milestones", "milestone_deps")], parse_milestones(texts))
+    counted = edges.groupBy("milestone_key").agg(F.min("depends_on_key").alias("parent"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return rows.join(counted, "milestone_key", "left").select("milestone_key", "name", "account_name", "owner_email", text("planned_end"), text("actual_end"), "status", "parent")
+
+
 def ticket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ticket_counts(_tickets(spark, sf_dir))
 
@@ -104,6 +144,11 @@ QUERIES = {
     "escalation_insert_ignore": escalation_insert_ignore,
     "milestone_report": milestone_report,
     "ticket_counts": ticket_counts,
+    "schedule_order": schedule_order,
+    "escalations_in_order": escalations_in_order,
+    "escalations_by_other_rules": escalations_by_other_rules,
+    "report_text": report_text,
+    "milestone_file": milestone_file,
 }
 
 _PLAN = """WITH RECURSIVE shipped AS (SELECT l_orderkey, CAST(max(l_shipdate) AS DATE) AS d FROM lineitem GROUP BY l_orderkey),
@@ -156,4 +201,29 @@ ORACLE_SQL = {
             || CASE WHEN subject_key <> '' THEN ' [' || subject_key || ']' ELSE '' END || '  ' || rule_id FROM found
         UNION ALL SELECT 3, milestone_key, rule_id, subject_key, 1, '          ' || detail FROM found""",
     "ticket_counts": _COUNTS,
+    "schedule_order": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS milestone_key, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS planned_end,
+               row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), CAST(o_orderkey AS VARCHAR)) - 1 AS pos FROM orders""",
+    "escalations_in_order": f"""{_PLAN}
+        SELECT rank, milestone_key, rule_id, subject_key, row_number() OVER (ORDER BY rank, milestone_key, rule_id, subject_key) - 1 AS pos FROM found""",
+    "escalations_by_other_rules": f"""{_PLAN.replace("parent_slip > 3", "parent_slip > 40").replace("tolerance 3d", "tolerance 40d").replace("BETWEEN 0 AND 7", "BETWEEN 0 AND 30")} SELECT * FROM found""",
+    "milestone_file": f"""{_PLAN}
+        SELECT k AS milestone_key, name, '' AS account_name, owner AS owner_email, CAST(planned AS VARCHAR) AS planned_end, CAST(actual AS VARCHAR) AS actual_end,
+               CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'planned' END AS status, parent FROM m""",
 }
+# the report with its frame, in the order in which it is read
+_HEADS = "rpad('MILESTONE', 11, ' ') || rpad('PLANNED', 12, ' ') || rpad('ACTUAL', 12, ' ') || rpad('PROJECTED', 12, ' ') || rpad('SLIP', 16, ' ') || rpad('OPEN TIX', 10, ' ') || 'STATUS'"
+_BODY = ORACLE_SQL["milestone_report"].replace(
+    "name, parent FROM label", "name, parent, planned FROM label"
+).replace("SELECT 1 AS section, k AS key, '' AS rule_id, '' AS subject_key, 0 AS part, line FROM cells", f"""
+        , lines AS (SELECT 0 AS section, 0 AS rank, CAST(NULL AS DATE) AS due_at, '' AS key, '' AS rule_id, '' AS subject_key, CAST(i - 1 AS INT) AS part,
+            CASE i WHEN 2 THEN 'PROJECT MILESTONE REPORT (synthetic data)   as of 2001-06-01' WHEN 4 THEN '' WHEN 5 THEN {_HEADS} WHEN 6 THEN repeat('-', 84) ELSE repeat('=', 84) END AS line FROM range(1, 7) t(i)
+        UNION ALL SELECT 1, 0, planned, k, '', '', 0, line FROM cells""").replace(
+    "UNION ALL SELECT 1, k, '', '', 1,", "UNION ALL SELECT 1, 0, planned, k, '', '', 1,").replace(
+    "UNION ALL SELECT 1, k, '', '', 2,", "UNION ALL SELECT 1, 0, planned, k, '', '', 2,").replace(
+    "UNION ALL SELECT 3, milestone_key,", "UNION ALL SELECT 3, rank, NULL, milestone_key,")
+ORACLE_SQL["report_text"] = f"""{_BODY}
+        UNION ALL SELECT 2, 0, NULL, '', '', '', CAST(i - 1 AS INT), CASE i WHEN 1 THEN '' WHEN 3 THEN (SELECT CASE WHEN count(*) > 0 THEN 'ESCALATIONS: ' || count(*)
+            ELSE 'ESCALATIONS: none. Every open milestone is on track as of this date.' END FROM found) ELSE repeat('=', 84) END FROM range(1, 5) t(i)
+        UNION ALL SELECT 4, 0, NULL, '', '', '', 0, repeat('=', 84) FROM (SELECT 1 FROM found LIMIT 1))
+        SELECT row_number() OVER (ORDER BY section, rank, due_at NULLS FIRST, key, rule_id, subject_key, part) - 1 AS pos, section, rtrim(line) AS line FROM lines"""

@@ -44,6 +44,25 @@ def mailbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _payload(parse_mailbox(mailbox_text(mails).select(F.regexp_replace("value", "^From ", "").alias("value"))))
 
 
+def multipart_mail_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails of two parts, with a folded header and a name in quotes; of every third the parts are not closed."""
+    e = dealt(table(spark, sf_dir, "events"))
+    n = F.col("event_id").cast("string")
+    head = F.concat(
+        F.lit("MAILER\nMessage-ID: <"), n, F.lit(">\nFrom: \"Doe, "), n, F.lit("\" <u"), _user(), F.lit("@Mail.example>\nSubject: a long\n  subject\nDate: "),
+        F.date_format(F.col("ts").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200\nContent-Type: multipart/mixed; boundary=\"B"), n, F.lit("\"\n"),
+    )
+    part = lambda text: F.concat(F.lit("\n--B"), n, F.lit("\nContent-Type: text/plain\n\n"), text)
+    mail = F.concat(head, part(F.col("event_type")), part(F.col("props")), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("\n--B"), n, F.lit("--"))), F.lit("\n"))
+    return _payload(parse_mailbox(e.select(mail.alias("value")))).select("natural_key", "occurred_at", "subject", "body", "contact_email", "contact_name", "account_name")
+
+
+def ticket_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw records of all issues, as validation gets them."""
+    raw = parse_tickets(_issues(spark, sf_dir).select("value"))
+    return _payload(raw).withColumn("lost", F.col("occurred_at") == "")
+
+
 def crm_export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of each user as an export, some with null, missing or malformed fields."""
     e, odd = dealt(table(spark, sf_dir, "events")), F.col("event_id") % 10
@@ -118,6 +137,8 @@ QUERIES = {
     "calendar_scan": calendar_scan,
     "mailbox_scan": mailbox_scan,
     "crm_export_scan": crm_export_scan,
+    "multipart_mail_scan": multipart_mail_scan,
+    "ticket_records": ticket_records,
     "drift_resolve": drift_resolve,
     "ticket_board": ticket_board,
     "crm_deal_resolution": crm_deal_resolution,
@@ -134,6 +155,16 @@ ORACLE_SQL = {
         SELECT 'email' AS source, '<' || event_id || '@example>' AS natural_key, 'email' AS kind, CASE WHEN event_id % 10 <> 0 THEN {_ISO} END AS occurred_at,
                event_type AS subject, '>From here on' || chr(10) || props AS body, 'u' || user_id || '@Acme.example' AS contact_email,
                CASE WHEN event_id % 2 = 0 THEN 'User ' || user_id ELSE '' END AS contact_name, 'acme.example' AS account_name, 'acme.example' AS account_domain FROM events""",
+    "multipart_mail_scan": """
+        SELECT '<' || event_id || '>' AS natural_key, strftime(date_trunc('second', ts) - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS occurred_at, 'a long subject' AS subject,
+               CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_type || chr(10) || props END AS body, 'u' || user_id || '@Mail.example' AS contact_email, 'Doe, ' || event_id AS contact_name,
+               'mail.example' AS account_name FROM events""",
+    "ticket_records": """
+        SELECT 'tickets' AS source, 'T-' || event_id AS natural_key, 'ticket' AS kind, CASE WHEN lost THEN '' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS occurred_at,
+               CASE WHEN lost THEN '' ELSE event_type END AS subject, CASE WHEN lost THEN '' ELSE 'SYNTHETIC ticket T-' || event_id || ' status=' || CASE WHEN value < 50 THEN 'Done' ELSE 'open' END END AS body,
+               CASE WHEN lost THEN '' ELSE 'first.u' || user_id || '@acme.example' END AS contact_email, CASE WHEN lost THEN '' ELSE 'First U' || user_id END AS contact_name,
+               CASE WHEN lost THEN '' ELSE 'acme.example' END AS account_name, CASE WHEN lost THEN '' ELSE 'acme.example' END AS account_domain, lost
+        FROM (SELECT *, event_id % 4 = 3 AS lost FROM events)""",
     "crm_export_scan": f"""
         SELECT 'crm_import' AS source, 'r' || event_id AS natural_key, CASE WHEN event_id % 10 = 1 THEN 'note' ELSE 'call' END AS kind,
                CASE WHEN event_id % 10 = 2 THEN 'soon' ELSE {_ISO} END AS occurred_at, event_type AS subject, CASE WHEN event_id % 10 = 4 THEN 'None' ELSE '' END AS body,

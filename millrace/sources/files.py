@@ -147,6 +147,19 @@ def json_rows(files: DataFrame) -> DataFrame:
     return files.select(F.explode(F.from_json("value", "array<string>")).alias("value")).filter(F.col("value").rlike(r"^\s*\{"))
 
 
+def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON objects of files as text, one row each. Files named .jsonl hold one on each line and are split among tasks;
+    any other holds an array, which one task reads whole."""
+    if path.endswith(".jsonl"):
+        return spark.read.text(path).filter(F.col("value").rlike(r"^\s*\{"))
+    return json_rows(spark.read.text(path, wholetext=True))
+
+
+def write_json_rows(rows: DataFrame, path: str) -> None:
+    """Write JSON texts, one on each line, for read_json_rows(). rows: value; the path should end in .jsonl. Line feeds between tokens become spaces."""
+    rows.select(F.regexp_replace("value", r"[\r\n]+", " ").alias("value")).filter("value is not null").write.text(path)
+
+
 def parse_crm_export(rows: DataFrame) -> DataFrame:
     """Raw records of exported activities. rows: value, the JSON text of an object. A null field reads ``None``, an absent one has its default."""
     keys, bag = F.json_object_keys("value"), F.from_json("value", "map<string,string>")
@@ -164,16 +177,21 @@ def parse_crm_export(rows: DataFrame) -> DataFrame:
 
 def read_crm_export(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
     """An incremental read compares texts, so what cannot be read as a time passes only if it sorts after the cursor."""
-    raw = parse_crm_export(json_rows(spark.read.text(path, wholetext=True)))
+    raw = parse_crm_export(read_json_rows(spark, path))
     if since is None:
         return raw
     return raw.filter(F.col("occurred_at").isNull() | (F.col("occurred_at") > iso_text(F.lit(since).cast("timestamp"))))
 
 
 def read_milestones(spark: SparkSession, path: str) -> DataFrame:
-    """Milestones of a JSON array with their depends_on; blank dates are null."""
+    """Milestones of JSON files, each an array."""
+    return parse_milestones(spark.read.text(path, wholetext=True))
+
+
+def parse_milestones(files: DataFrame) -> DataFrame:
+    """Milestones of JSON arrays with their depends_on; blank dates are null. files: value."""
     schema = "milestone_key string, name string, account_name string, owner_email string, planned_start string, planned_end string, actual_end string, status string, depends_on array<string>"
-    rows = spark.read.text(path, wholetext=True).select(F.inline(F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+    rows = files.select(F.inline(F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
     day = lambda c: F.left(strip(F.col(c)), F.lit(10)).try_cast("date").alias(c)
     empty = lambda c, default="": F.coalesce(c, F.lit(default)).alias(c)
     return rows.select(

@@ -15,10 +15,10 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from millrace.functions.retry import ApiError, CassetteMiss, TransientError, call_with_retry, classified
+from millrace.functions.retry import OUTAGE, REFUSED, UNRECORDED, Patience, SourceFailure, answer
 
 Transport = Callable[[str, dict[str, str]], tuple[int, dict[str, str], dict]]
 MAX_PAGE = 100
@@ -35,7 +35,7 @@ class Recorded:
             if e["path"] == path and all(params.get(str(k)) == str(v) for k, v in (e.get("params") or {}).items()):
                 del self.left[i]
                 return int(e.get("status", 200)), dict(e.get("headers") or {}), dict(e.get("body") or {})
-        raise CassetteMiss(f"nothing recorded for {path} with {params}")
+        raise SourceFailure(UNRECORDED, f"nothing recorded for {path} with {params}")
 
 
 class Live:
@@ -48,12 +48,12 @@ class Live:
         request = urllib.request.Request(f"{self.base_url}{path}?{urllib.parse.urlencode(params)}")
         request.add_header("Authorization", f"Bearer {os.environ.get(self.token_variable, '')}")
         try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                return answer.status, dict(answer.headers), json.loads(answer.read() or b"{}")
+            with urllib.request.urlopen(request, timeout=self.timeout) as found:
+                return found.status, dict(found.headers), json.loads(found.read() or b"{}")
         except urllib.error.HTTPError as e:
             return e.code, dict(e.headers or {}), {"message": e.reason}
         except urllib.error.URLError as e:
-            raise TransientError(f"{path}: {e.reason}") from e
+            raise SourceFailure(OUTAGE, f"{path}: {e.reason}") from e
 
 
 def token_pages(get: Callable[[dict[str, str]], dict], params: dict[str, str]) -> Iterator[dict]:
@@ -69,7 +69,7 @@ def token_pages(get: Callable[[dict[str, str]], dict], params: dict[str, str]) -
             return
         after = str(after)
         if after in seen:
-            raise ApiError(f"page token {after!r} came twice", 200)
+            raise SourceFailure(REFUSED, f"page token {after!r} came twice", status=200)
         seen.add(after)
 
 
@@ -86,14 +86,14 @@ class _Reader(DataSourceReader):
         self.page = int(o.get("pagesize", MAX_PAGE))
         if not 1 <= self.page <= MAX_PAGE:
             raise ValueError(f"pageSize must be 1..{MAX_PAGE}, got {self.page}")
-        self.attempts, self.base = int(o.get("attempts", 4)), float(o.get("base", 0.5))
+        self.patience = Patience(tries=int(o.get("attempts", 4)), first=float(o.get("base", 0.5)))
         self.recorded, self.url = o.get("exchanges"), o.get("url")
         self.tasks, self.waits = int(o.get("tasks", 8)), o.get("waits", "true") == "true"
 
     def _get(self) -> Callable[[dict[str, str]], dict]:
         transport: Transport = Recorded(json.loads(self.recorded)) if self.recorded is not None else Live(self.url)
-        sleep = time.sleep if self.waits else lambda _: None
-        return lambda params: call_with_retry(lambda: classified(self.path, *transport(self.path, params)), sleep=sleep, attempts=self.attempts, base=self.base)
+        pause = time.sleep if self.waits else lambda _: None
+        return lambda params: self.patience.fetch(lambda: answer(self.path, *transport(self.path, params)), pause)
 
     def partitions(self) -> list[InputPartition]:
         if not self.offset:
@@ -132,15 +132,41 @@ class PagedApi(DataSource):
         return _Reader(self.options)
 
 
-def objects(spark: SparkSession, path: str, *, properties: tuple[str, ...] = (), associations: tuple[str, ...] = (), **options: str):
-    """The rows of a CRM object type, each as JSON text in value."""
+def objects(
+    spark: SparkSession, path: str, *, properties: tuple[str, ...] = (), associations: tuple[str, ...] = (), asked: dict[str, str] | None = None, **options: str
+) -> DataFrame:
+    """The rows of an endpoint, each as JSON text in value. asked: further parameters of each request."""
     spark.dataSource.register(PagedApi)
-    params = {"properties": ",".join(properties)} if properties else {}
+    params = dict(asked or {})
+    params |= {"properties": ",".join(properties)} if properties else {}
     params |= {"associations": ",".join(associations)} if associations else {}
     return spark.read.format("paged_api").options(path=path, params=json.dumps(params), **options).load()
 
 
+def endpoint(spark: SparkSession, url: str | None = None, recordings: tuple[str, ...] = (), **options: str) -> dict[str, str]:
+    """The options of a server, or of recordings of one in place of it: everything else of a read is the same."""
+    if (url is None) == (not recordings):
+        raise ValueError("either the url of a server or recordings")
+    return options | ({"url": url} if url is not None else {"exchanges": exchanges_of(spark, *recordings), "waits": "false"})
+
+
 def exchanges_of(spark: SparkSession, *paths: str) -> str:
     """The exchanges of recordings, one after the other, as the option's text."""
     texts = [spark.read.text(p, wholetext=True).first()["value"] for p in paths]
     return json.dumps([e for t in texts for e in json.loads(t)["exchanges"]])
+
+
+def recording(rows: list[dict], path: str, *, page: int, rows_key: str = "issues", drifts_from: int | None = None, drift: Callable[[dict], dict] = dict, refusals: dict[int, float] | None = None) -> list[dict]:
+    """Exchanges of an offset-paged endpoint that serves a few rows, as a stand-in for a server.
+
+    From page ``drifts_from`` on, rows come as ``drift`` makes them; a page of ``refusals`` is refused once, with that wait.
+    """
+    out: list[dict] = []
+    for number, at in enumerate(range(0, max(len(rows), 1), page)):
+        params = {"startAt": str(at)}
+        drifted = drifts_from is not None and number >= drifts_from
+        if number in (refusals or {}):
+            out.append({"path": path, "params": params, "status": 429, "headers": {"Retry-After": str(refusals[number])}, "body": {"message": "quota"}})
+        body = {"startAt": at, "total": len(rows), rows_key: [drift(r) if drifted else r for r in rows[at : at + page]]}
+        out += [{"path": path, "params": params, "status": 200, "body": body}] * (2 if at == 0 else 1)  # the first page is asked for its total, too
+    return out

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 from datetime import UTC, datetime
 
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import retry
+from millrace.functions.retry import Patience, SourceFailure
 from millrace.functions import scalars as S
 
 
@@ -72,32 +74,49 @@ def test_money(spark):
 
 def test_backoff(spark):
     for n in (1, 2, 5, 9):
-        assert column(spark, [n], "int", lambda c: S.backoff_delays(c, 0.5, 2.0, 3.0))[0] == retry.backoff_delays(n, 0.5, 2.0, 3.0)
-    assert retry.backoff_delays(4, 0.5) == [0.5, 1.0, 2.0]
+        assert column(spark, [n], "int", lambda c: S.backoff_delays(c, 0.5, 2.0, 3.0))[0] == Patience(tries=n, first=0.5, longest=3.0).waits()
+    assert Patience(tries=4, longest=None).waits() == [0.5, 1.0, 2.0]
     with pytest.raises(ValueError):
-        retry.backoff_delays(0, 1.0)
+        Patience(tries=0).waits()
 
 
-def test_retry_waits_as_told():
-    waits, left = [], [retry.TransientError("x"), retry.RateLimitError("x", 7.0)]
+def failing(*failures):
+    left = list(failures)
 
-    def call():
+    def ask():
         if left:
             raise left.pop(0)
-        return "ok"
+        return {"ok": True}
 
-    assert retry.call_with_retry(call, sleep=waits.append, base=0.5) == "ok"
-    assert waits == [0.5, 7.0]
+    return ask
+
+
+def test_pages_are_asked_for_again_as_told():
+    waits, told = [], []
+    asked = failing(SourceFailure(retry.OUTAGE, "x"), SourceFailure(retry.THROTTLED, "x", wait=7.0))
+    assert Patience().fetch(asked, waits.append, lambda due, failure: told.append((due, failure.kind))) == {"ok": True}
+    assert waits == [0.5, 7.0] and told == [(0.5, "outage"), (7.0, "throttled")]
     waits.clear()
-    with pytest.raises(retry.TransientError):
-        retry.call_with_retry(lambda: (_ for _ in ()).throw(retry.TransientError("y")), sleep=waits.append, attempts=3, base=1.0, jitter=True, draw=lambda: 0.5)
-    assert waits == [0.5, 1.0]
-    with pytest.raises(retry.AuthError):
-        retry.call_with_retry(lambda: retry.classified("/p", 403, {}, {}), sleep=waits.append)
+    with pytest.raises(SourceFailure, match="third"):
+        Patience(tries=3, first=1.0, scattered=True).fetch(failing(*(SourceFailure(retry.OUTAGE, n) for n in ("first", "second", "third"))), waits.append)
+    assert len(waits) == 2 and 0 <= waits[0] <= 1 and 0 <= waits[1] <= 2
+    with pytest.raises(SourceFailure, match="denied"):
+        Patience().fetch(lambda: retry.answer("/p", 403, {}, {}), waits.append)
     assert len(waits) == 2
-    with pytest.raises(retry.RateLimitError) as e:
-        retry.classified("/p", 429, {"retry-AFTER": "10"}, {})
-    assert e.value.retry_after == 10.0
-    for status, kind in ((500, retry.TransientError), (404, retry.ApiError)):
-        with pytest.raises(kind):
-            retry.classified("/p", status, {}, {})
+
+
+def test_what_a_status_stands_for():
+    assert retry.answer("/p", 204, {}, {"x": 1}) == {"x": 1}
+    for status, headers, kind, wait in (
+        (429, {"retry-AFTER": "10"}, retry.THROTTLED, 10.0), (429, {"Retry-After": "soon"}, retry.THROTTLED, None), (429, {}, retry.THROTTLED, None),
+        (500, {}, retry.OUTAGE, None), (401, {}, retry.DENIED, None), (404, {}, retry.REFUSED, None),
+    ):
+        with pytest.raises(SourceFailure) as e:
+            retry.answer("/p", status, headers, {})
+        assert (e.value.kind, e.value.wait, e.value.status) == (kind, wait, status)
+
+
+def test_failures_carry_what_a_dead_letter_needs():
+    bad = pickle.loads(pickle.dumps(SourceFailure(retry.BAD_RECORD, "no time", key="K-1")))
+    assert (str(bad), bad.key, bad.category, bad.passes) == ("bad record: no time", "K-1", "poison", False)
+    assert SourceFailure(retry.BAD_RECORD, "no key").category == "poison_no_key" and SourceFailure(retry.THROTTLED, "x").category == "transient_exhausted"
