@@ -1,13 +1,13 @@
 """Substring dedup: passages of ``window`` words that an earlier document has too, found in prefix-partitioned suffix trees.
 
-Every window of words names an anchor, the run of PREFIX words in it whose hash is least; equal windows name equal
-anchors, and a text has few. Suffixes are partitioned by the anchor they hold, and only anchors that two documents
-share make a tree. The suffixes of a partition, cut at the depth that matters, are named from their words: names of
-one word, two, four and so on up to the window's length, each made of two shorter ones. Suffixes with equal names at
-the full depth are the leaves below one deep internal node, whose smallest document keeps the passage. Where too many
-suffixes share an anchor for one task, equal stretches of words are found first, of which the smallest document's alone
-goes on, and the prefix is lengthened to the whole window: each partition is then a single node, and its smallest
-document a plain minimum that is combined before the shuffle.
+Of each window of words the run of a few words with the least hash is its anchor, and the suffix that begins there is
+the one that is indexed; equal windows have equal anchors, and a text has few. Suffixes are partitioned by their
+prefix, which is the anchor, and only prefixes that two documents share make a partition. Where too many suffixes share
+one for a task, equal stretches of words are found first, of which the smallest document's alone goes on, and these are
+partitioned by longer prefixes, until they fit or the prefix is the whole window. In a partition the words that lie
+round the suffixes are sorted into a suffix array by doubling; neighbours that agree in as many words as a window are
+the leaves of one internal node that deep, a repeat, whose smallest document keeps it. A partition of whole windows is
+a single node, and its smallest document a plain minimum that is combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, sorted_groups, text_batches
+from millrace.llm.common import cut, join_counted, sorted_groups, text_batches
 from millrace.llm.windows import chunks
 
 WINDOW_WORDS = 50
-PREFIX = 16
-#: Occurrences of an anchor up to which its suffixes make one tree.
+#: Words of the prefixes that suffixes are partitioned by, the longer for partitions that are too large; the last is the window.
+PREFIXES = (16, 32)
+#: Suffixes of a partition up to which they make one tree.
 TREE_ROWS = 1000
 
 
@@ -34,11 +35,11 @@ def _bytes(value: str | None) -> bytes:
     return (value or "").encode("utf-8", "surrogatepass")
 
 
-def _anchors(texts: list[bytes], window: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _anchors(texts: list[bytes], window: int, prefix: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """For the anchors of all texts, in order: the text, and hash, first and last window (numbers of their first words)."""
-    span, text, found = window - PREFIX + 1, [], [[], [], []]
+    span, text, found = window - prefix + 1, [], [[], [], []]
     for c in chunks(texts, window - 1):
-        first, h = c.hashes(PREFIX)
+        first, h = c.hashes(prefix)
         if len(first) < span:
             continue
         at = np.arange(len(first) - span + 1)
@@ -67,7 +68,7 @@ def _described(window: int):
         for batch in batches:
             texts = [_bytes(v) for v in batch.column(2).to_pylist()]
             words = [t.split() for t in texts]
-            text, columns = _anchors(texts, window)
+            text, columns = _anchors(texts, window, PREFIXES[0])
             offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
             held = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(kind)))
             yield pa.RecordBatch.from_arrays(
@@ -107,14 +108,39 @@ def _segments(window: int):
     return scan
 
 
-def window_names(words: np.ndarray, window: int) -> np.ndarray:
-    """A number for each run of ``window`` words, equal just for equal runs; those of the last window - 1 words mean nothing."""
-    name, have = pd.factorize(words)[0].astype(np.int64), 1
-    while have < window:
-        step = min(have, window - have)
-        later = np.concatenate([name[step:], np.zeros(min(step, len(name)), np.int64)])[: len(name)]
-        name, have = pd.factorize(name * (name.max(initial=0) + 1) + later)[0].astype(np.int64), have + step
-    return name
+def _lengthened(window: int, prefix: int):
+    """The stretches round the suffixes of each stretch, by prefixes of so many words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segments = batch.column(3).to_pylist()
+            text, (h, low, high) = _anchors(segments, window, prefix)
+            parts, words, at = [], [], -1
+            for t, a, b in zip(text, low, high, strict=True):
+                if t != at:
+                    at, words = t, segments[t].split(b" ")
+                parts.append(b" ".join(words[a : b + window]))
+            own = batch.take(pa.array(text))
+            lo = pa.array(own.column(2).to_numpy() + low, pa.int32())
+            digests = pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), own.column(0), own.column(1), lo, pa.array(high - low + window, pa.int32()), digests, pa.array(parts, pa.binary())],
+                ["h", "id", "th", "lo", "n", "digest", "segment"],
+            )
+
+    return scan
+
+
+def suffix_array(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a row of words in the order of their first ``depth`` words, and for each in that order whether it
+    agrees in all of these with the one before. Suffixes of fewer words stand as if others followed."""
+    rank, have = pd.factorize(words, sort=True)[0].astype(np.int64), 1
+    while have < depth:
+        step = min(have, depth - have)
+        later = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.int64)])[: len(rank)]
+        rank, have = np.unique(rank * (rank.max(initial=0) + 1) + later, return_inverse=True)[1], have + step
+    order = np.argsort(rank, kind="stable")
+    return order, np.concatenate([np.zeros(min(1, len(order)), bool), rank[order[1:]] == rank[order[:-1]]])
 
 
 def _trees(window: int):
@@ -124,15 +150,16 @@ def _trees(window: int):
         for rows in sorted_groups(batches, ["h"]):
             parts = [s.split(b" ") for s in rows.column("segment").to_pylist()]
             size = np.array([len(p) for p in parts])
-            name = window_names(np.array([w for p in parts for w in p], dtype=object), window)
+            order, alike = suffix_array(np.array([w for p in parts for w in p], dtype=object), window)
             row = np.repeat(np.arange(len(parts)), size)
             number = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            whole = number <= size[row] - window
-            row, number, name = row[whole], number[whole], name[whole]
-            ids = rows.column("id").to_numpy()[row]
-            least = np.full(name.max(initial=0) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, name, ids)
-            gone = ids > least[name]
+            node = np.cumsum(~alike) - 1  # of the leaves in order
+            whole = (number <= size[row] - window)[order]
+            order, node = order[whole], node[whole]
+            ids = rows.column("id").to_numpy()[row[order]]
+            least = np.full(node.max(initial=0) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, node, ids)
+            gone = np.sort(order[ids > least[node]])
             row, number = row[gone], number[gone]
             if not len(row):
                 continue
@@ -180,32 +207,38 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(shas)], ["id", "th", "n_removed", "sha_left"])
 
 
+def _shared(suffixes: DataFrame, tree_rows: int) -> DataFrame:
+    """h and hot of the prefixes that two ids share, hot where too many suffixes have one. suffixes: h, id."""
+    found = suffixes.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
+    return cut(found.filter("a < b").select("h", (F.col("n") > tree_rows).alias("hot")))
+
+
 def repeats(docs: DataFrame, described: DataFrame, window: int, tree_rows: int) -> DataFrame:
     """id, th, from, until: stretches of words that windows cover which a smaller id has too. described: of the texts that take part."""
-    anchors = described.select("id", "th", F.inline("anchors"))
-    shared = (
-        anchors.groupBy("h")
-        .agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
-        .filter("a < b")
-        .select("h", (F.col("n") > tree_rows).alias("hot"))
-    )
-    shared = cut(shared)  # a table of its own, so that the join below can split the rows of one anchor
-    listed = anchors.join(shared, "h").groupBy("id", "th").agg(F.collect_list(F.struct("h", "hot", "lo", "hi")).alias("listed"))
+    suffixes = described.select("id", "th", F.inline("anchors"))
+    listed = suffixes.join(_shared(suffixes, tree_rows), "h").groupBy("id", "th").agg(F.collect_list(F.struct("h", "hot", "lo", "hi")).alias("listed"))
     segments = docs.join(listed, ["id", "th"]).select("id", "th", "text", "listed").mapInArrow(
         _segments(window), "h long, hot boolean, id long, th long, lo int, n int, digest binary, segment binary"
     )
-    segments = cut(segments)
-    cold = segments.filter("not hot").select("h", "id", "th", "lo", "segment").repartition("h").sortWithinPartitions("h")
-    trees = cold.mapInArrow(_trees(window), "id long, th long, from long, until long")
-    hot = segments.filter("hot")
-    first = cut(hot.groupBy("digest").agg(F.min("id").alias("first")))
-    copies = hot.select("digest", "id", "th", "lo", "n").join(first, "digest").filter("id > first")
-    copies = copies.select("id", "th", F.col("lo").cast("long").alias("from"), (F.col("lo") + F.col("n")).cast("long").alias("until"))
-    own = hot.join(first.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi").select("id", "th", "lo", "segment")
+    segments, out = cut(segments), None
+    for prefix in (*[p for p in PREFIXES[1:] if p < window], window):
+        cold = segments.filter("not hot").select("h", "id", "th", "lo", "segment").repartition("h").sortWithinPartitions("h")
+        found = cold.mapInArrow(_trees(window), "id long, th long, from long, until long")
+        out = found if out is None else out.unionByName(found)
+        hot = segments.filter("hot")
+        if hot.isEmpty():
+            return out
+        first = cut(hot.groupBy("digest").agg(F.min("id").alias("first")))
+        copies = hot.select("digest", "id", "th", "lo", "n").join(first, "digest").filter("id > first")
+        out = out.unionByName(copies.select("id", "th", F.col("lo").cast("long").alias("from"), (F.col("lo") + F.col("n")).cast("long").alias("until")))
+        own = hot.join(first.withColumnRenamed("first", "id"), ["digest", "id"], "left_semi").select("id", "th", "lo", "segment")
+        if prefix < window:
+            longer = cut(own.mapInArrow(_lengthened(window, prefix), "h long, id long, th long, lo int, n int, digest binary, segment binary"))
+            segments = longer.join(_shared(longer, tree_rows), "h")
     spelt = cut(own.mapInArrow(_spelt_out(window), "node binary, id long, th long, from long"))
     least = cut(spelt.groupBy("node").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").drop("last"))
     nodes = spelt.join(least, "node").filter("id > least").select("id", "th", "from", (F.col("from") + window).alias("until"))
-    return trees.unionByName(copies).unionByName(nodes)
+    return out.unionByName(nodes)
 
 
 def dedup(
@@ -225,8 +258,8 @@ def dedup(
             _described(window), "id long, th long, n_words long, sha binary, anchors array<struct<h:long,lo:int,hi:int>>"
         )
     )
-    first = described.groupBy("sha").agg(F.min("id").alias("first"))
-    marked = described.join(first, "sha").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    first = cut(described.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("times")))
+    marked = join_counted(described, first, "sha", "times", described.count()).withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     taking_part = marked.filter("not copy and id is not null and size(anchors) > 0").dropDuplicates(["id", "th"])
     texts = base.filter("id is not null")
     stretches = repeats(texts, taking_part, window, tree_rows)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from millrace.llm import substring_dedup
@@ -57,6 +58,21 @@ def test_equals_brute_force(spark, seed, tree_rows):
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows, 50)
 
 
+def test_suffixes_are_sorted_to_a_depth():
+    draw = random.Random(4)
+    words = np.array([draw.choice([b"a", b"b", b"c"]) for _ in range(300)], dtype=object)
+    for depth in (1, 3, 5, 50):
+        order, alike = substring_dedup.suffix_array(words, depth)
+        whole = [i for i in order if i + depth <= len(words)]
+        heads = [tuple(words[i : i + depth]) for i in whole]
+        assert heads == sorted(heads) and sorted(order) == list(range(300))
+        place = {i: k for k, i in enumerate(order)}
+        for a, b in zip(order[:-1], order[1:], strict=True):
+            if max(a, b) + depth <= len(words):
+                assert alike[place[b]] == (tuple(words[a : a + depth]) == tuple(words[b : b + depth]))
+    assert [len(x) for x in substring_dedup.suffix_array(np.array([], dtype=object), 5)] == [0, 0]
+
+
 def test_empty_table(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
