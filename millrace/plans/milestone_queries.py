@@ -116,7 +116,7 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report, its lines numbered as they are read."""
     plan, found = _found(spark, sf_dir)
     lines = report.report_lines(plan, cut(found), metrics.ticket_counts(_tickets(spark, sf_dir)), AS_OF)
-    return numbered(lines, *report.ORDER).select("pos", "section", F.rtrim("line").alias("line"))
+    return numbered(lines, *report.ORDER, "line").select("pos", "section", F.rtrim("line").alias("line"))
 
 
 def milestone_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,4 +226,4 @@ ORACLE_SQL["report_text"] = f"""{_BODY}
         UNION ALL SELECT 2, 0, NULL, '', '', '', CAST(i - 1 AS INT), CASE i WHEN 1 THEN '' WHEN 3 THEN (SELECT CASE WHEN count(*) > 0 THEN 'ESCALATIONS: ' || count(*)
             ELSE 'ESCALATIONS: none. Every open milestone is on track as of this date.' END FROM found) ELSE repeat('=', 84) END FROM range(1, 5) t(i)
         UNION ALL SELECT 4, 0, NULL, '', '', '', 0, repeat('=', 84) FROM (SELECT 1 FROM found LIMIT 1))
-        SELECT row_number() OVER (ORDER BY section, rank, due_at NULLS FIRST, key, rule_id, subject_key, part) - 1 AS pos, section, rtrim(line) AS line FROM lines"""
+        SELECT row_number() OVER (ORDER BY section, rank, due_at NULLS FIRST, key, rule_id, subject_key, part, line) - 1 AS pos, section, rtrim(line) AS line FROM lines"""
