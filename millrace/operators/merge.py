@@ -199,7 +199,16 @@ def apply_batch(
 
     Nothing is written here but the decided rows, once, in the shared folder; a store commits the tables it gets.
     """
-    staged = cut(normalize(raw, sources))
+    new, rows, stats = apply_staged(state, cut(normalize(raw, sources)), now=now, attempts=attempts, advance=advance)
+    new["audit"] = state["audit"].unionByName(rows)
+    return new, stats
+
+
+def apply_staged(state: State, staged: DataFrame, *, now: datetime, attempts: int = 3, advance: bool = True) -> tuple[State, DataFrame, DataFrame]:
+    """apply_batch() for rows that normalize() gave and that were cut: the tables but for the audit, the rows to add to the audit, and the counts.
+
+    Of the state only the rows that share a key with the batch are looked at, so it may be limited to parts of the tables.
+    """
     poison, valid = staged.filter("error is not null"), staged.filter("error is null")
     decided = cut(decide(valid, state["ledger"], attempts))
     landed, new = applied(decided), dict(state)
@@ -207,14 +216,11 @@ def apply_batch(
     new["accounts"] = merge_accounts(state["accounts"], landed, now)
     new["activities"] = merge_activities(state["activities"], landed, now)
     new["ledger"] = merge_ledger(state["ledger"], landed, now)
-    new["audit"] = (
-        state["audit"].unionByName(write_audit(decided, now))
-        .unionByName(conflict_audit(decided, state["audit"], now)).unionByName(drift_audit(decided, state["audit"], now))
-    )
+    rows = write_audit(decided, now).unionByName(conflict_audit(decided, state["audit"], now)).unionByName(drift_audit(decided, state["audit"], now))
     new["dead_letter"] = merge_dead_letters(state["dead_letter"], dead_letters(poison).unionByName(exhausted(decided)), now)
     if advance:
         new["cursors"] = merge_cursors(state["cursors"], valid, staged.select("source").filter("source is not null").distinct(), now)
-    return new, run_stats(decided, poison, state["cursors"], new["cursors"])
+    return new, rows, run_stats(decided, poison, state["cursors"], new["cursors"])
 
 
 def reprocess(state: State, *, now: datetime, attempts: int = 3, sources: tuple[str, ...] | None = SOURCES, fail_times: Column | None = None) -> State:

@@ -115,7 +115,7 @@ def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches committed to a store; rows of each table at each version, read back."""
     store, raw = Store(spark, f"{shared_dir(spark)}/millrace/store-{uuid.uuid4().hex}"), raw_events(spark, sf_dir, failing=True)
     for batch, now in ((raw.filter(F.col("arrival") < SPLIT), AS_OF), (raw.filter(F.col("arrival") >= SPLIT), LATER)):
-        store.commit(apply_batch(store.read(), batch, now=now, sources=None)[0])
+        store.merge(batch, now=now, sources=None)
     out = None
     for version in (1, 2):
         counts = metrics.snapshot_counts({k: v for k, v in store.read(version).items() if k in ("activities", "audit", "contacts", "dead_letter", "ledger")})

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.model import SOURCES
-from millrace.operators.merge import apply_batch
 from millrace.operators.store import Store
 
 
@@ -30,7 +29,6 @@ def start_sync(
     def merge(batch: DataFrame, batch_id: int) -> None:
         if store.has_batch(batch_id):
             return
-        state, _ = apply_batch(store.read(), batch, now=now(), attempts=attempts, sources=sources)
-        store.commit(state, batch_id)
+        store.merge(batch, now=now(), attempts=attempts, sources=sources, batch_id=batch_id)
 
     return raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
