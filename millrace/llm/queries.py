@@ -90,4 +90,20 @@ ORACLE_SQL = {
         SELECT v.vec_id, (SELECT count(*) FROM link WHERE x = v.vec_id) AS n_links, min(reach.y) AS component_id, v.vec_id = min(reach.y) AS kept
         FROM v JOIN reach ON reach.x = v.vec_id GROUP BY v.vec_id
     """,
+    "op9_decontamination": r"""
+        WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        w AS (SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM texts WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+        n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_shingles, count(*) AS n_found, count(*) / n.n AS containment
+        FROM s d JOIN s i ON d.side = 'd' AND i.side = 'i' AND d.shingle = i.shingle JOIN n ON n.id = i.id GROUP BY d.id, i.id, n.n HAVING count(*) >= 0.8 * n.n - 1e-9
+    """,
+    "op10_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+        least AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM windows JOIN least USING (h) WHERE doc_id > first),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS text, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM w) ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
 }
