@@ -254,12 +254,14 @@ def near_duplicates(
 #: Fingerprints of sets of at least SURE shingles with a Jaccard similarity of 0.8 differ by some 10 of 64 bits; beyond FAR
 #: lies less than one pair in 100,000 of them, so only pairs within it are verified. Smaller sets are all verified.
 FAR, SURE = 24, 32
-#: Texts in which common shingles are looked for, about, and the share of them that makes one common; it costs time only if they are off.
-COMMON_TEXTS, COMMON = 2000, 0.005
+#: Sets that share one of their least shingles, above which the shingle is put last; and how many are, at most, the most frequent. It costs time only if some are not.
+FREQUENT, MOST_FREQUENT = 64, 1_000_000
+#: Sets in a group above which sketches are compared in it, before a pair leaves it.
+LARGE = 64
 #: Neighbours in a group that are compared before all others.
 NEIGHBOURS = 16
 #: Bins of a sketch, and by how many deviations a pair's estimate may be too low; fewer than one pair in 100,000 has more.
-BINS, DEVIATIONS = 64, 4.5
+BINS, DEVIATIONS = 256, 4.5
 
 
 def shingle_set(value: str | None, width: int, seed: int) -> np.ndarray:
@@ -268,25 +270,27 @@ def shingle_set(value: str | None, width: int, seed: int) -> np.ndarray:
 
 
 def bin_sketch(held: np.ndarray) -> bytes:
-    """For each of BINS equal ranges of hashes 16 bits of the least one in it, zero where there is none. held: in order."""
+    """For each of BINS equal ranges of hashes 8 bits of the least one in it, zero where there is none. held: in order."""
     bins = (held >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])) if len(held) else np.zeros(0, np.int64)
-    out = np.zeros(BINS, np.uint16)
-    out[bins[first]] = held[first] % np.uint64(65535) + np.uint64(1)
+    out = np.zeros(BINS, np.uint8)
+    out[bins[first]] = held[first] % np.uint64(255) + np.uint64(1)
     return out.tobytes()
 
 
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches, a row each, let their sets be similar."""
+    both, same = ((x != 0) | (y != 0)).sum(axis=1), ((x == y) & (x != 0)).sum(axis=1)
+    return same >= similarity * both - DEVIATIONS * np.sqrt(similarity * (1 - similarity) * np.maximum(both, 1))
+
+
 def _plausible(similarity: float):
-    """Pairs (a, b) whose sketches (x, y) let them be similar, of sets with at least SURE shingles (n); all pairs of smaller ones."""
+    """Pairs (a, b) whose sketches (x, y) let them be similar."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS) for k in ("x", "y"))
-            both = ((x != 0) | (y != 0)).sum(axis=1)
-            same = ((x == y) & (x != 0)).sum(axis=1)
-            slack = DEVIATIONS * np.sqrt(similarity * (1 - similarity) * np.maximum(both, 1))
-            near = (batch.column("n").to_numpy() < SURE) | (same >= similarity * both - slack)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array(_alike(x, y, similarity)))
 
     return scan
 
@@ -323,19 +327,30 @@ def _sketched(width: int, seed: int, similarity: float, common: np.ndarray):
 
 
 def _candidates(keys: list[str], similarity: float, steps: int | None = None):
-    """Pairs of nodes of different roots that share a key, whose sizes and fingerprints let them be similar; of up to so many steps between them."""
+    """Pairs of nodes of different roots that share a key, whose sizes, fingerprints and sketches (where there are any) let them be similar; of up to so many steps between them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, keys):
             begin = starts([rows.column(k).to_numpy() for k in keys])
             end = np.repeat(np.append(begin[1:], rows.num_rows), np.diff(np.append(begin, rows.num_rows)))
             node, root, n, fp = (rows.column(k).to_numpy() for k in ("node", "root", "n", "fp"))
+            held = rows.column("sketch")
+            has = np.asarray(held.is_valid())
+            sketch = np.frombuffer(b"".join(held.drop_null().to_pylist()), np.uint8).reshape(-1, BINS)
+            place = np.cumsum(has) - 1
             at, step = np.arange(rows.num_rows), 1
             while (steps is None or step <= steps) and len(at := at[at + step < end[at]]):
                 few, many = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
                 near = (root[at] != root[at + step]) & (few >= similarity * many - 1e-9) & ((few < SURE) | (np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) <= FAR))
-                if near.any():
-                    x, y = node[at[near]], node[at[near] + step]
+                first = at[near]
+                alike = np.ones(len(first), bool)
+                shown = np.flatnonzero(has[first])
+                for part in np.array_split(shown, max(1, len(shown) // 4096)):
+                    own = first[part]
+                    alike[part] = _alike(sketch[place[own]], sketch[place[own + step]], similarity)
+                first = first[alike]
+                if len(first):
+                    x, y = node[first], node[first + step]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
                 step += 1
 
@@ -359,11 +374,16 @@ def near_copies(
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(v.as_py(), width, seed) for v in batch.column(1)])], ["th", "shingles"])
 
-    part = max(1, docs.count() // COMMON_TEXTS)
-    looked = base.filter(F.pmod(F.xxhash64(F.lit(3), "th"), F.lit(part)) == 0).select("th", "text").dropDuplicates(["th"])
-    often = looked.mapInArrow(sets, "th long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count()
-    often = often.filter(F.col("count") > max(5, COMMON * COMMON_TEXTS)).select("s").toArrow()["s"].to_numpy().view(np.uint64)
-    marked = cut(base.mapInArrow(_sketched(width, seed, similarity, often), f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, sketch binary, least array<long>"))
+    kinds = f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, sketch binary, least array<long>"
+
+    def sketched(often: np.ndarray) -> DataFrame:
+        return cut(base.mapInArrow(_sketched(width, seed, similarity, often), kinds))
+
+    # passages that many texts share would make large groups, so their shingles come last
+    plain = sketched(np.zeros(0, np.uint64))
+    met = plain.dropDuplicates(["digest"]).select(F.explode("least").alias("s")).groupBy("s").agg(F.count("*").alias("m"))
+    often = met.filter(F.col("m") > FREQUENT).orderBy(F.desc("m"), "s").limit(MOST_FREQUENT).select("s").toArrow()["s"].to_numpy().view(np.uint64)
+    marked = sketched(often) if len(often) else plain
     one = marked.groupBy("digest").agg(F.min("id").alias("smallest"), F.count("*").alias("times"), F.min(F.struct("th", "n", "fp", "sketch", "least")).alias("x"))
     distinct = cut(one.select("digest", "smallest", "times", "x.*").withColumn("node", F.monotonically_increasing_id()))
     keyed = distinct.select("node", "n", "fp", F.explode("least").alias("s"))
@@ -371,15 +391,17 @@ def near_copies(
     parts = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64(F.lit(7), "node"), parts).cast("int")
     others = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), parts - 1), own))
-    dealt = keyed.join(shared, "s").select("s", "node", "n", "fp", own.alias("own"), F.explode(others).alias("other"))
-    dealt = dealt.select("s", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "n", "fp")
+    large = keyed.join(shared.filter(F.col("m") > LARGE), "s").join(distinct.select("node", "sketch"), "node")
+    small = keyed.join(shared.filter(F.col("m") <= LARGE), "s").withColumn("sketch", F.lit(None).cast("binary"))
+    dealt = small.unionByName(large).select("s", "node", "n", "fp", "sketch", own.alias("own"), F.explode(others).alias("other"))
+    dealt = dealt.select("s", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "n", "fp", "sketch")
     keys = ["s", "p", "q"]
     dealt = cut(dealt)
 
     def similar(rows: DataFrame, steps: int | None) -> DataFrame:
         found = rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").mapInArrow(_candidates(keys, similarity, steps), "a long, b long")
-        left, right = (distinct.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(name)) for end, name in (("a", "x"), ("b", "y")))
-        met = found.distinct().join(left, "a").join(right, "b").select("a", "b", F.least("n_a", "n_b").alias("n"), "x", "y")
+        left, right = (distinct.select(F.col("node").alias(end), F.col("sketch").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+        met = found.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
         pairs = cut(met.mapInArrow(_plausible(similarity), "a long, b long"))
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "th"), "node"))
         texts = base.select("th", "text").join(small_or_plain(wanted.select("th").distinct()), "th", "left_semi").dropDuplicates(["th"])
