@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, join_counted, sorted_groups, text_batches
+from millrace.llm.common import cut, join_counted, sorted_groups, starts, text_batches
 from millrace.llm.windows import chunks
 
 WINDOW_WORDS = 50
@@ -67,14 +67,17 @@ def _described(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_bytes(v) for v in batch.column(2).to_pylist()]
-            words = [t.split() for t in texts]
+            sizes, shas = [], []
+            for t in texts:  # one text's words at a time are held
+                words = t.split()
+                sizes.append(len(words))
+                shas.append(hashlib.sha256(b" ".join(words)).digest())
             text, columns = _anchors(texts, window, PREFIXES[0])
             offsets = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
             held = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(kind)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary()), held,
+                    batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), held,
                 ],
                 ["id", "th", "n_words", "sha", "anchors"],
             )
@@ -143,11 +146,27 @@ def suffix_array(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.concatenate([np.zeros(min(1, len(order)), bool), rank[order[1:]] == rank[order[:-1]]])
 
 
+#: Suffixes that are sorted at once, about; partitions of up to TREE_ROWS are taken together.
+_SORTED_ROWS = 2000
+
+
+def _bounded(tables: Iterator[pa.Table], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups, cut between groups into such of not many more than _SORTED_ROWS rows."""
+    for rows in tables:
+        begin = starts([rows.column(key).to_numpy()])
+        cuts = [0]
+        for at in begin[1:]:
+            if at - cuts[-1] >= _SORTED_ROWS:
+                cuts.append(int(at))
+        for a, b in zip(cuts, [*cuts[1:], rows.num_rows], strict=True):
+            yield rows.slice(a, b - a)
+
+
 def _trees(window: int):
     """Per partition of suffixes: the stretches of words that a smaller id has too."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_groups(batches, ["h"]):
+        for rows in _bounded(sorted_groups(batches, ["h"]), "h"):
             parts = [s.split(b" ") for s in rows.column("segment").to_pylist()]
             size = np.array([len(p) for p in parts])
             order, alike = suffix_array(np.array([w for p in parts for w in p], dtype=object), window)
