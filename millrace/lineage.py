@@ -23,24 +23,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """Where this application writes what it cuts, inside the shared folder."""
     return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
 
 
 def release(spark: SparkSession) -> None:
     """Delete what this application has cut so far; call it when the results made of it are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it again: later work neither repeats it nor loses it with an executor."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``cut`` gave, when all that is made of it is written; other tables are left alone."""
+    spark = df.sparkSession
+    own = own_dir(spark).split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it was counted to have few rows; else as it is, so that Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
