@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, embedding_dedup, language_id, mixing, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from millrace.llm import (
+    decontamination, embedding_dedup, language_id, mixing, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter, vector_codes, warc, whitening,
+)
 from millrace.llm.common import table
 
 #: host, path, verdict
@@ -56,6 +59,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_errors(coded)
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    index = warc.normalise(warc.write(table(spark, sf_dir, "pages"), folder))
+    return warc.digest(warc.read(index))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation over the range of a long is an error here; the operator gives it as a decimal."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -67,8 +87,35 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_warc": op12_warc,
+    "op13_whitening": op13_whitening,
 }
 
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other: distances of all parts from all entries, the least (of equal ones the first), and the floors of the means."""
+    nearest = """SELECT vec_id, p, min(d * 16 + e) % 16 AS e, min(d) AS d FROM (
+            SELECT a.vec_id, a.p, b.e, CAST(sum((a.x - b.x) * (a.x - b.x)) AS BIGINT) AS d FROM v a JOIN b{r} b ON a.p = b.p AND a.i = b.i GROUP BY a.vec_id, a.p, b.e
+        ) GROUP BY vec_id, p"""
+    moved = """SELECT b.p, b.e, b.i, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN (
+            SELECT p, e, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM v JOIN a{r} USING (vec_id, p) GROUP BY p, e, i
+        ) n ON n.p = b.p AND n.e = b.e AND n.i = b.i"""
+    steps = [f"a{r} AS MATERIALIZED ({nearest.format(r=r)}), b{r + 1} AS MATERIALIZED ({moved.format(r=r)})" for r in range(rounds)]
+    return f"""
+        WITH ok AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        parts AS (SELECT vec_id, len(embedding) // 8 AS w, unnest(embedding) AS c, generate_subscripts(embedding, 1) - 1 AS k FROM ok),
+        v AS MATERIALIZED (SELECT vec_id, k // w AS p, k % w AS i, CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT) AS x FROM parts),
+        b0 AS (SELECT v.p, f.e, v.i, v.x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM ok ORDER BY vec_id LIMIT 16) f USING (vec_id)),
+        {", ".join(steps)},
+        final AS ({nearest.format(r=rounds)}),
+        coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM final GROUP BY vec_id)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256
+        FROM coded JOIN ok USING (vec_id)
+    """
+
+
 ORACLE_SQL = {
     "op3_url_filter": """
         WITH u AS (SELECT page_id, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN '' ELSE substr(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -106,4 +153,11 @@ ORACLE_SQL = {
         kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS text, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM w) ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
     """,
+    "op11_vector_codes": _codes_sql(),
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM d
+    """,
 }
