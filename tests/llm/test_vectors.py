@@ -95,7 +95,7 @@ def test_codes_of_few_and_no_vectors(spark):
         assert coded(none) == ([], hashlib.sha256(b"").hexdigest())
     with pytest.raises(ValueError, match="equal parts"):
         vector_codes.encode(rows_of(spark, [[0.5] * 9]))
-    null_id = rows_of(spark, [[0.5] * 8, [0.25] * 8], ids=[None, 3])
+    null_id = rows_of(spark, [[0.5] * 8, [0.25] * 8], ids=[None, 3], labels=[1, 1])
     assert coded(null_id, entries=1, rounds=0)[0] == [(3, "00" * 8, 0, 8 * 1024**2), (None, "00" * 8, 8 * 1024**2, 8 * 1024**2)]
 
 
