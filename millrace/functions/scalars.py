@@ -73,14 +73,23 @@ def iso_text(ts: Column) -> Column:
 
 
 def ascii_json(json: Column) -> Column:
-    """The bytes of a JSON text in which everything outside ASCII is escaped, by rewriting its UTF-16 units in hex."""
+    """The bytes of a JSON text in which everything that ASCII does not print is escaped in lower-case hex.
+
+    Escapes of control characters come from Spark in upper case; what is outside ASCII, and DEL, is rewritten by UTF-16 units.
+    """
+    lowered = json
+    for digit in "ABCDEF":  # a backslash that is itself escaped begins no escape
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return let(F.when(json.rlike(r"\\u00[01][A-F]"), lowered).otherwise(json), _ascii_bytes)
+
+
+def _ascii_bytes(json: Column) -> Column:
     units = F.regexp_replace(F.hex(F.encode(json, "UTF-16BE")), "(.{4})", "$1 ")
-    marked = F.regexp_replace(units, "(?<![0-9A-F])(?!00[0-7])(.)(.)(.)(.) ", "5C75<$1><$2><$3><$4>")
+    marked = F.regexp_replace(units, "(?<![0-9A-F])(?!00[0-6]|007[0-9A-E])(.)(.)(.)(.) ", "5C75<$1><$2><$3><$4>")
     done = F.regexp_replace(F.regexp_replace(marked, "00([0-7].) ", "$1"), "<([0-9])>", "3$1")
     for i, digit in enumerate("ABCDEF"):
         done = F.replace(done, F.lit(f"<{digit}>"), F.lit(f"6{i + 1}"))
-    plain = F.encode(json, "UTF-8")
-    return F.when(json.rlike(r"[^\x00-\x7F]"), F.unhex(done)).otherwise(plain)
+    return F.when(json.rlike(r"[^\x00-\x7E]"), F.unhex(done)).otherwise(F.encode(json, "UTF-8"))
 
 
 def content_hash(entries: Column) -> Column:

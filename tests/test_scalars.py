@@ -6,7 +6,7 @@ import pickle
 from datetime import UTC, datetime
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -36,8 +36,9 @@ def test_iso_texts(spark):
     assert column(spark, texts, "string", lambda c: S.iso_text(S.utc_timestamp(c))) == [iso(t) for t in texts]
 
 
-@settings(max_examples=5, deadline=None)
-@given(texts=st.lists(st.text(alphabet=st.characters(min_codepoint=32, exclude_categories=["Cs"]), max_size=30), min_size=1, max_size=40))
+@settings(max_examples=8, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]) | st.sampled_from("\x00\x0b\x1a\x1f\x7f\x80\\\"u0B/"), max_size=30), min_size=1, max_size=40))
+@example(texts=["a\x7fb", "a\x0bb", "a\x1fb", "\\u000B", "\\\x0b\x0b\\\\\x1a", "é\x7f\x1f\\u001F", "".join(map(chr, range(256))), "x" + "".join(map(chr, range(0x20))) + "x"])
 def test_content_hash_is_that_of_sorted_ascii_json(spark, texts):
     found = column(spark, texts, "string", lambda c: S.content_hash(S.entries_of(F.create_map(F.lit("é"), c), subject=c, kind=F.lit(None).cast("string"))))
     want = [hashlib.sha256(json.dumps({"extra.é": t.strip(), "subject": t.strip(), "kind": ""}, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for t in texts]
