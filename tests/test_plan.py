@@ -67,6 +67,62 @@ def test_cycles_and_unknown_names_raise(spark):
     assert graph.plan(*tables(spark, [], []), AS_OF).isEmpty()
 
 
+def rounds_of(monkeypatch):
+    """How often a table was written since."""
+    calls = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: calls.append(1) or cut(df))
+    return calls
+
+
+def test_a_chain_of_ten_thousand_links(spark, monkeypatch):
+    n = 10_001
+    rows = spark.range(n).selectExpr("format_string('m%05d', id) AS milestone_key", "'n' AS name", "'a' AS account_name", "'o' AS owner_email", "DATE '2026-01-01' AS planned_start",
+        "date_sub(DATE '2026-04-20', CASE WHEN id = 0 THEN 9 WHEN id = 5000 THEN 30 ELSE -400 END) AS planned_end", "CAST(NULL AS DATE) AS actual_end", "'planned' AS status")
+    deps = spark.range(1, n).selectExpr("format_string('m%05d', id) AS milestone_key", "format_string('m%05d', id - 1) AS depends_on_key")
+    calls = rounds_of(monkeypatch)
+    levels = {r["milestone_key"]: r["level"] for r in graph.topological_levels(rows, deps).collect()}
+    assert levels == {f"m{i:05d}": i for i in range(n)} and len(calls) < 2 * 20
+    calls.clear()
+    slip = {r["milestone_key"]: r["slip_days"] for r in graph.plan(rows, deps, AS_OF, check=False).collect()}
+    assert slip == {f"m{i:05d}": 9 if i < 5000 else 30 for i in range(n)} and len(calls) < 2 * 20
+
+
+def test_paths_of_a_ladder_a_fan_and_a_wide_graph(spark, monkeypatch):
+    """Two lanes with rungs (rounds by the logarithm), a node below 500 others, and layers too wide to draw all longer links."""
+    ladder = [(f"l{i}{a}", f"l{i + 1}{b}", i % 3) for i in range(300) for a in "xy" for b in "xy" if a == b or i % 2]
+    fan = [(f"f{i}", "foot", i) for i in range(500)] + [("top", f"f{i}", 0) for i in range(500)]
+    draw = random.Random(4)
+    wide = [(f"w{d:02d}_{draw.randrange(40)}", f"w{d + 1:02d}_{i}", draw.randrange(5)) for d in range(12) for i in range(40) for _ in range(6)]
+    for links, most in ((ladder, 14), (fan, 4), (wide, 13)):
+        nodes = sorted({n for a, b, _ in links for n in (a, b)})
+        own = {n: draw.randrange(20) if draw.random() < 0.9 else None for n in nodes}
+        calls = rounds_of(monkeypatch)
+        got = {r["node"]: r["value"] for r in graph.greatest_over_paths(
+            spark.createDataFrame(list(own.items()), "node string, value int"), spark.createDataFrame(links, "above string, below string, weight int")).collect()}
+        above = {}
+        for a, b, w in links:
+            above.setdefault(b, []).append((a, w))
+        want = {}
+
+        def value(n):
+            if n not in want:
+                found = [own[n], *(value(a) + w for a, w in above.get(n, []) if value(a) is not None)]
+                want[n] = max((v for v in found if v is not None), default=None)
+            return want[n]
+
+        order = sorted(nodes, key=lambda n: (n[0], int(n[1:-1]) if n[0] == "l" else 0, n))
+        assert got == {n: value(n) for n in order}
+        assert len(calls) <= 2 * (most + 1)
+
+
+def test_what_lies_below_a_cycle_is_stuck(spark):
+    deps = [("c", "a"), ("a", "b"), ("b", "c"), ("d", "c"), ("d", "free"), ("x", "free"), ("self", "self")]
+    keys = spark.createDataFrame([(k,) for k in sorted({k for d in deps for k in d})], "milestone_key string")
+    with pytest.raises(graph.DependencyCycle) as caught:
+        graph.topological_levels(keys, spark.createDataFrame(deps, TABLES["milestone_deps"]))
+    assert sorted(r[0] for r in caught.value.stuck.collect()) == ["a", "b", "c", "d", "self"] and "['a', 'b', 'c', 'd', 'self']" in str(caught.value)
+
+
 def found(spark, rows, deps=(), tickets=(), config=None):
     milestones, edges = tables(spark, rows, list(deps))
     plan = graph.plan(milestones, edges, AS_OF)
