@@ -28,7 +28,7 @@ LEAST_BYTES = 100
 #: An archive is closed when it has so many bytes of records (before gzip); each is inflated by one task.
 ARCHIVE_BYTES = 256 << 20
 #: Records in so many bytes of an archive are read by one task.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 #: Bytes that are read or inflated at a time, and the level of gzip.
 PIECE, LEVEL = 1 << 20, 4
 _ARCHIVES = "archive string, records long"
@@ -253,6 +253,7 @@ def read(index: DataFrame, *, id_type: str = "long", chunk_bytes: int = CHUNK_BY
     text_batches(index)
     chunk = F.floor(F.col("offset") / chunk_bytes).alias("chunk")
     listed = index.filter(F.col("type").isin("response", "revisit")).select("archive", chunk, "offset", "length")
+    tasks = max(1, -(-(listed.agg(F.sum("length")).first()[0] or 0) // chunk_bytes))  # the index is small, so Spark would put all of it into one
     schema = "page string, url string, record_type string, first string, stated_bytes long, stated string, payload binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +273,7 @@ def read(index: DataFrame, *, id_type: str = "long", chunk_bytes: int = CHUNK_BY
             if rows:
                 yield _batch(rows)
 
-    found = listed.repartition("archive", "chunk").sortWithinPartitions("archive", "offset").mapInArrow(scan, schema)
+    found = listed.repartition(tasks, "archive", "chunk").sortWithinPartitions("archive", "offset").mapInArrow(scan, schema)
     digest, whole = F.sha2("payload", 256), F.octet_length("payload").cast("long")
     return found.select(
         F.col("page").cast(id_type).alias("page_id"), "url", "record_type", F.col("first").cast(id_type).alias("refers_to"),
