@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import iso_text, utc_timestamp
-from millrace.lineage import shared_dir
+from millrace.lineage import own_dir
 from millrace.model import KEY
 from millrace.operators import limits, metrics
 from millrace.operators.merge import State, apply_batch, empty_state
@@ -19,7 +19,7 @@ from millrace.operators.order import in_order, numbered
 from millrace.operators.projections import contact_emails
 from millrace.operators.store import Store
 from millrace.plans.events import AS_OF, dealt, decided_sql, raw_events, synced_events, table
-from millrace.sources.files import after_cursor, calendar_text, parse_calendar
+from millrace.sources.files import after_cursor, calendar_text, parse_calendar, read_calendar
 from millrace.sources.paged import recording
 from millrace.sources.readers import read_contacts, read_deals, read_tickets
 
@@ -63,16 +63,16 @@ def calendar_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calendar of the first days of the year, written to a file and read by its entries."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_id") % 3 == 0)
+    """The calendar of all events, written to files and read by its entries."""
+    e = table(spark, sf_dir, "events")
     none = F.lit(None).cast("string")
     entries = e.select(
         F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("uid"), F.col("event_type").alias("summary"), F.col("props").alias("description"), none.alias("location"),
         F.col("ts").cast("timestamp").alias("start"), F.lit(None).cast("timestamp").alias("end"), F.lit("a@b.example").alias("organizer_email"), none.alias("organizer_name"), none.alias("account_name"),
     )
-    path = f"{shared_dir(spark)}/millrace/calendar-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     calendar_text(entries).write.text(path)
-    return parse_calendar(spark.read.text(path, lineSep="BEGIN:VEVENT")).select("natural_key", "subject", "body", "contact_email")
+    return read_calendar(spark, path).select("natural_key", "subject", "body", "contact_email")
 
 
 def source_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def week_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches committed to a store; rows of each table at each version, read back."""
-    store, raw = Store(spark, f"{shared_dir(spark)}/millrace/store-{uuid.uuid4().hex}"), raw_events(spark, sf_dir, failing=True)
+    store, raw = Store(spark, f"{own_dir(spark)}/store-{uuid.uuid4().hex}"), raw_events(spark, sf_dir, failing=True)
     for batch, now in ((raw.filter(F.col("arrival") < SPLIT), AS_OF), (raw.filter(F.col("arrival") >= SPLIT), LATER)):
         store.merge(batch, now=now, sources=None)
     out = None
@@ -243,7 +243,7 @@ ORACLE_SQL = {
         SELECT 'ev-' || event_id AS natural_key, strftime(t, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS occurred_at, 'a folded line, and more' AS subject
         FROM (SELECT event_id, CASE event_id % 10 WHEN 0 THEN date_trunc('day', ts) WHEN 2 THEN NULL ELSE date_trunc('second', ts) END AS t FROM events)
         WHERE t IS NULL OR t > TIMESTAMP '2024-01-15'""",
-    "calendar_file": "SELECT 'ev-' || event_id AS natural_key, event_type AS subject, props AS body, 'a@b.example' AS contact_email FROM events WHERE event_id % 3 = 0",
+    "calendar_file": "SELECT 'ev-' || event_id AS natural_key, event_type AS subject, props AS body, 'a@b.example' AS contact_email FROM events",
     "source_check": f"""{_PLAIN}
         SELECT arrival, CASE WHEN source NOT IN ('click', 'view', 'error') THEN 'unknown source ''' || source || '''' WHEN error IS NOT NULL THEN error
                WHEN n = 1 THEN 'extra must be an object, got array' WHEN n = 3 THEN 'extra must be an object, got string' END AS error, CASE WHEN n = 0 THEN '{{"a":"1"}}' ELSE '{{}}' END AS extra

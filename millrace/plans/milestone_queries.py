@@ -13,7 +13,7 @@ from millrace.operators import graph, metrics, report, rules
 from millrace.operators.order import READ_ORDER, numbered
 from millrace.operators.projections import merge_milestones
 from millrace.plans.events import table
-from millrace.sources.files import parse_milestones
+from millrace.sources.files import json_rows, parse_milestones
 
 AS_OF = date(2001, 6, 1)
 
@@ -126,7 +126,7 @@ def milestone_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(" ")).alias(c)
     row = F.to_json(F.struct("milestone_key", "name", "owner_email", day("planned_end"), day("actual_end"), "status", "depends_on"))
     texts = milestones.join(listed, "milestone_key", "left").groupBy("account_name").agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("value"))
-    rows, edges = merge_milestones(*[spark.createDataFrame([], TABLES[n]) for n in ("milestones", "milestone_deps")], parse_milestones(texts))
+    rows, edges = merge_milestones(*[spark.createDataFrame([], TABLES[n]) for n in ("milestones", "milestone_deps")], parse_milestones(json_rows(texts)))
     counted = edges.groupBy("milestone_key").agg(F.min("depends_on_key").alias("parent"))
     text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return rows.join(counted, "milestone_key", "left").select("milestone_key", "name", "account_name", "owner_email", text("planned_end"), text("actual_end"), "status", "parent")

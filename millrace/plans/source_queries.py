@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.fields import resolve, resolve_key
+from millrace.lineage import own_dir
 from millrace.operators.merge import apply_batch, empty_state
 from millrace.operators.projections import contact_emails, deals, tickets
 from millrace.plans.events import AS_OF, dealt, table
 from millrace.sources.files import calendar_text, json_rows, mailbox_text, parse_calendar, parse_crm_export, parse_mailbox
+from millrace.sources.files import read_crm_export
+from millrace.sources.json_arrays import write_json_arrays
 from millrace.sources.objects import parse_contacts, parse_deals, parse_tickets
+from millrace.sources.readers import build_readers, read_ticket_export, sync_all
 
 
 def _user() -> Column:
@@ -21,26 +27,34 @@ def _payload(raw: DataFrame) -> DataFrame:
     return raw.select("source", "natural_key", "kind", "occurred_at", "subject", "body", "contact_email", "contact_name", "account_name", "account_domain")
 
 
-def calendar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as a calendar entry, written and read."""
-    e = dealt(table(spark, sf_dir, "events"))
-    entries = e.select(
+def _entries(e: DataFrame) -> DataFrame:
+    """Each event as a calendar entry."""
+    return e.select(
         F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("uid"), F.concat(F.lit("Talk; "), "event_type", F.lit(", daily")).alias("summary"),
         F.col("props").alias("description"), F.lit(None).cast("string").alias("location"), F.col("ts").cast("timestamp").alias("start"), F.lit(None).cast("timestamp").alias("end"),
         F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("u"), _user(), F.lit("@Acme.example"))).alias("organizer_email"),
         F.concat(F.lit("User "), _user()).alias("organizer_name"), F.when(F.col("event_id") % 3 == 0, "Acme").alias("account_name"),
     )
-    return _payload(parse_calendar(calendar_text(entries).select(F.regexp_replace("value", "^BEGIN:VEVENT", "").alias("value"))))
 
 
-def mailbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as a mail, written and read."""
-    e = dealt(table(spark, sf_dir, "events"))
-    mails = e.select(
+def _mails(e: DataFrame) -> DataFrame:
+    """Each event as a mail."""
+    return e.select(
         F.concat(F.lit("<"), F.col("event_id").cast("string"), F.lit("@example>")).alias("message_id"), F.concat(F.lit("u"), _user(), F.lit("@Acme.example")).alias("from_email"),
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("User "), _user())).alias("from_name"), F.lit("me@example.com").alias("to"), F.col("event_type").alias("subject"),
         F.when(F.col("event_id") % 10 != 0, F.col("ts").cast("timestamp")).alias("date"), F.concat(F.lit("From here on\n"), "props").alias("body"), F.lit(None).cast("string").alias("account_name"),
     )
+
+
+def calendar_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a calendar entry, written and read."""
+    entries = _entries(dealt(table(spark, sf_dir, "events")))
+    return _payload(parse_calendar(calendar_text(entries).select(F.regexp_replace("value", "^BEGIN:VEVENT", "").alias("value"))))
+
+
+def mailbox_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a mail, written and read."""
+    mails = _mails(dealt(table(spark, sf_dir, "events")))
     return _payload(parse_mailbox(mailbox_text(mails).select(F.regexp_replace("value", "^From ", "").alias("value"))))
 
 
@@ -78,6 +92,43 @@ def crm_export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _payload(parse_crm_export(json_rows(files)))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{own_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def crm_export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations as files of JSON arrays, with texts that hold braces, brackets and quotes; written, and read in ranges."""
+    c, path = table(spark, sf_dir, "conversations"), _folder(spark)
+    text = F.concat(F.lit('"},{"['), F.coalesce("text", F.lit("")), F.lit('\\"]}'))
+    row = F.struct(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("record_id"), F.lit("2024-01-02T03:04:05Z").alias("occurred_at"),
+        F.col("role").alias("subject"), text.alias("body"), F.array(F.struct(F.col("turn").alias("n"))).alias("more"), F.concat("role", F.lit("@Acme.example")).alias("contact_email"),
+    )
+    write_json_arrays(c.select(F.to_json(row).alias("value")), path)
+    return _payload(read_crm_export(spark, path)).select("natural_key", "kind", "occurred_at", "subject", "body", "contact_email", "account_domain")
+
+
+def ticket_export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues as files of JSON arrays, written and read."""
+    path = _folder(spark)
+    write_json_arrays(_issues(spark, sf_dir), path)
+    return _payload(read_ticket_export(spark, path)).withColumn("lost", F.col("occurred_at") == "")
+
+
+def sync_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a calendar, a mailbox and an export in one folder; the activities after a run over the readers of it."""
+    e, folder = dealt(table(spark, sf_dir, "events")), _folder(spark)
+    calendar_text(_entries(e)).write.text(f"{folder}/calendar.ics")
+    mailbox_text(_mails(e)).write.text(f"{folder}/mailbox.mbox")
+    row = F.struct(
+        F.col("event_id").cast("string").alias("record_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("occurred_at"), F.col("props").alias("body"),
+        F.concat(F.lit("u"), _user(), F.lit("@Acme.example")).alias("contact_email"),
+    )
+    write_json_arrays(e.select(F.to_json(row).alias("value")), f"{folder}/crm_export.json")
+    state, _ = sync_all(empty_state(spark), build_readers(spark, folder), AS_OF)
+    return state["activities"].select("source", "natural_key", "kind", "subject", "body", "contact_email", "account_name", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
+
+
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a ticket in one of four shapes: as declared, renamed and retyped, with unknown fields, or without a required one."""
     e, shape = dealt(table(spark, sf_dir, "events")), F.col("event_id") % 4
@@ -142,6 +193,9 @@ QUERIES = {
     "drift_resolve": drift_resolve,
     "ticket_board": ticket_board,
     "crm_deal_resolution": crm_deal_resolution,
+    "crm_export_file": crm_export_file,
+    "ticket_export_file": ticket_export_file,
+    "sync_of_files": sync_of_files,
 }
 
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
@@ -186,4 +240,14 @@ ORACLE_SQL = {
         SELECT CAST(o_orderkey AS VARCHAR) AS deal_id, CASE WHEN o_orderstatus = 'F' THEN 'ClosedWon' ELSE 'open' END AS stage, 'c.d' || c_custkey || '@acme.example' AS contact_email,
                o_orderstatus <> 'F' AS is_open, '{"associated_contact_ids":"-1,' || o_custkey || '"}' AS unmapped_json
         FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 5 <> 0""",
+    "crm_export_file": r"""
+        SELECT 'c' || conv_id || '-' || turn AS natural_key, 'note' AS kind, '2024-01-02T03:04:05+00:00' AS occurred_at, role AS subject, '"},{"[' || coalesce(text, '') || '\"]}' AS body,
+               role || '@Acme.example' AS contact_email, 'acme.example' AS account_domain FROM conversations""",
+    "sync_of_files": """
+        SELECT 'calendar' AS source, 'ev-' || event_id AS natural_key, 'meeting' AS kind, 'Talk; ' || event_type || ', daily' AS subject, props AS body, 'u' || user_id || '@Acme.example' AS contact_email,
+               CASE WHEN event_id % 3 = 0 THEN 'Acme' ELSE 'acme.example' END AS account_name, date_trunc('second', ts) AS occurred_at FROM events WHERE event_id % 10 <> 0
+        UNION ALL SELECT 'email', '<' || event_id || '@example>', 'email', event_type, '>From here on' || chr(10) || props, 'u' || user_id || '@Acme.example', 'acme.example', date_trunc('second', ts)
+        FROM events WHERE event_id % 10 <> 0
+        UNION ALL SELECT 'crm_import', CAST(event_id AS VARCHAR), 'note', '', props, 'u' || user_id || '@Acme.example', 'acme.example', date_trunc('second', ts) FROM events""",
 }
+ORACLE_SQL["ticket_export_file"] = ORACLE_SQL["ticket_records"]

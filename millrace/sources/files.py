@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import domain_of, iso_text, let, strip, text_or, utc_timestamp
 from millrace.model import CALENDAR, CRM_IMPORT, DRIFT, EMAIL, PAYLOAD
+from millrace.sources.json_arrays import read_json_arrays
 
 _EVENT, _MESSAGE = "BEGIN:VEVENT", "\nFrom "
 
 
 def with_arrival(rows: DataFrame) -> DataFrame:
-    """rows with a number that is unique within the read. It follows the order of files and entries; it is only stable once written."""
-    return rows.withColumn("arrival", F.monotonically_increasing_id())
+    """rows with a number that is unique within the read, if they have none yet. It follows the order of files and entries; it is only stable once written."""
+    return rows if "arrival" in rows.columns else rows.withColumn("arrival", F.monotonically_increasing_id())
 
 
 def raw_row(source: str, natural_key: Column, extra: Column | None = None, drift: Column | None = None, **payload: Column) -> list[Column]:
@@ -143,16 +144,15 @@ def read_mailbox(spark: SparkSession, path: str, since: datetime | None = None)
 
 
 def json_rows(files: DataFrame) -> DataFrame:
-    """The objects of JSON arrays as text, one row each; arrays hold anything else for nothing, and other texts hold no row. files: value."""
+    """The objects of small JSON arrays as text, one row each; arrays hold anything else for nothing, and other texts hold no row. files: value."""
     return files.select(F.explode(F.from_json("value", "array<string>")).alias("value")).filter(F.col("value").rlike(r"^\s*\{"))
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The JSON objects of files as text, one row each. Files named .jsonl hold one on each line and are split among tasks;
-    any other holds an array, which one task reads whole."""
+    """The JSON objects of files as text, one row each. Files named .jsonl hold one on each line; any other holds an array. Both are split among tasks."""
     if path.endswith(".jsonl"):
         return spark.read.text(path).filter(F.col("value").rlike(r"^\s*\{"))
-    return json_rows(spark.read.text(path, wholetext=True))
+    return read_json_arrays(spark, path)
 
 
 def write_json_rows(rows: DataFrame, path: str) -> None:
@@ -185,16 +185,16 @@ def read_crm_export(spark: SparkSession, path: str, since: datetime | None = Non
 
 def read_milestones(spark: SparkSession, path: str) -> DataFrame:
     """Milestones of JSON files, each an array."""
-    return parse_milestones(spark.read.text(path, wholetext=True))
+    return parse_milestones(read_json_rows(spark, path))
 
 
-def parse_milestones(files: DataFrame) -> DataFrame:
-    """Milestones of JSON arrays with their depends_on; blank dates are null. files: value."""
-    schema = "milestone_key string, name string, account_name string, owner_email string, planned_start string, planned_end string, actual_end string, status string, depends_on array<string>"
-    rows = files.select(F.inline(F.from_json("value", f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+def parse_milestones(rows: DataFrame) -> DataFrame:
+    """Milestones with their depends_on; blank dates are null. rows: value, the JSON text of one."""
+    names = ("milestone_key", "name", "account_name", "owner_email", "planned_start", "planned_end", "actual_end", "status")
+    found = rows.select(F.from_json("value", ", ".join(f"{n} string" for n in names) + ", depends_on array<string>").alias("m")).select("m.*")
     day = lambda c: F.left(strip(F.col(c)), F.lit(10)).try_cast("date").alias(c)
     empty = lambda c, default="": F.coalesce(c, F.lit(default)).alias(c)
-    return rows.select(
+    return found.select(
         "milestone_key", empty("name"), empty("account_name"), empty("owner_email"), day("planned_start"), day("planned_end"), day("actual_end"),
         empty("status", "planned"), F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"),
     )
