@@ -17,6 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -261,7 +262,9 @@ LARGE = 64
 #: Neighbours in a group that are compared before all others.
 NEIGHBOURS = 16
 #: Bins of a sketch, and by how many deviations a pair's estimate may be too low; fewer than one pair in 100,000 has more.
-BINS, DEVIATIONS = 256, 4.5
+BINS, DEVIATIONS = 512, 4.5
+#: So many times the least shingles that are needed are kept, in case some of them are frequent.
+SPARE = 2
 
 
 def shingle_set(value: str | None, width: int, seed: int) -> np.ndarray:
@@ -278,19 +281,24 @@ def bin_sketch(held: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sketches, a row each, let their sets be similar."""
+def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches, a row each, let their sets (of n and m elements) be similar.
+
+    The bins that either has draw so many elements of both sets, without putting any back; so the more of all they are the less they deviate.
+    """
     both, same = ((x != 0) | (y != 0)).sum(axis=1), ((x == y) & (x != 0)).sum(axis=1)
-    return same >= similarity * both - DEVIATIONS * np.sqrt(similarity * (1 - similarity) * np.maximum(both, 1))
+    every = (n + m) / (1 + similarity)
+    left = np.maximum(every - both, 0) / np.maximum(every - 1, 1)
+    return same + 1 >= similarity * both - DEVIATIONS * np.sqrt(similarity * (1 - similarity) * np.maximum(both, 1) * left)
 
 
 def _plausible(similarity: float):
-    """Pairs (a, b) whose sketches (x, y) let them be similar."""
+    """Pairs (a, b) whose sketches (x, y) and sizes (n, m) let them be similar."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in ("x", "y"))
-            yield batch.select(["a", "b"]).filter(pa.array(_alike(x, y, similarity)))
+            yield batch.select(["a", "b"]).filter(pa.array(_alike(x, y, batch.column("n").to_numpy(), batch.column("m").to_numpy(), similarity)))
 
     return scan
 
@@ -300,12 +308,13 @@ def _lists(held: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*held, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def _sketched(width: int, seed: int, similarity: float, common: np.ndarray):
-    """id, th, digest and size of the shingle set, its fingerprint, its sketch, and the shingles of which similar sets share one.
+def needed(n: int, similarity: float) -> int:
+    """Of two sets of which a share of at least ``similarity`` of all elements is common, so many of each, the first in any order that is the same for both, have one in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
-    The common shingles come last in the order of all. Of two sets of which a share of at least ``similarity`` of all elements is common, the least n - ceil(similarity * n) + 1
-    of each, in any order that is the same for both, have one in common.
-    """
+
+def _sketched(width: int, seed: int, similarity: float):
+    """id, th, digest and size of the shingle set, its fingerprint, its sketch, and SPARE times the least shingles that are needed."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,8 +325,7 @@ def _sketched(width: int, seed: int, similarity: float, common: np.ndarray):
                 sizes.append(len(held))
                 fps.append(majority_bits([held])[0])
                 sketches.append(bin_sketch(held))
-                last = np.isin(held, common)
-                least.append(np.concatenate([held[~last], held[last]])[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1])
+                least.append(held[: SPARE * needed(len(held), similarity)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), _lists(least)],
                 ["id", "th", "digest", "n", "fp", "sketch", "least"],
@@ -326,6 +334,41 @@ def _sketched(width: int, seed: int, similarity: float, common: np.ndarray):
     return scan
 
 
+def frequent_last(held: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]:
+    """held (in order) with what is in often (in order) put last, and how many are not in it."""
+    at = np.minimum(np.searchsorted(often, held), len(often) - 1) if len(often) else np.zeros(len(held), int)
+    last = often[at] == held if len(often) else np.zeros(len(held), bool)
+    return np.concatenate([held[~last], held[last]]), int((~last).sum())
+
+
+def _reordered(similarity: float, shared):
+    """node, n and the least shingles of each set in the order that has the frequent ones last; null where those kept do not tell."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = []
+            for n, values in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                held, rare = frequent_last(values.values.to_numpy().view(np.uint64), shared.value)
+                k = needed(n, similarity)
+                least.append(held[:k] if rare >= k or len(held) == n else None)
+            known = pa.array([h is not None for h in least])
+            lists = pc.if_else(known, _lists([np.zeros(0, np.uint64) if h is None else h for h in least]), pa.nulls(len(least), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "least"])
+
+    return scan
+
+
+def _again(width: int, seed: int, similarity: float, shared):
+    """The same from the texts. rows: node, text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(v.as_py(), width, seed) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([frequent_last(h, shared.value)[0][: needed(len(h), similarity)] for h in sets])], ["node", "least"])
+
+    return scan
+
+
 def _candidates(keys: list[str], similarity: float, steps: int | None = None):
     """Pairs of nodes of different roots that share a key, whose sizes, fingerprints and sketches (where there are any) let them be similar; of up to so many steps between them."""
 
@@ -347,7 +390,7 @@ def _candidates(keys: list[str], similarity: float, steps: int | None = None):
                 shown = np.flatnonzero(has[first])
                 for part in np.array_split(shown, max(1, len(shown) // 4096)):
                     own = first[part]
-                    alike[part] = _alike(sketch[place[own]], sketch[place[own + step]], similarity)
+                    alike[part] = _alike(sketch[place[own]], sketch[place[own + step]], n[own], n[own + step], similarity)
                 first = first[alike]
                 if len(first):
                     x, y = node[first], node[first + step]
@@ -361,7 +404,7 @@ def near_copies(
     docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8, block: int = BLOCK
 ) -> DataFrame:
     """id, component_id, text_hash and group of each row: texts are linked whose sets of ``width``-word shingles have a Jaccard
-    similarity of at least that. group is a number that only the rows of one component share.
+    similarity of at least that. group is a number that only the rows of one component share. Other columns are neither read nor returned, and an empty table gives an empty result.
 
     Bands of one fingerprint cannot find these pairs (they differ by some 10 bits), so texts that share one of their
     least shingles are candidates; fingerprints and sketches thin them out and the shingles themselves decide. Equal sets are
@@ -375,18 +418,20 @@ def near_copies(
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(v.as_py(), width, seed) for v in batch.column(1)])], ["th", "shingles"])
 
     kinds = f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, sketch binary, least array<long>"
-
-    def sketched(often: np.ndarray) -> DataFrame:
-        return cut(base.mapInArrow(_sketched(width, seed, similarity, often), kinds))
-
-    # passages that many texts share would make large groups, so their shingles come last
-    plain = sketched(np.zeros(0, np.uint64))
-    met = plain.dropDuplicates(["digest"]).select(F.explode("least").alias("s")).groupBy("s").agg(F.count("*").alias("m"))
-    often = met.filter(F.col("m") > FREQUENT).orderBy(F.desc("m"), "s").limit(MOST_FREQUENT).select("s").toArrow()["s"].to_numpy().view(np.uint64)
-    marked = sketched(often) if len(often) else plain
+    marked = cut(base.mapInArrow(_sketched(width, seed, similarity), kinds))
     one = marked.groupBy("digest").agg(F.min("id").alias("smallest"), F.count("*").alias("times"), F.min(F.struct("th", "n", "fp", "sketch", "least")).alias("x"))
     distinct = cut(one.select("digest", "smallest", "times", "x.*").withColumn("node", F.monotonically_increasing_id()))
-    keyed = distinct.select("node", "n", "fp", F.explode("least").alias("s"))
+    # passages that many texts share would make large groups, so their shingles come last
+    first_of = F.slice("least", 1, F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
+    met = distinct.select(F.explode(first_of).alias("s")).groupBy("s").agg(F.count("*").alias("m"))
+    often = met.filter(F.col("m") > FREQUENT).orderBy(F.desc("m"), "s").limit(MOST_FREQUENT).select("s").toArrow()["s"].to_numpy().view(np.uint64)
+    ordered = docs.sparkSession.sparkContext.broadcast(np.sort(often))  # MOST_FREQUENT at most
+    least = cut(distinct.select("node", "n", "least").mapInArrow(_reordered(similarity, ordered), "node long, least array<long>"))
+    untold = cut(least.filter("least is null").select("node").join(distinct.select("node", "th"), "node"))
+    texts = base.select("th", "text").join(small_or_plain(untold.select("th")), "th", "left_semi").dropDuplicates(["th"])
+    again = texts.join(untold, "th").select("node", "text").mapInArrow(_again(width, seed, similarity, ordered), "node long, least array<long>")
+    least = least.filter("least is not null").unionByName(again)
+    keyed = cut(least.join(distinct.select("node", "n", "fp"), "node").select("node", "n", "fp", F.explode("least").alias("s")))
     shared = cut(keyed.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64(F.lit(7), "node"), parts).cast("int")
@@ -400,8 +445,8 @@ def near_copies(
 
     def similar(rows: DataFrame, steps: int | None) -> DataFrame:
         found = rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").mapInArrow(_candidates(keys, similarity, steps), "a long, b long")
-        left, right = (distinct.select(F.col("node").alias(end), F.col("sketch").alias(name)) for end, name in (("a", "x"), ("b", "y")))
-        met = found.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        left, right = (distinct.select(F.col("node").alias(end), F.col("sketch").alias(name), F.col("n").alias(size)) for end, name, size in (("a", "x", "n"), ("b", "y", "m")))
+        met = found.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
         pairs = cut(met.mapInArrow(_plausible(similarity), "a long, b long"))
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct.select("node", "th"), "node"))
         texts = base.select("th", "text").join(small_or_plain(wanted.select("th").distinct()), "th", "left_semi").dropDuplicates(["th"])
