@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.lineage import cut, own_dir
 from millrace.model import KEY
 from millrace.operators.merge import applied, apply_batch, conflict_audit, drift_audit, empty_state, reprocess, write_audit
 from millrace.operators.normalize import dead_letters, normalize
 from millrace.plans.events import AS_OF, decided_events, decided_sql, raw_events, synced_events
+from millrace.streaming.ledger import ledger_outcomes, stateful_session, stored_versions
 
 
 def _ntz(df: DataFrame, *columns: str) -> DataFrame:
@@ -35,6 +39,19 @@ def ledger_state_after_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(synced_events(spark, sf_dir, failing=True)["ledger"].select(*KEY, "content_hash", "occurred_at", "version"), "occurred_at")
 
 
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger that a stream of the same records comes to, in micro-batches, its state kept by key."""
+    folder = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    raw = cut(raw_events(spark, sf_dir, failing=True))
+    for part in ("arrival < 500000", "arrival >= 500000 AND arrival < 1000000000", "arrival >= 1000000000"):  # the files of a part are newer than those before
+        raw.filter(part).write.mode("append").parquet(f"{folder}/in")
+    own = stateful_session(spark)
+    given = own.readStream.schema(raw.schema).option("maxFilesPerTrigger", 16).parquet(f"{folder}/in")
+    sink = ledger_outcomes(given).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+    sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return _ntz(stored_versions(spark.read.parquet(f"{folder}/out")), "occurred_at")
+
+
 def activities_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(synced_events(spark, sf_dir)["activities"].select(*KEY, "contact_email", "account_name", "kind", "subject", "body", "occurred_at"), "occurred_at")
 
@@ -95,6 +112,7 @@ QUERIES = {
     "transient_exhaustion": transient_exhaustion,
     "ledger_state": ledger_state,
     "ledger_state_after_failures": ledger_state_after_failures,
+    "ledger_stream": ledger_stream,
     "activities_state": activities_state,
     "contact_upsert": contact_upsert,
     "account_upsert": account_upsert,
@@ -118,6 +136,7 @@ ORACLE_SQL = {
     "transient_exhaustion": f"{_FAILING} {_DECISIONS}",
     "ledger_state": f"{_PLAIN} {_LEDGER}",
     "ledger_state_after_failures": f"{_FAILING} {_LEDGER}",
+    "ledger_stream": f"{_FAILING} {_LEDGER}",
     "activities_state": f"""{_PLAIN}
         SELECT source, natural_key, r.contact_email AS contact_email, r.account_name AS account_name, 'activity' AS kind, r.subject AS subject, r.body AS body, r.occurred AS occurred_at
         FROM (SELECT source, natural_key, arg_max(a, {{'o': occurred, 'h': hash}}) AS r FROM applied a GROUP BY source, natural_key)""",
