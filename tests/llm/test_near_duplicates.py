@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import embedding_dedup, simhash
 from millrace.llm.components import components
@@ -165,6 +166,18 @@ def test_embeddings_equal_brute_force(spark, block, codes):
     assert sorted(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("kind", ["double", "string", "decimal(6,2)", "tinyint"])
+def test_labels_of_any_type_are_told_apart(spark, monkeypatch, kind):
+    """Labels that a cast to a whole number would take for one; one vector that half of the rows hold."""
+    monkeypatch.setattr("millrace.llm.common.HOT_ROWS", 5)
+    labels = [1, 2, 1, None] if kind == "tinyint" else ["1.2", "1.7", "1.2", None]
+    rows = [(i, [1.0, 0.0, float(i % 2) / 100], labels[i % 4]) for i in range(40)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {'int' if kind == 'tinyint' else 'string'}")
+    got = embedding_dedup.near_duplicates(df.withColumn("label", F.col("label").cast(kind)))
+    linked = {0: (19, 0), 1: (9, 1), 2: (19, 0), 3: (0, None)}  # twenty of the first label, ten of the second
+    assert sorted(map(tuple, got.collect())) == [(i, linked[i % 4][0], i if i % 4 == 3 else linked[i % 4][1], i in (0, 1) or i % 4 == 3) for i in range(40)]
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).collect() == []
 
