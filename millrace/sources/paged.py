@@ -3,6 +3,10 @@
 Offset paging knows its pages beforehand and reads each range in a task of its own; token paging follows the tokens in
 one task, as each is only known from the page before. Every page has its own retries: a wait that the server names
 goes before the schedule, and a page that stays refused fails the read, so that it never comes back short.
+
+As a stream, its offset is the cursor: a micro-batch has the objects that changed after the cursor of the one before, up
+to its own, which Spark keeps in the checkpoint. So a restart reads on from there, and a batch that failed is read again
+between the same two times.
 """
 
 from __future__ import annotations
@@ -14,9 +18,10 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from millrace.functions.retry import OUTAGE, REFUSED, UNRECORDED, Patience, SourceFailure, answer
 
@@ -103,22 +108,88 @@ class _Reader(DataSourceReader):
         each = max(1, -(-pages // self.tasks)) * self.page
         return [_Range(at, min(at + each, total)) for at in range(0, total, each)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[str]]:
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int]]:
         first, until = partition.value
         get = self._get()
         if self.offset:
             pages = (get(self.params | {"startAt": str(at), "maxResults": str(self.page)}) for at in range(first, until, self.page))
         else:
             pages = token_pages(get, self.params | {"limit": str(self.page)})
-        for page in pages:
-            for row in page.get(self.rows) or []:
-                yield (json.dumps(row),)
+        for number, row in enumerate((row for page in pages for row in page.get(self.rows) or []), first):
+            yield json.dumps(row), number
+
+
+def _instant(text: object) -> datetime | None:
+    """The instant of an ISO 8601 text, UTC where it names no offset; None for anything else."""
+    try:
+        found = datetime.fromisoformat(str(text).strip())
+    except ValueError:
+        return None
+    return found.replace(tzinfo=UTC) if found.tzinfo is None else found.astimezone(UTC)
+
+
+def changed_at(row: dict, times: list[str]) -> datetime | None:
+    """When an object says it changed: the first of the dotted names that holds anything."""
+    for name in times:
+        value: object = row
+        for part in name.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        if value:
+            return _instant(value)
+    return None
+
+
+class _Span(InputPartition):
+    def __init__(self, after: str | None, until: str, first: int, last: int | None) -> None:
+        super().__init__((after, until, first, last))
+
+
+class _StreamReader(_Reader, DataSourceStreamReader):
+    """Offsets: {"cursor": an instant, or null before the first}."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        super().__init__(options)
+        o = {k.lower(): v for k, v in options.items()}
+        self.times, self.asks = [t for t in o.get("times", "").split(",") if t], o.get("asks")
+        self.since, self.until, self.lag = o.get("since"), o.get("until"), float(o.get("lag", 60))
+        if not self.times:
+            raise ValueError("a stream needs times, the names of what says when an object changed")
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"cursor": self.since}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"cursor": (_instant(self.until) if self.until else datetime.now(UTC) - timedelta(seconds=self.lag)).isoformat()}
+
+    def _asked(self, after: str | None) -> dict[str, str]:
+        return {self.asks: after} if self.asks and after else {}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        asked, self.params = self.params, self.params | self._asked(start["cursor"])
+        try:
+            return [_Span(start["cursor"], end["cursor"], *p.value) for p in super().partitions()]
+        finally:
+            self.params = asked
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int]]:
+        after, until, first, last = partition.value
+        asked, self.params = self.params, self.params | self._asked(after)
+        try:
+            for text, number in super().read(_Range(first, last)):
+                at = changed_at(json.loads(text), self.times)
+                if at is None or (after is None or at > _instant(after)) and at <= _instant(until):
+                    yield text, number
+        finally:
+            self.params = asked
 
 
 class PagedApi(DataSource):
     """Options: path, params (JSON), paging (token or offset), rows (the page's list), pageSize, attempts, base, tasks, waits, and url or exchanges (JSON).
 
-    waits=false skips the waits between retries of a recording.
+    waits=false skips the waits between retries of a recording. A stream also has times (dotted names of what says when an object
+    changed, by commas), asks (the parameter that tells the server the cursor, if it takes one), since (the first cursor), until
+    (the last one; else it is the time of the batch less ``lag`` seconds, 60, for objects that are listed late). Objects that do not say
+    when they changed come in every batch.
     """
 
     @classmethod
@@ -126,21 +197,24 @@ class PagedApi(DataSource):
         return "paged_api"
 
     def schema(self) -> str:
-        return "value string"
+        return "value string, arrival long"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _StreamReader(self.options)
+
 
 def objects(
-    spark: SparkSession, path: str, *, properties: tuple[str, ...] = (), associations: tuple[str, ...] = (), asked: dict[str, str] | None = None, **options: str
+    spark: SparkSession, path: str, *, properties: tuple[str, ...] = (), associations: tuple[str, ...] = (), asked: dict[str, str] | None = None, stream: bool = False, **options: str
 ) -> DataFrame:
-    """The rows of an endpoint, each as JSON text in value. asked: further parameters of each request."""
+    """The rows of an endpoint, each as JSON text in value, with its place in the list as arrival; as a stream if told. asked: further parameters of each request."""
     spark.dataSource.register(PagedApi)
     params = dict(asked or {})
     params |= {"properties": ",".join(properties)} if properties else {}
     params |= {"associations": ",".join(associations)} if associations else {}
-    return spark.read.format("paged_api").options(path=path, params=json.dumps(params), **options).load()
+    return (spark.readStream if stream else spark.read).format("paged_api").options(path=path, params=json.dumps(params), **options).load()
 
 
 def endpoint(spark: SparkSession, url: str | None = None, recordings: tuple[str, ...] = (), **options: str) -> dict[str, str]:

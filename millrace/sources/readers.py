@@ -50,6 +50,26 @@ def read_deals(spark: SparkSession, server: dict[str, str], emails: DataFrame, s
     return _changed_after(parse_deals(objects(spark, path, properties=DEAL_PROPERTIES, associations=("contacts",), **server), emails), since)
 
 
+# What says when an object changed, and the parameter that tells the ticket endpoint the cursor.
+_TICKET_TIMES, _ASKS = "fields.updated,fields.updated_at,fields.updatedAt", "updated_since"
+_CONTACT_TIMES, _DEAL_TIMES = "updatedAt,properties.lastmodifieddate", "updatedAt,properties.hs_lastmodifieddate"
+
+
+def stream_tickets(spark: SparkSession, server: dict[str, str], path: str = TICKET_PATH) -> DataFrame:
+    """The tickets of an endpoint as a stream of raw records; micro-batches follow each other by when tickets changed."""
+    return parse_tickets(objects(spark, path, stream=True, **{"paging": "offset", "rows": "issues", "times": _TICKET_TIMES, "asks": _ASKS} | server))
+
+
+def stream_contacts(spark: SparkSession, server: dict[str, str], path: str = CONTACT_PATH) -> DataFrame:
+    """The contacts of a CRM as a stream of raw records."""
+    return parse_contacts(objects(spark, path, properties=CONTACT_PROPERTIES, stream=True, **{"times": _CONTACT_TIMES} | server))
+
+
+def stream_deals(spark: SparkSession, server: dict[str, str], path: str = DEAL_PATH) -> DataFrame:
+    """The deals of a CRM as a stream of JSON texts and arrivals, for parse_deals() within a micro-batch, when it is known which contacts have landed."""
+    return objects(spark, path, properties=DEAL_PROPERTIES, associations=("contacts",), stream=True, **{"times": _DEAL_TIMES} | server)
+
+
 def build_readers(spark: SparkSession, folder: str | None = None, tickets: dict[str, str] | None = None, crm: dict[str, str] | None = None) -> dict[str, Reader]:
     """A reader for each source that is given: the three files of a folder, a ticket endpoint, and a CRM's contacts and deals."""
     out: dict[str, Reader] = {}
