@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import iso_text, utc_timestamp
-from millrace.lineage import own_dir
+from millrace.lineage import cut, own_dir
 from millrace.model import KEY
-from millrace.operators import limits, metrics
-from millrace.operators.merge import State, apply_batch, empty_state
+from millrace.operators import bucketed, limits, metrics
+from millrace.operators.merge import State, apply_batch, decide, empty_state
 from millrace.operators.normalize import normalize
 from millrace.operators.order import in_order, numbered
 from millrace.operators.projections import contact_emails
@@ -48,6 +48,16 @@ def second_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(_batches(spark, sf_dir, failing=True)[2])
 
 
+def ledger_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of the first batch as a bucketed table, the second batch decided and merged against it, and the table of that."""
+    raw, name = raw_events(spark, sf_dir, failing=True), uuid.uuid4().hex
+    before, _ = apply_batch(empty_state(spark), raw.filter(F.col("arrival") < SPLIT), now=AS_OF, sources=None)
+    ledger = bucketed.save_ledger(before["ledger"], f"ledger_{name}_1")
+    valid = cut(normalize(raw.filter(F.col("arrival") >= SPLIT), None).filter("error is null"))
+    decided = cut(decide(valid, ledger))
+    return _ntz(bucketed.save_ledger(bucketed.merged_ledger(ledger, decided, LATER), f"ledger_{name}_2"))
+
+
 def calendar_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calendar entries after a cursor; every tenth is a whole day, every tenth in a zone of its own, every tenth without a time."""
     e, kind = dealt(table(spark, sf_dir, "events")), F.col("event_id") % 10
@@ -178,6 +188,7 @@ QUERIES = {
     "filled_dead_letters": _filled("dead_letter", failing=True, drop=("payload_json",)),
     "filled_audit": _filled("audit"),
     "second_batch_counts": second_batch_counts,
+    "ledger_buckets": ledger_buckets,
     "calendar_since": calendar_since,
     "calendar_file": calendar_file,
     "source_check": source_check,
@@ -291,3 +302,4 @@ ORACLE_SQL = {
     "panel_queue": f"{_FAILING} SELECT source, natural_key, category, error, failure_count, 'under 1h' AS band, '0 min' AS age FROM dead",
     "panel_deals": "SELECT o_orderstatus AS stage, count(*) AS deals, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS amount FROM orders GROUP BY 1",
 }
+ORACLE_SQL["ledger_buckets"] = ORACLE_SQL["filled_ledger"]
