@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.lineage import drop
 from millrace.llm.common import cut, join_counted, small_or_plain, sorted_groups, starts, text_batches
 from millrace.llm.components import components
 
@@ -263,8 +264,8 @@ LARGE = 64
 NEIGHBOURS = 16
 #: Bins of a sketch, and by how many deviations a pair's estimate may be too low; fewer than one pair in 100,000 has more.
 BINS, DEVIATIONS = 512, 4.5
-#: So many times the least shingles that are needed are kept, in case some of them are frequent.
-SPARE = 2
+#: So many times the least shingles that are needed are kept, in case some of them are frequent; texts with more of those are shingled again.
+SPARE = 1.25
 
 
 def shingle_set(value: str | None, width: int, seed: int) -> np.ndarray:
@@ -325,7 +326,7 @@ def _sketched(width: int, seed: int, similarity: float):
                 sizes.append(len(held))
                 fps.append(majority_bits([held])[0])
                 sketches.append(bin_sketch(held))
-                least.append(held[: SPARE * needed(len(held), similarity)])
+                least.append(held[: math.ceil(SPARE * needed(len(held), similarity))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), _lists(least)],
                 ["id", "th", "digest", "n", "fp", "sketch", "least"],
@@ -342,29 +343,29 @@ def frequent_last(held: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, int]
 
 
 def _reordered(similarity: float, shared):
-    """node, n and the least shingles of each set in the order that has the frequent ones last; null where those kept do not tell."""
+    """node, n, fp and the least shingles of each set in the order that has the frequent ones last; null where those kept do not tell. rows: node, n, fp, least."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least = []
-            for n, values in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for n, values in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
                 held, rare = frequent_last(values.values.to_numpy().view(np.uint64), shared.value)
                 k = needed(n, similarity)
                 least.append(held[:k] if rare >= k or len(held) == n else None)
             known = pa.array([h is not None for h in least])
             lists = pc.if_else(known, _lists([np.zeros(0, np.uint64) if h is None else h for h in least]), pa.nulls(len(least), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "least"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["node", "n", "fp", "least"])
 
     return scan
 
 
 def _again(width: int, seed: int, similarity: float, shared):
-    """The same from the texts. rows: node, text."""
+    """The same from the texts. rows: node, n, fp, text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(v.as_py(), width, seed) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([frequent_last(h, shared.value)[0][: needed(len(h), similarity)] for h in sets])], ["node", "least"])
+            sets = [shingle_set(v.as_py(), width, seed) for v in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists([frequent_last(h, shared.value)[0][: needed(len(h), similarity)] for h in sets])], ["node", "n", "fp", "least"])
 
     return scan
 
@@ -418,20 +419,22 @@ def near_copies(
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(v.as_py(), width, seed) for v in batch.column(1)])], ["th", "shingles"])
 
     kinds = f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, sketch binary, least array<long>"
-    marked = cut(base.mapInArrow(_sketched(width, seed, similarity), kinds))
-    one = marked.groupBy("digest").agg(F.min("id").alias("smallest"), F.count("*").alias("times"), F.min(F.struct("th", "n", "fp", "sketch", "least")).alias("x"))
+    sketched = cut(base.mapInArrow(_sketched(width, seed, similarity), kinds))
+    one = sketched.groupBy("digest").agg(F.min("id").alias("smallest"), F.count("*").alias("times"), F.min(F.struct("th", "n", "fp", "sketch", "least")).alias("x"))
     distinct = cut(one.select("digest", "smallest", "times", "x.*").withColumn("node", F.monotonically_increasing_id()))
+    marked = cut(sketched.select("id", "th", "digest"))
+    drop(sketched)
     # passages that many texts share would make large groups, so their shingles come last
     first_of = F.slice("least", 1, F.col("n") - F.ceil(similarity * F.col("n") - 1e-9).cast("int") + 1)
     met = distinct.select(F.explode(first_of).alias("s")).groupBy("s").agg(F.count("*").alias("m"))
     often = met.filter(F.col("m") > FREQUENT).orderBy(F.desc("m"), "s").limit(MOST_FREQUENT).select("s").toArrow()["s"].to_numpy().view(np.uint64)
     ordered = docs.sparkSession.sparkContext.broadcast(np.sort(often))  # MOST_FREQUENT at most
-    least = cut(distinct.select("node", "n", "least").mapInArrow(_reordered(similarity, ordered), "node long, least array<long>"))
-    untold = cut(least.filter("least is null").select("node").join(distinct.select("node", "th"), "node"))
+    listed = "node long, n int, fp long, least array<long>"
+    told = cut(distinct.select("node", "n", "fp", "least").mapInArrow(_reordered(similarity, ordered), listed))
+    untold = cut(told.filter("least is null").drop("least").join(distinct.select("node", "th"), "node"))
     texts = base.select("th", "text").join(small_or_plain(untold.select("th")), "th", "left_semi").dropDuplicates(["th"])
-    again = texts.join(untold, "th").select("node", "text").mapInArrow(_again(width, seed, similarity, ordered), "node long, least array<long>")
-    least = least.filter("least is not null").unionByName(again)
-    keyed = cut(least.join(distinct.select("node", "n", "fp"), "node").select("node", "n", "fp", F.explode("least").alias("s")))
+    again = cut(texts.join(untold, "th").select("node", "n", "fp", "text").mapInArrow(_again(width, seed, similarity, ordered), listed))
+    keyed = told.filter("least is not null").unionByName(again).select("node", "n", "fp", F.explode("least").alias("s"))
     shared = cut(keyed.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / block).cast("int")
     own = F.pmod(F.xxhash64(F.lit(7), "node"), parts).cast("int")
@@ -464,5 +467,5 @@ def near_copies(
     named = distinct.join(linked.select("node", "root", "component_id"), "node", "left").select(
         "digest", "times", F.coalesce("root", "node").alias("group"), F.when(F.col("root").isNull(), F.col("smallest")).otherwise(F.col("component_id")).alias("component_id")
     )
-    found = join_counted(marked.select("id", "th", "digest"), named, "digest", "times", marked.count())
+    found = join_counted(marked, named, "digest", "times", marked.count())
     return found.select(F.col("id").alias(id_col), "component_id", F.col("th").alias("text_hash"), "group")
