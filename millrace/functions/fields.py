@@ -11,35 +11,33 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import ascii_json, let, strip
 from millrace.model import ALIAS_USED, DRIFT, MISSING_REQUIRED, TYPE_COERCED, UNKNOWN_FIELD
 
-# Where the text of an object is looked for, by how a field is coerced.
-_INSIDE = {
-    "text": (),
-    "named": ("name", "value", "displayName", "id"),
-    "email": ("emailAddress", "email", "email_address", "name"),
-}
-
-
-class Field(NamedTuple):
-    """What a contract says of a field."""
-
-    spelt: str  # its names, of which the first that is there counts; the first of all is the declared one
-    read: str = "text"  # where in an object its text is, see _INSIDE
-    shape: str = "scalar"  # or object
-    needed: bool = False  # whether a row is of no use without it
-
-
-Contract = Mapping[str, Field]
-
-# The contract of a ticket.
-TICKET: Contract = {
-    "summary": Field("summary title", needed=True),
-    "status": Field("status state", "named", needed=True),
-    "assignee_email": Field("assignee assignee_email assigneeAccount", "email", "object"),
-    "due_date": Field("duedate due_date dueDate"),
-    "updated": Field("updated updated_at updatedAt", needed=True),
-    "milestone_key": Field("customfield_milestone milestone milestone_key"),
-    "account_name": Field("account account_name organization"),
-}
+class Contract(NamedTuple):
+    """What is known of an object's fields, each under the name of the column that it becomes."""
+
+    spellings: Mapping[str, tuple[str, ...]]  # by column: the keys that it may have, of which the first that is there counts; the first of all is the declared one
+    inside: Mapping[str, tuple[str, ...]]  # by column: where the text is if an object is found; elsewhere an object is taken as it is
+    objects: tuple[str, ...]  # the columns whose value is declared to be an object
+    needed: tuple[str, ...]  # the columns without which a row is of no use
+
+
+# The fields of a ticket.
+TICKET = Contract(
+    spellings={
+        "summary": ("summary", "title"),
+        "status": ("status", "state"),
+        "assignee_email": ("assignee", "assignee_email", "assigneeAccount"),
+        "due_date": ("duedate", "due_date", "dueDate"),
+        "updated": ("updated", "updated_at", "updatedAt"),
+        "milestone_key": ("customfield_milestone", "milestone", "milestone_key"),
+        "account_name": ("account", "account_name", "organization"),
+    },
+    inside={
+        "status": ("name", "value", "displayName", "id"),
+        "assignee_email": ("emailAddress", "email", "email_address", "name"),
+    },
+    objects=("assignee_email",),
+    needed=("summary", "status", "updated"),
+)
 KEY_ALIASES = ("key", "issueKey", "issue_key", "id")
 
 
@@ -52,9 +50,9 @@ def _at(variant: Column, *path: str) -> Column:
     return F.try_variant_get(variant, "$" + "".join(f"['{p}']" for p in path), "string")
 
 
-def _resolved(held: Column, keys: Column, name: str, field: Field) -> Column:
+def _resolved(held: Column, keys: Column, name: str, contract: Contract) -> Column:
     """A struct of the spelling that is there, the text, and whether the value is an object."""
-    inside = _INSIDE[field.read]
+    inside = contract.inside.get(name, ())
 
     def read(at: Column) -> Column:
         value = at["value"]
@@ -68,15 +66,16 @@ def _resolved(held: Column, keys: Column, name: str, field: Field) -> Column:
         is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
         return let(F.struct(spelt.alias("spelt"), value.alias("value"), is_object.alias("is_object")), read)
 
-    return let(F.try_element_at(F.array_intersect(F.array(*map(F.lit, field.spelt.split())), keys), F.lit(1)), found).alias(name)
+    return let(F.try_element_at(F.array_intersect(F.array(*map(F.lit, contract.spellings[name])), keys), F.lit(1)), found).alias(name)
 
 
-def _notes(name: str, field: Field, own: Column) -> list[Column]:
-    declared, other = field.spelt.split()[0], "scalar" if field.shape == "object" else "object"
+def _notes(name: str, contract: Contract, own: Column) -> list[Column]:
+    declared, is_object = contract.spellings[name][0], name in contract.objects
+    kind, other = ("object", "scalar") if is_object else ("scalar", "object")
     renamed = F.concat(F.lit("arrived as '"), own["spelt"], F.lit(f"', expected '{declared}'"))
     return [
         F.when(own["spelt"] != declared, note(ALIAS_USED, name, renamed)),
-        F.when(own["spelt"].isNotNull() & (own["is_object"] == (field.shape != "object")), note(TYPE_COERCED, name, f"arrived as {other}, contract declares {field.shape}")),
+        F.when(own["spelt"].isNotNull() & (own["is_object"] != F.lit(is_object)), note(TYPE_COERCED, name, f"arrived as {other}, contract declares {kind}")),
     ]
 
 
@@ -90,14 +89,14 @@ def resolve(fields: Column, contract: Contract = TICKET) -> Column:
 
     def read(held: Column) -> Column:
         keys = F.coalesce(F.map_keys(held), F.array().cast("array<string>"))
-        found = F.struct(keys.alias("_keys"), held.alias("_held"), *[_resolved(held, keys, name, field) for name, field in contract.items()])
+        found = F.struct(keys.alias("_keys"), held.alias("_held"), *[_resolved(held, keys, name, contract) for name in contract.spellings])
         return let(found, made)
 
     def made(found: Column) -> Column:
-        notes = F.filter(F.array(*[n for name, field in contract.items() for n in _notes(name, field, found[name])]), lambda n: n.isNotNull())
-        unknown = F.array_sort(F.array_except(found["_keys"], F.array(*[found[name]["spelt"] for name in contract])))
-        lost = [F.when(found[name]["spelt"].isNull(), F.lit(name)) for name, field in contract.items() if field.needed]
-        values = [found[name]["text"].alias(name) for name in contract]
+        notes = F.filter(F.array(*[n for name in contract.spellings for n in _notes(name, contract, found[name])]), lambda n: n.isNotNull())
+        unknown = F.array_sort(F.array_except(found["_keys"], F.array(*[found[name]["spelt"] for name in contract.spellings])))
+        lost = [F.when(found[name]["spelt"].isNull(), F.lit(name)) for name in contract.needed]
+        values = [found[name]["text"].alias(name) for name in contract.spellings]
         return F.struct(
             *values, _unmapped(found["_held"], unknown).alias("unmapped_json"),
             F.concat(notes.cast(DRIFT), F.transform(unknown, lambda k: note(UNKNOWN_FIELD, k, "field not in the declared contract, kept unmapped")).cast(DRIFT)).alias("drift"),

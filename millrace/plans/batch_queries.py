@@ -174,7 +174,7 @@ def _panel(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         state = synced_events(spark, sf_dir, failing=True)
         deals = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("stage"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"))
-        return _ntz(metrics.dashboard(state, deals, AS_OF)[name].drop("first_seen_at", "age_hours"))
+        return _ntz(metrics.dashboard(state, deals, AS_OF, name)[name].drop("first_seen_at", "age_hours"))
 
     return query
 

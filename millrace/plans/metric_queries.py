@@ -98,7 +98,7 @@ def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dashboard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = synced_events(spark, sf_dir, failing=True)
     none = spark.createDataFrame([], "stage string, amount string")
-    return metrics.dashboard(state, none, AS_OF)["tiles"]
+    return metrics.dashboard(state, none, AS_OF, "tiles")["tiles"]
 
 
 def association_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
