@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import iso_text, utc_timestamp
 from millrace.lineage import cut, own_dir
 from millrace.model import KEY
-from millrace.operators import bucketed, limits, metrics
+from millrace.operators import bucketed, limits, lookup, metrics
 from millrace.operators.merge import State, apply_batch, decide, empty_state
 from millrace.operators.normalize import normalize
 from millrace.operators.order import in_order, numbered
@@ -58,6 +58,23 @@ def ledger_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(bucketed.save_ledger(bucketed.merged_ledger(ledger, decided, LATER), f"ledger_{name}_2"))
 
 
+def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of a state that was written, as the footers of its files say."""
+    folder = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    state = synced_events(spark, sf_dir)
+    for name, df in state.items():
+        df.write.parquet(f"{folder}/{name}")
+    return lookup.stored_counts(spark, {name: f"{folder}/{name}" for name in state})
+
+
+def audit_of_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit says of every key that has a dead letter, from an audit that is stored by key."""
+    _, after, _ = _batches(spark, sf_dir, failing=True)
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    lookup.save_by_key(after["audit"], path, "natural_key", "source")
+    return _ntz(lookup.find_all(spark.read.parquet(path), after["dead_letter"], "natural_key", "source"))
+
+
 def calendar_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calendar entries after a cursor; every tenth is a whole day, every tenth in a zone of its own, every tenth without a time."""
     e, kind = dealt(table(spark, sf_dir, "events")), F.col("event_id") % 10
@@ -189,6 +206,8 @@ QUERIES = {
     "filled_audit": _filled("audit"),
     "second_batch_counts": second_batch_counts,
     "ledger_buckets": ledger_buckets,
+    "stored_counts": stored_counts,
+    "audit_of_dead_letters": audit_of_dead_letters,
     "calendar_since": calendar_since,
     "calendar_file": calendar_file,
     "source_check": source_check,
@@ -303,3 +322,5 @@ ORACLE_SQL = {
     "panel_deals": "SELECT o_orderstatus AS stage, count(*) AS deals, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS VARCHAR) AS amount FROM orders GROUP BY 1",
 }
 ORACLE_SQL["ledger_buckets"] = ORACLE_SQL["filled_ledger"]
+ORACLE_SQL["stored_counts"] = _METRICS["snapshot_counts"]
+ORACLE_SQL["audit_of_dead_letters"] = f"{_FAILING} SELECT a.* FROM ({_AUDIT}) a SEMI JOIN dead USING (source, natural_key)"
