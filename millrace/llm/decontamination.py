@@ -2,9 +2,9 @@
 
 Test items are partitioned by how many shingles they have, in powers of two. In a partition of up to u shingles, an
 item's MinHash sketch holds its u - ceil(t * u) + 1 least shingle hashes: a document that contains at least t of the
-item's shingles lacks too few of them to lack more than a known number of the sketch. A document's sketch for a
-partition holds its hashes up to the partition's greatest, however long it is, less those that a bitmap of all items'
-sketches rules out. Sketches are joined by hash, and who shares enough of a sketch is verified on its full shingles.
+item's shingles lacks too few of them to lack more than a known number of the sketch. A document's sketch, however long it
+is, holds its hashes up to the greatest of all items' sketches, less those that one bitmap of these rules out; the
+partitions have no bounds of their own. Sketches are joined by hash, and who shares enough of a sketch is verified on its full shingles.
 """
 
 from __future__ import annotations

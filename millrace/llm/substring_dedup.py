@@ -1,4 +1,4 @@
-"""Substring dedup: passages of ``window`` words that an earlier document has too, found in prefix-partitioned suffix trees.
+"""Substring dedup: passages of ``window`` words that an earlier document has too, found in prefix-partitioned suffix arrays.
 
 Of each window of words the run of a few words with the least hash is its anchor, and the suffix that begins there is
 the one that is indexed; equal windows have equal anchors, and a text has few. Suffixes are partitioned by their
