@@ -260,6 +260,8 @@ FAR, SURE = 24, 32
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
 #: Sets in a group above which sketches are compared in it, before a pair leaves it.
 LARGE = 64
+#: Candidates that a task holds before it gives them on.
+PAIRS = 1 << 17
 #: Neighbours in a group that are compared before all others.
 NEIGHBOURS = 16
 #: Bins of a sketch, and by how many deviations a pair's estimate may be too low; fewer than one pair in 100,000 has more.
@@ -382,7 +384,7 @@ def _candidates(keys: list[str], similarity: float, steps: int | None = None):
             has = np.asarray(held.is_valid())
             sketch = np.frombuffer(b"".join(held.drop_null().to_pylist()), np.uint8).reshape(-1, BINS)
             place = np.cumsum(has) - 1
-            at, step = np.arange(rows.num_rows), 1
+            at, step, found, held_pairs = np.arange(rows.num_rows), 1, [], 0
             while (steps is None or step <= steps) and len(at := at[at + step < end[at]]):
                 few, many = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
                 near = (root[at] != root[at + step]) & (few >= similarity * many - 1e-9) & ((few < SURE) | (np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) <= FAR))
@@ -395,12 +397,24 @@ def _candidates(keys: list[str], similarity: float, steps: int | None = None):
                 first = first[alike]
                 if len(first):
                     x, y = node[first], node[first + step]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                    held_pairs += len(first)
+                if held_pairs > PAIRS:
+                    yield _once(found)
+                    found, held_pairs = [], 0
                 step += 1
+            if found:
+                yield _once(found)
 
     return scan
 
 
+def _once(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Each of the pairs (a, b) once."""
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
 def near_copies(
     docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8, block: int = BLOCK
 ) -> DataFrame:
