@@ -170,6 +170,42 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(table.limit(0)).collect() == []
 
 
+def taken_one_slot_after_the_other(spark, rows, block=64, seed=17):
+    """What the mix takes of each row, by a walk over the schedule: a source's words in a row, cut into blocks that its slots take in turn."""
+    ids = spark.createDataFrame([(r[0],) for r in rows], "id long").distinct()
+    h = {r["id"]: r["h"] for r in ids.select("id", F.xxhash64(F.lit(seed), "id").alias("h")).collect()}
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s))
+    own = {s: sorted(((h[i], i is not None, i, len((t or "").split()), k) for k, (i, t, x) in enumerate(rows) if x == s), key=lambda d: (d[0], d[1], d[2] or 0, d[3])) for s in sources}
+    sizes = [sum(d[3] for d in own[s]) for s in sources]
+    goal = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sources))], 1.5, 2.0)
+    blocks = [-(-n // block) for n in sizes]
+    slots = [g * b / n if n else 0.0 for g, b, n in zip(goal, blocks, sizes)]
+    edges = [round(sum(slots[:i]) / sum(slots) * 2**40) for i in range(len(slots) + 1)]
+    rank, uses = [0] * len(sources), Counter()
+    for n in range(round(sum(slots))):
+        point = int(f"{n:040b}"[::-1], 2)
+        at = next(i for i in range(len(sources)) if edges[i] <= point < edges[i + 1])
+        if rank[at] < math.floor(2.0 * blocks[at]):
+            uses[at, rank[at] % blocks[at]] += 1
+        rank[at] += 1
+    out = [0] * len(rows)
+    for at, s in enumerate(sources):
+        start = 0
+        for *_, n, k in own[s]:
+            out[k] = sum(uses[at, w // block] for w in range(start, start + n))
+            start += n
+    return out
+
+
+def test_mix_takes_what_a_walk_over_the_schedule_takes(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join(["w"] * draw.choice([0, 1, 5, 63, 64, 65, 400])), draw.choice(["b", "b", "a", "é", None])) for i in range(400)]
+    rows += [(None, "w w w", "a"), (900, None, "a"), (901, "w " * 5000, "z"), (902, "", "none")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    want = sorted(zip((r[0] for r in rows), taken_one_slot_after_the_other(spark, rows)), key=str)
+    assert sorted(((r["doc_id"], r["taken"]) for r in got), key=str) == want
+
+
 def test_targets_share_what_the_full_ones_leave():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 1.5, 2.0) == pytest.approx([200, 500 / 3, 250 / 3])
     assert mixing.targets([1, 0, 1000], [5, 2, 1], 1.5, 2.0) == pytest.approx([2, 0, 1499.5])
