@@ -57,8 +57,8 @@ class Live:
                 return found.status, dict(found.headers), json.loads(found.read() or b"{}")
         except urllib.error.HTTPError as e:
             return e.code, dict(e.headers or {}), {"message": e.reason}
-        except urllib.error.URLError as e:
-            raise SourceFailure(OUTAGE, f"{path}: {e.reason}") from e
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:  # the latter two also while the answer is read
+            raise SourceFailure(OUTAGE, f"{path}: {getattr(e, 'reason', e)}") from e
 
 
 def token_pages(get: Callable[[dict[str, str]], dict], params: dict[str, str]) -> Iterator[dict]:

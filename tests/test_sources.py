@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import json
 import mailbox
+import threading
 from datetime import datetime
 from email.mime.multipart import MIMEMultipart
 from email.mime.text import MIMEText
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 import pytest
 from pyspark.errors import PythonException
@@ -217,6 +220,68 @@ def test_recording_is_matched_by_parameters():
         list(paged.token_pages(lambda _: {"paging": {"next": {"after": "a"}}}, {}))
 
 
+def test_one_run_over_all_six_sources(spark, tmp_path):
+    """Files from a folder, tickets and a CRM from recordings; a second run finds nothing new and reads the endpoints from the cursor."""
+    (tmp_path / "calendar.ics").write_bytes(ICS.encode())
+    (tmp_path / "mailbox.mbox").write_text("From x\nMessage-ID: <m@x>\nFrom: a@b.example\nDate: Mon, 02 Mar 2026 09:00:00 +0000\n\nhello\n")
+    (tmp_path / "crm_export.json").write_text(json.dumps([{"record_id": "r1", "occurred_at": "2026-03-02T09:00:00Z", "contact_email": "a@b.example"}]))
+    issue = {"key": "T1", "fields": {"summary": "s", "status": "open", "updated": "2026-03-04T00:00:00Z", "assignee": {"emailAddress": "a@b.example"}}}
+    deal = {"id": "d1", "updatedAt": "2026-03-05T00:00:00Z", "properties": {"dealname": "D"}, "associations": {"contacts": {"results": [{"id": "1"}]}}}
+    board = [exchange({"startAt": 0, "total": 1, "issues": [issue]}, path="/search", startAt=0)] * 2
+    crm = [exchange({"results": [contact(1, "a@b.example")]}, path="/crm/v3/objects/contacts"), exchange({"results": [deal]}, path="/crm/v3/objects/deals")]
+    for name, exchanges in (("tickets", board), ("crm", crm)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"exchanges": exchanges}))
+    servers = {name: paged.endpoint(spark, recordings=(str(tmp_path / f"{name}.json"),)) for name in ("tickets", "crm")}
+    readers = build_readers(spark, str(tmp_path), **servers)
+    state, stats = sync_all(empty_state(spark), readers, NOW)
+    assert {r["source"]: r["n"] for r in stats.groupBy("source").agg(F.sum("created").alias("n")).collect()} == {"calendar": 2, "email": 1, "crm_import": 1, "tickets": 1, "hubspot_contacts": 1, "hubspot_deals": 1}
+    assert {r["source"] for r in state["cursors"].filter("cursor is not null").collect()} == set(readers)
+    _, stats = sync_all(state, readers, NOW)
+    assert stats.filter("created + updated + unchanged > 0").isEmpty()
+    for wrong in ({}, {"url": "http://x", "recordings": ("y",)}):
+        with pytest.raises(ValueError, match="either"):
+            paged.endpoint(spark, **wrong)
+
+
+def test_a_live_server_is_asked_by_http(spark):
+    """A server of this machine that refuses its second page once, is out of order once, and ends with an error for another path."""
+    asked, failures = [], [(429, {"Retry-After": "0"}), (503, {})]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            url = urlsplit(self.path)
+            after = parse_qs(url.query).get("after", [None])[0]
+            asked.append((url.path, after, self.headers["Authorization"].split()[0]))
+            status, headers, body = 200, {}, {"results": [{"id": "1"}], "paging": {"next": {"after": "x"}}} if after is None else {"results": [{"id": "2"}]}
+            if after and failures:
+                (status, headers), body = failures.pop(0), {}
+            if url.path == "/gone":
+                status, body = 404, {}
+            self.send_response(status)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        options = paged.endpoint(spark, url=f"http://127.0.0.1:{server.server_port}/", base="0.01")
+        got = paged.objects(spark, "/objects", **options).collect()
+        assert [(json.loads(r["value"])["id"], r["arrival"]) for r in got] == [("1", 0), ("2", 1)]
+        assert asked == [("/objects", None, "Bearer")] + [("/objects", "x", "Bearer")] * 3
+        with pytest.raises(PythonException, match="refused"):
+            paged.objects(spark, "/gone", **options).collect()
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(PythonException, match="outage"):
+        paged.objects(spark, "/objects", **paged.endpoint(spark, url=f"http://127.0.0.1:{server.server_port}", base="0.01", attempts="2")).collect()
+
+
 def test_deals_need_their_contacts_first(spark):
     deal = lambda i, ids: (json.dumps({"id": str(i), "properties": {"dealname": f"D{i}", "dealstage": "ClosedWon" if i == 1 else "open", "amount": "10.50", "hs_lastmodifieddate": "2026-03-03"}, "associations": {"contacts": {"results": [{"id": x} for x in ids]}}}),)  # noqa: E731, E501
     board = spark.createDataFrame([deal(1, ["9", "2", "1"]), deal(2, ["9"]), (json.dumps({"id": "3", "associations": []}),)], "value string")
