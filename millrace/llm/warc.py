@@ -79,7 +79,7 @@ def write(
 
     The payload is the html in UTF-8, empty for null. Of the pages with equal payloads of LEAST_BYTES or more, that with the
     smallest id is a response and the others are revisits of it; pages that share the smallest id are all responses, and so are all
-    where none has an id. Payloads are equal if their SHA-256 and length are. A null url leaves its line out, a null id has a
+    where none has an id. Payloads are equal if their SHA-256 is. A null url leaves its line out, a null id has a
     name of its own. Repeated rows are records of their own; an empty table gives no archive. Other columns are not read.
     """
     text_batches(pages)

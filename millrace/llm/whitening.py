@@ -98,7 +98,7 @@ def fit(vectors: DataFrame, *, vector: str = "embedding", components: int = 8, s
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = 0, np.zeros(dims, object)
         for _, x in matrices(batches, dims, scale, shift):
-            n, sums = n + len(x), sums + x.sum(axis=0)
+            n, sums = n + len(x), sums + x.sum(axis=0).astype(object)  # Python's integers, which have no end
         yield pickled((n, sums))
 
     n, sums = added(read.mapInArrow(total, "part binary"), lambda a, b: (a[0] + b[0], a[1] + b[1]))

@@ -132,6 +132,13 @@ def test_deviations_beyond_a_long_are_exact():
     assert [int(d) for d in whitening._squares(off).to_pylist()] == [sum(int(d) ** 2 for d in row) for row in off]
 
 
+def test_sums_beyond_a_long_are_exact(spark):
+    big = float((1 << 37) - 1)
+    rows = [[big, 0.0]] * 70_000 + [[-0.5, 1.0]]
+    model = whitening.fit(rows_of(spark, rows), components=1)
+    assert model.sums == (70_000 * (1024 * ((1 << 37) - 1) + 100_000) - 512 + 100_000, 70_000 * 100_000 + 101_024) and model.sums[0] > 1 << 63
+
+
 def test_whitening_of_few_and_no_vectors(spark):
     assert whitening.whiten(rows_of(spark, [None, [], [float("nan")]])).collect() == []
     assert whitening.fit(rows_of(spark, [[1.0]]).filter("false")) is None
