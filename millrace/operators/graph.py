@@ -8,6 +8,7 @@ end has, and is then drawn from the links above that end, so that it spans twice
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -44,8 +45,7 @@ def greatest_over_paths(values: DataFrame, links: DataFrame) -> DataFrame:
     longest path; at worst there is a round for each link of it. Links left with no upper end free of links are
     below a cycle: DependencyCycle.
     """
-    values = cut(values.select("node", "value"))
-    links = cut(links.select("above", "below", "weight").distinct())
+    values, links = _cut_together(values.select("node", "value"), links.select("above", "below", "weight").distinct())
     most = GROWTH * links.count()
     while True:
         ins = links.groupBy(F.col("below").alias("above")).agg(F.count("*").alias("ins"))
@@ -57,17 +57,24 @@ def greatest_over_paths(values: DataFrame, links: DataFrame) -> DataFrame:
             raise _cycle(links.select(F.col("below").alias("milestone_key")).distinct())
         few = _few(sized, most)
         offers = links.join(values, values["node"] == links["above"]).groupBy(F.col("below").alias("node")).agg(F.max(F.col("value") + F.col("weight")).alias("offer"))
-        better = cut(values.join(offers, "node", "left").select("node", F.greatest("value", "offer").alias("value")))
+        better = values.join(offers, "node", "left").select("node", F.greatest("value", "offer").alias("value"))
         upper = links.select(F.col("below").alias("middle"), F.col("above").alias("top"), F.col("weight").alias("more"))
         moved = (
             known.filter(F.col("ins").between(1, few)).join(upper, F.col("above") == F.col("middle"))
             .select(F.col("top").alias("above"), "below", (F.col("weight") + F.col("more")).alias("weight"))
         )
         kept = known.filter(F.col("ins") > few).select("above", "below", "weight")
-        longer = cut(moved.unionByName(kept).groupBy("above", "below").agg(F.max("weight").alias("weight")))
-        drop(values)
-        drop(links)
-        values, links = better, longer
+        longer = moved.unionByName(kept).groupBy("above", "below").agg(F.max("weight").alias("weight"))
+        before = values, links
+        values, links = _cut_together(better, longer)
+        for table in before:
+            drop(table)
+
+
+def _cut_together(*tables: DataFrame) -> list[DataFrame]:
+    """Each of the tables cut, in jobs that run side by side."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(cut, tables))
 
 
 def _few(sized: dict[int, int], most: int) -> int:
