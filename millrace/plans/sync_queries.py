@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,16 +40,25 @@ def ledger_state_after_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(synced_events(spark, sf_dir, failing=True)["ledger"].select(*KEY, "content_hash", "occurred_at", "version"), "occurred_at")
 
 
-def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger that a stream of the same records comes to, in micro-batches, its state kept by key."""
+def ledger_stream(spark: SparkSession, sf_dir: str, batch_rows: int = 1 << 22) -> DataFrame:
+    """The ledger that a stream of the same records comes to, in micro-batches, its state kept by key.
+
+    A micro-batch takes whatever files are there, in no order that Spark promises, so each range of arrival is written when the stream has
+    taken all of the one before: there are three at least, of some ``batch_rows`` records at most.
+    """
     folder = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     raw = cut(raw_events(spark, sf_dir, failing=True))
-    for part in ("arrival < 500000", "arrival >= 500000 AND arrival < 1000000000", "arrival >= 1000000000"):  # the files of a part are newer than those before
-        raw.filter(part).write.mode("append").parquet(f"{folder}/in")
+    n = max(3, math.ceil(raw.count() / batch_rows))
+    bounds = sorted(set(raw.approxQuantile("arrival", [i / n for i in range(1, n)], 0.1 / n)))
+    raw = cut(raw.repartitionByRange("arrival").sortWithinPartitions("arrival"))  # so that a range is read from its own files
     own = stateful_session(spark)
-    given = own.readStream.schema(raw.schema).option("maxFilesPerTrigger", 16).parquet(f"{folder}/in")
-    sink = ledger_outcomes(given).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
-    sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = raw if low is None else raw.filter(F.col("arrival") >= int(low))
+        part = part if high is None else part.filter(F.col("arrival") < int(high))
+        part.write.mode("append").parquet(f"{folder}/in")
+        given = own.readStream.schema(raw.schema).parquet(f"{folder}/in")
+        sink = ledger_outcomes(given).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+        sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return _ntz(stored_versions(spark.read.parquet(f"{folder}/out")), "occurred_at")
 
 

@@ -9,6 +9,7 @@ import pytest
 from millrace.model import RAW_SCHEMA
 from millrace.operators.merge import apply_batch, decide, empty_state
 from millrace.operators.normalize import normalize
+from millrace.plans import events, sync_queries
 from millrace.streaming.ledger import ledger_outcomes, stateful_session, stored_versions
 
 NOW = datetime(2026, 5, 1)
@@ -79,3 +80,18 @@ def test_given_up_writes_are_tried_again_when_they_are_due(spark, tmp_path):
         ("a", 1, 0, "dead_letter", None), ("a", 1, 1, "dead_letter", None), ("a", 1, 2, "created", 1), ("b", 2, 0, "dead_letter", None), ("b", 2, 1, "conflict_ignored", None),
         ("b", 4, 0, "created", 1), ("c", 3, 0, "dead_letter", None), ("c", 3, 1, "created", 1),
     ]
+
+
+def test_records_meet_the_state_in_their_order_however_many_files_they_come_in(spark, monkeypatch):
+    monkeypatch.setattr(sync_queries, "raw_events", lambda *a, **k: events.raw_events(*a, **k).repartition(20))
+    small = {"spark.sql.files.maxPartitionBytes": "60000b", "spark.sql.files.openCostInBytes": "1b"}  # a table of 20 files is read in as many parts at least
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    sf = "/root/testdata/sf0.01"
+    try:
+        found = sync_queries.ledger_stream(spark, sf)
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    want = sync_queries.ledger_state_after_failures(spark, sf)
+    assert sorted(found.collect()) == sorted(want.select(found.columns).collect())
