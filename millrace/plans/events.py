@@ -6,6 +6,7 @@ order; low values stand for records that validation refuses.
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from millrace.operators.normalize import normalize
 AS_OF = datetime(2024, 2, 1)
 #: A prime, for an order of arrival that is not that of the events, and what the second delivery is behind by.
 _PRIME, _STEP, _LATER = 1_000_003, 7919, 1 << 40
+#: Rows of a table that one task takes at most, where each row is parsed or hashed.
+TASK_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """df over all cores: a small file comes in fewer parts than there are cores, a large table is left as it is."""
+def dealt(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """df over all cores, ``task_rows`` to a task at most. A row group goes to one task however many parts its file is cut into, so the
+    rows of the parts are counted (by the footers), not the parts."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    total, most = df.groupBy(F.spark_partition_id()).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    even = df.rdd.getNumPartitions() >= cores and most <= task_rows and most * cores <= 2 * total
+    return df if even else df.repartition(max(cores, math.ceil(total / task_rows)), *df.columns)  # by all columns, which needs no sort
 
 
 def raw_events(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataFrame:

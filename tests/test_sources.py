@@ -18,6 +18,7 @@ from millrace.functions.retry import SourceFailure
 from millrace.model import TABLES
 from millrace.operators.merge import apply_batch, empty_state, reprocess
 from millrace.operators.projections import contact_emails, deals, merge_milestones, tickets
+from millrace.plans.events import dealt
 from millrace.sources import files, objects, paged
 from millrace.sources.readers import build_readers, sync_all
 
@@ -303,3 +304,17 @@ def test_milestone_file(spark, tmp_path):
     got = {r["milestone_key"]: r for r in rows.collect()}
     assert (got["a"]["status"], str(got["a"]["planned_end"]), got["b"]["actual_end"]) == ("planned", "2026-03-01", None)
     assert [tuple(r) for r in deps.collect()] == [("a", "b")]
+
+
+def test_rows_of_one_row_group_are_dealt_over_all_tasks(spark, tmp_path):
+    """A file of one row group is read in many parts, of which one has all rows."""
+    spark.range(40_000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000b")
+    try:
+        given = spark.read.parquet(f"{tmp_path}/one")
+        assert given.rdd.getNumPartitions() > 8
+        found = [r["count"] for r in dealt(given, task_rows=5_000).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(found) == 40_000 and max(found) <= 5_500
+        assert dealt(given.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
