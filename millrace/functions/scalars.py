@@ -98,6 +98,17 @@ def content_hash(entries: Column) -> Column:
     return F.sha2(ascii_json(F.to_json(F.map_from_entries(F.array_sort(cleaned)))), 256)
 
 
+def plain_json(**fields: Column) -> Column:
+    """The JSON that content_hash() takes the digest of, for fields that are stripped already and nothing else."""
+    return F.to_json(F.struct(*[F.coalesce(fields[k], F.lit("")).alias(k) for k in sorted(fields)]))
+
+
+def plain_hash(json: Column) -> Column:
+    """content_hash() of a plain_json() that is a column of its own. Most texts are ASCII without escapes of control characters, and spared the functions that Spark interprets."""
+    ascii_only = (F.octet_length(json) == F.length(json)) & ~json.contains("\x7f") & ~json.contains("\\u00")
+    return F.when(ascii_only, F.sha2(json.cast("binary"), 256)).otherwise(F.sha2(ascii_json(json), 256))
+
+
 def entries_of(extra: Column, prefix: str = "extra.", **fields: Column) -> Column:
     """The (name, text) entries of the named fields and of a map, the names of the latter behind a prefix."""
     own = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in fields.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import after_at, content_hash, entries_of, iso_text, strip, text_or, utc_timestamp
+from millrace.functions.scalars import after_at, content_hash, entries_of, iso_text, plain_hash, plain_json, strip, text_or, utc_timestamp
 from millrace.model import NO_KEY, PAYLOAD, POISON, SOURCES
 
 
@@ -61,7 +61,12 @@ def normalize(raw: DataFrame, sources: tuple[str, ...] | None = SOURCES) -> Data
         extra.alias("extra"),
     )
     named = {c: F.col(c) for c in fields} | {"occurred_at": iso_text(F.col("occurred"))}
-    return staged.withColumn("content_hash", F.when(F.col("error").isNull(), content_hash(entries_of(F.col("extra"), **named))))
+    # an account that comes from the email alone is not stripped yet; the texts are a projection of their own, as plain_hash() looks at them more than once
+    stripped = named | {"account_name": strip(F.col("account_name"))}
+    usable, more = F.col("error").isNull(), F.size("extra") > 0
+    staged = staged.withColumn("_json", F.when(usable & ~more, plain_json(**stripped)))
+    hashed = F.when(usable, F.when(more, content_hash(entries_of(F.col("extra"), **named))).otherwise(plain_hash(F.col("_json"))))
+    return staged.withColumn("content_hash", hashed).drop("_json")
 
 
 def dead_letters(poison: DataFrame) -> DataFrame:

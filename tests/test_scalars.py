@@ -45,6 +45,16 @@ def test_content_hash_is_that_of_sorted_ascii_json(spark, texts):
     assert found == want
 
 
+@settings(max_examples=8, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.characters(exclude_categories=["Cs"]) | st.sampled_from("\x00\x0b\x1a\x1f\x7f\x80\\\"u0B/"), max_size=30), min_size=1, max_size=40))
+@example(texts=["a\x7fb", "a\x0bb", "\\u000B", "\\\x0b\x0b\\\\\x1a", "é\x7f\x1f\\u001F", "".join(map(chr, range(256))), "plain \\ text", ""])
+def test_the_hash_of_plain_fields_is_the_content_hash(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.strip(F.col("t")).alias("t"))
+    rows = rows.withColumn("json", S.plain_json(subject=F.col("t"), body=F.lit(None).cast("string"))).select("i", S.plain_hash(F.col("json")), S.content_hash(S.entries_of(F.create_map().cast("map<string,string>"), subject=F.col("t"), body=F.lit(None).cast("string"))))
+    want = [hashlib.sha256(json.dumps({"body": "", "subject": t.strip()}, separators=(",", ":")).encode()).hexdigest() for t in texts]
+    assert [tuple(r) for r in sorted(rows.collect())] == [(i, w, w) for i, w in enumerate(want)]
+
+
 def test_strip_and_case(spark):
     texts = [" a ", " b ", "\x1cc\n", "", None]
     assert column(spark, texts, "string", S.strip) == ["a", "b", "c", "", None]
