@@ -13,6 +13,8 @@ from millrace.model import CLOSED_STAGES, CLOSED_STATUSES
 _SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: The spelling that a cast reads as it is; others are taken apart first.
 _PLAIN_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$"
+#: The spelling of calendars, which one replacement turns into that.
+_BASIC_TIME = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})Z?\z"
 _ISO_DATE = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?)"
 _ISO_TIME = r"(\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{2}(?:\d{2}(?:\d{2}(?:[.,]\d+)?)?)?)"
 _ISO_ZONE = r"(Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)"
@@ -43,7 +45,8 @@ def utc_timestamp(c: Column) -> Column:
 
     Dates may be basic, extended or of a week; a date alone is its midnight.
     """
-    return F.when(c.rlike(_PLAIN_TIME), c.try_cast("timestamp")).otherwise(F.when(c.rlike(_ISO), let(F.regexp_replace(c, _ISO, "$1|$2|$3"), _assembled)))
+    basic = F.regexp_replace(c, _BASIC_TIME, "$1-$2-$3 $4:$5:$6Z")
+    return F.when(c.rlike(_PLAIN_TIME), c.try_cast("timestamp")).when(c.rlike(_BASIC_TIME), basic.try_cast("timestamp")).otherwise(F.when(c.rlike(_ISO), let(F.regexp_replace(c, _ISO, "$1|$2|$3"), _assembled)))
 
 
 def _assembled(parts: Column) -> Column:

@@ -41,14 +41,9 @@ def after_cursor(raw: DataFrame, since: datetime | None) -> DataFrame:
 _PARAMETERS = r'(?:;(?:[^:"]|"[^"]*")*)?'
 
 
-def _properties(lines: Column, *names: str) -> Column:
-    """A map of the properties by name to their first line, parameters and value; each line is looked at once."""
-    head = F.regexp_extract
-    wanted = F.filter(lines, lambda x: x.rlike(f"(?i)^(?:{'|'.join(names)})[;:]"))
-    pairs = F.transform(wanted, lambda x: F.struct(F.upper(head(x, "^[^;:]*", 0)).alias("k"), x.alias("v")))
-    # of lines with one name the first stays
-    firsts = F.filter(pairs, lambda x, i: F.try_element_at(F.filter(F.slice(pairs, 1, i), lambda y: y["k"] == x["k"]), F.lit(1)).isNull())
-    return F.map_from_entries(firsts)
+def _line(text: Column, name: str) -> Column:
+    """The first line of a text (of lines that end in a line feed) that begins with the name of a property and ``:`` or ``;``; null if there is none."""
+    return F.nullif(F.regexp_extract(text, rf"(?dim)^{name}[;:].*$", 0), F.lit(""))
 
 
 def _value(line: Column) -> Column:
@@ -62,9 +57,9 @@ def parse_calendar(entries: DataFrame) -> DataFrame:
     Each step is a projection of its own, so that what several columns need is worked out once.
     """
     folded = F.regexp_replace(F.regexp_extract("value", r"(?is)^(.*?)\r?\n?END:VEVENT", 1), r"\r?\n[ \t]", "")
-    e = with_arrival(entries.filter(F.col("value").rlike("(?i)END:VEVENT"))).select("arrival", F.split(folded, r"\r?\n").alias("lines"))
-    e = e.select("arrival", _properties(F.col("lines"), "UID", "SUMMARY", "DESCRIPTION", "DTSTART", "ORGANIZER", "X-ACCOUNT-NAME").alias("p"))
-    line = lambda name: F.try_element_at(F.col("p"), F.lit(name))
+    e = with_arrival(entries.filter(F.col("value").rlike("(?i)END:VEVENT"))).select("arrival", F.replace(folded, F.lit("\r\n"), F.lit("\n")).alias("t"))
+    e = e.select("arrival", *[_line(F.col("t"), name).alias(name) for name in ("UID", "SUMMARY", "DESCRIPTION", "DTSTART", "ORGANIZER", "X-ACCOUNT-NAME")])
+    line = F.col
     text = lambda name: F.coalesce(_value(line(name)), F.lit(""))
     e = e.select(
         "arrival", line("DTSTART").alias("start"), strip(_value(line("DTSTART"))).alias("at"), line("ORGANIZER").alias("organizer"),
@@ -111,11 +106,11 @@ def parse_mailbox(messages: DataFrame) -> DataFrame:
     ends = F.instr("t", "\n\n")
     m = m.select(
         "arrival", F.when(ends > 0, F.substring("t", ends + 2, F.length("t"))).otherwise("").alias("rest"),
-        F.split(F.regexp_replace(F.when(ends > 0, F.left("t", ends - 1)).otherwise(F.col("t")), r"\n[ \t]+", " "), "\n").alias("lines"),
+        F.regexp_replace(F.when(ends > 0, F.left("t", ends - 1)).otherwise(F.col("t")), r"\n[ \t]+", " ").alias("head"),
     )
     names = ("Message-ID", "From", "Subject", "Date", "X-Account-Name", "Content-Type")
-    m = m.select("arrival", "rest", _properties(F.col("lines"), *names).alias("h"))
-    header = lambda name: F.try_element_at(F.col("h"), F.lit(name.upper()))
+    m = m.select("arrival", "rest", *[_line(F.col("head"), name).alias(name) for name in names])
+    header = F.col
     value = lambda name: strip(F.regexp_replace(header(name), r"^[^:]*:", ""))
     m = m.select(
         "arrival", "rest", F.coalesce(value("From"), F.lit("")).alias("given"), value("Message-ID").alias("id"), F.coalesce(value("Subject"), F.lit("")).alias("subject"),
