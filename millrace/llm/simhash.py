@@ -415,15 +415,25 @@ def _once(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
+def _linked_nodes(nodes: DataFrame, radius: int, block: int) -> DataFrame:
+    """Pairs (a, b) of nodes that join those whose fingerprints are connected by at most ``radius`` differing bits; not all pairs. nodes: node, fp."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("times")))
+    equal = join_counted(nodes, first, "fp", "times", nodes.count()).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = links(first.select("fp"), radius, block)
+    for end in ("a", "b"):
+        ends = ends.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"n{end}")), end)
+    return equal.unionByName(ends.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")))
+
+
 def near_copies(
-    docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8, block: int = BLOCK
+    docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", width: int = 5, seed: int = 42, similarity: float = 0.8, block: int = BLOCK, radius: int = 3
 ) -> DataFrame:
     """id, component_id, text_hash and group of each row: texts are linked whose sets of ``width``-word shingles have a Jaccard
     similarity of at least that. group is a number that only the rows of one component share. Other columns are neither read nor returned, and an empty table gives an empty result.
 
-    Bands of one fingerprint cannot find these pairs (they differ by some 10 bits), so texts that share one of their
-    least shingles are candidates; fingerprints and sketches thin them out and the shingles themselves decide. Equal sets are
-    compared once; what neighbours of a group have joined is not compared again. Null and blank texts are copies of each other, a null id is never the smallest, as in near_duplicates.
+    First come the texts whose fingerprints links() joins, which differ by up to ``radius`` bits. Similar texts may differ by more (by
+    some 10 bits), so for those that are not joined yet, texts that share one of their least shingles are candidates as well; fingerprints and
+    sketches thin them out. The shingles themselves decide on all candidates. Equal sets are compared once; what links or neighbours of a group have joined is not compared again. Null and blank texts are copies of each other, a null id is never the smallest, as in near_duplicates.
     """
     text_batches(docs)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -460,8 +470,7 @@ def near_copies(
     keys = ["s", "p", "q"]
     dealt = cut(dealt)
 
-    def similar(rows: DataFrame, steps: int | None) -> DataFrame:
-        found = rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").mapInArrow(_candidates(keys, similarity, steps), "a long, b long")
+    def verified(found: DataFrame) -> DataFrame:
         left, right = (distinct.select(F.col("node").alias(end), F.col("sketch").alias(name), F.col("n").alias(size)) for end, name, size in (("a", "x", "n"), ("b", "y", "m")))
         met = found.distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
         pairs = cut(met.mapInArrow(_plausible(similarity), "a long, b long"))
@@ -472,10 +481,14 @@ def near_copies(
         both = both.select("a", "b", F.size("left").alias("x"), F.size("right").alias("y"), F.size(F.array_intersect("left", "right")).alias("common"))
         return cut(both.filter(F.col("common") >= similarity * (F.col("x") + F.col("y") - F.col("common")) - 1e-9).select("a", "b"))
 
-    first = similar(dealt.withColumn("root", F.col("node")), NEIGHBOURS)
-    joined = small_or_plain(cut(components(first)))
-    rest = similar(dealt.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), None)
-    roots = components(first.unionByName(rest))
+    def similar(joined: DataFrame, steps: int | None) -> DataFrame:
+        rows = dealt.join(small_or_plain(cut(components(joined))), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return verified(rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").mapInArrow(_candidates(keys, similarity, steps), "a long, b long"))
+
+    near = verified(_linked_nodes(distinct.select("node", "fp"), radius, block))
+    first = similar(near, NEIGHBOURS)
+    rest = similar(near.unionByName(first), None)
+    roots = components(near.unionByName(first).unionByName(rest))
     rooted = roots.join(distinct.select("node", "smallest"), "node")
     linked = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root")
     named = distinct.join(linked.select("node", "root", "component_id"), "node", "left").select(

@@ -130,6 +130,20 @@ def test_near_copies_are_the_groups_of_all_jaccard_pairs(spark, block):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == label and len(set(label.values())) < len(rows) - 5
 
 
+def test_texts_of_linked_fingerprints_are_joined_by_simhash_itself(spark, monkeypatch):
+    """Without the candidates by shingles, what differs by up to three bits is found, and only if it is similar."""
+    draw, rows = random.Random(5), []
+    bits = lambda t: int(simhash.majority_bits([simhash.shingle_set(t, 5, 42)])[0])
+    while len(rows) < 12:
+        words = [f"w{draw.randrange(10_000)}" for _ in range(400)]
+        a, b = " ".join(words), " ".join([*words[:-1], "changed"])
+        if (bits(a) ^ bits(b)).bit_count() <= 3:
+            rows += [a, b]
+    monkeypatch.setattr(simhash, "_candidates", lambda *_: lambda batches: iter(()))
+    found = simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i - i % 2 for i in range(12)} == jaccard_groups(list(enumerate(rows)))
+
+
 def test_the_stage_leaves_one_text_of_each_jaccard_group(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     label = jaccard_groups([(r["doc_id"], r["text"]) for r in table.collect()])
