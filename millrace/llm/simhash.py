@@ -258,8 +258,8 @@ def near_duplicates(
 FAR, SURE = 24, 32
 #: Sets that share one of their least shingles, above which the shingle is put last; and how many are, at most, the most frequent. It costs time only if some are not.
 FREQUENT, MOST_FREQUENT = 64, 1_000_000
-#: Sets in a group above which sketches are compared in it, before a pair leaves it.
-LARGE = 64
+#: Sets in a group above which sketches, or sets of up to EXACT shingles, are compared in it, before a pair leaves it.
+LARGE, EXACT = 64, 512
 #: Candidates that a task holds before it gives them on.
 PAIRS = 1 << 17
 #: Neighbours in a group that are compared before all others.
@@ -306,9 +306,9 @@ def _plausible(similarity: float):
     return scan
 
 
-def _lists(held: list[np.ndarray]) -> pa.ListArray:
+def _lists(held: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*held, np.zeros(0, np.uint64)]).view(np.int64)))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([h.view(kind) for h in held] or [np.zeros(0, kind)])))
 
 
 def needed(n: int, similarity: float) -> int:
@@ -372,8 +372,49 @@ def _again(width: int, seed: int, similarity: float, shared):
     return scan
 
 
-def _candidates(keys: list[str], similarity: float, steps: int | None = None):
-    """Pairs of nodes of different roots that share a key, whose sizes, fingerprints and sketches (where there are any) let them be similar; of up to so many steps between them."""
+def carried_bits(value: str | None, width: int, seed: int) -> np.ndarray:
+    """What the rows of a large group carry of a text's shingles: the last 32 bits of each hash. Sets have no fewer of them in common than of the hashes."""
+    return (shingle_set(value, width, seed) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _shared(mark: np.ndarray, ids: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many ids of each of the rows (rising) are marked. edges: where the ids of each row begin, and the end; no row is empty."""
+    low, high = rows[0], rows[-1] + 1
+    if 3 * len(rows) > high - low:
+        return np.add.reduceat(mark[ids[edges[low] : edges[high]]], edges[low:high] - edges[low], dtype=np.int64)[rows - low]
+    size = edges[rows + 1] - edges[rows]
+    begin = np.cumsum(size) - size
+    return np.add.reduceat(mark[ids[np.repeat(edges[rows] - begin, size) + np.arange(size.sum())]], begin, dtype=np.int64)
+
+
+def _joining(root: np.ndarray, n: np.ndarray, fp: np.ndarray, values: np.ndarray, similarity: float, unite: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different roots whose values, n of each row, are similar; with ``unite`` only those that join what no pair before them has joined. Rows: sorted by n."""
+    ids, label = np.unique(values, return_inverse=True)[1], np.unique(root, return_inverse=True)[1]
+    edges, least = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]), similarity * n - 1e-9
+    mark, bits, found = np.zeros(len(ids), bool), fp.view(np.uint64), []
+    for i in range(len(n)):
+        j = i + 1 + np.flatnonzero(label[i + 1 : np.searchsorted(least, n[i], "right")] != label[i])
+        if n[i] >= SURE:
+            j = j[np.bitwise_count(bits[i] ^ bits[j]) <= FAR]
+        if not len(j):
+            continue
+        own = ids[edges[i] : edges[i + 1]]
+        mark[own] = True
+        common = _shared(mark, ids, edges, j)
+        mark[own] = False
+        j = j[common >= similarity * (n[i] + n[j] - common) - 1e-9]
+        if unite:
+            j = j[np.unique(label[j], return_index=True)[1]]
+            label[np.isin(label, label[j])] = label[i]
+        found.append(np.stack([np.full(len(j), i), j]))
+    return tuple(np.concatenate([np.zeros((2, 0), int), *found], axis=1))
+
+
+def _candidates(keys: list[str], similarity: float, steps: int | None = None, unite: bool = True):
+    """Pairs of nodes of different roots that share a key, whose sizes, fingerprints and sketches (where there are any) let them be similar; of up to so many steps between them.
+
+    Rows that carry their shingles are compared by these, at any distance: with ``unite`` what is given on for a group joins its similar sets, without, each similar pair is.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sorted_groups(batches, keys):
@@ -385,9 +426,18 @@ def _candidates(keys: list[str], similarity: float, steps: int | None = None):
             sketch = np.frombuffer(b"".join(held.drop_null().to_pylist()), np.uint8).reshape(-1, BINS)
             place = np.cumsum(has) - 1
             at, step, found, held_pairs = np.arange(rows.num_rows), 1, [], 0
+            carried = rows.column("shingles").combine_chunks()
+            exact = np.asarray(carried.is_valid())
+            for low in begin[exact[begin]]:
+                high = low + int(exact[low : end[low]].sum())  # the smaller sets come first
+                x, y = _joining(root[low:high], n[low:high], fp[low:high], carried[low:high].flatten().to_numpy(), similarity, unite)
+                if len(x):
+                    x, y = node[low + x], node[low + y]
+                    yield _once([np.stack([np.minimum(x, y), np.maximum(x, y)])], True)
+            at = at[~exact[end - 1]]
             while (steps is None or step <= steps) and len(at := at[at + step < end[at]]):
                 few, many = np.minimum(n[at], n[at + step]), np.maximum(n[at], n[at + step])
-                near = (root[at] != root[at + step]) & (few >= similarity * many - 1e-9) & ((few < SURE) | (np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) <= FAR))
+                near = (root[at] != root[at + step]) & ~exact[at + step] & (few >= similarity * many - 1e-9) & ((few < SURE) | (np.bitwise_count(fp[at].view(np.uint64) ^ fp[at + step].view(np.uint64)) <= FAR))
                 first = at[near]
                 alike = np.ones(len(first), bool)
                 shown = np.flatnonzero(has[first])
@@ -400,19 +450,19 @@ def _candidates(keys: list[str], similarity: float, steps: int | None = None):
                     found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
                     held_pairs += len(first)
                 if held_pairs > PAIRS:
-                    yield _once(found)
+                    yield _once(found, False)
                     found, held_pairs = [], 0
                 step += 1
             if found:
-                yield _once(found)
+                yield _once(found, False)
 
     return scan
 
 
-def _once(found: list[np.ndarray]) -> pa.RecordBatch:
-    """Each of the pairs (a, b) once."""
+def _once(found: list[np.ndarray], joins: bool) -> pa.RecordBatch:
+    """Each of the pairs (a, b) once; joins: whether they stand for others of their group."""
     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], joins))], ["a", "b", "joins"])
 
 
 def _linked_nodes(nodes: DataFrame, radius: int, block: int) -> DataFrame:
@@ -433,7 +483,8 @@ def near_copies(
 
     First come the texts whose fingerprints links() joins, which differ by up to ``radius`` bits. Similar texts may differ by more (by
     some 10 bits), so for those that are not joined yet, texts that share one of their least shingles are candidates as well; fingerprints and
-    sketches thin them out. The shingles themselves decide on all candidates. Equal sets are compared once; what links or neighbours of a group have joined is not compared again. Null and blank texts are copies of each other, a null id is never the smallest, as in near_duplicates.
+    sketches thin them out. In a large group the rows carry their shingles (of sets of up to EXACT), so that of all its pairs only those leave it
+    that join similar texts. The shingles themselves decide on all candidates. Equal sets are compared once; what links or neighbours of a group have joined is not compared again. Null and blank texts are copies of each other, a null id is never the smallest, as in near_duplicates.
     """
     text_batches(docs)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
@@ -442,6 +493,10 @@ def near_copies(
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(v.as_py(), width, seed) for v in batch.column(1)])], ["th", "shingles"])
 
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([carried_bits(v.as_py(), width, seed) for v in batch.column(1)], np.int32)], ["th", "shingles"])
+
     kinds = f"id {dict(docs.dtypes)[id_col]}, th long, digest binary, n int, fp long, sketch binary, least array<long>"
     sketched = cut(base.mapInArrow(_sketched(width, seed, similarity), kinds))
     one = sketched.groupBy("digest").agg(F.min("id").alias("smallest"), F.count("*").alias("times"), F.min(F.struct("th", "n", "fp", "sketch", "least")).alias("x"))
@@ -481,14 +536,27 @@ def near_copies(
         both = both.select("a", "b", F.size("left").alias("x"), F.size("right").alias("y"), F.size(F.array_intersect("left", "right")).alias("common"))
         return cut(both.filter(F.col("common") >= similarity * (F.col("x") + F.col("y") - F.col("common")) - 1e-9).select("a", "b"))
 
-    def similar(joined: DataFrame, steps: int | None) -> DataFrame:
-        rows = dealt.join(small_or_plain(cut(components(joined))), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        return verified(rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").mapInArrow(_candidates(keys, similarity, steps), "a long, b long"))
+    def candidates(rows: DataFrame, joined: DataFrame, steps: int | None = None, unite: bool = True) -> DataFrame:
+        rows = rows.join(small_or_plain(cut(components(joined))), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "fp").mapInArrow(_candidates(keys, similarity, steps, unite), "a long, b long, joins boolean")
 
     near = verified(_linked_nodes(distinct.select("node", "fp"), radius, block))
-    first = similar(near, NEIGHBOURS)
-    rest = similar(near.unionByName(first), None)
-    roots = components(near.unionByName(first).unionByName(rest))
+    plain = dealt.withColumn("shingles", F.lit(None).cast("array<int>"))
+    joined = near.unionByName(verified(candidates(plain, near, NEIGHBOURS).drop("joins")))
+    # the sets of large groups go with their rows from here on, a sketch only where it may meet a larger set
+    exact = F.col("sketch").isNotNull() & (F.col("n") <= EXACT)
+    wanted = cut(dealt.filter(exact).select("node").distinct().join(distinct.select("node", "th"), "node"))
+    texts = base.select("th", "text").join(small_or_plain(wanted.select("th")), "th", "left_semi").dropDuplicates(["th"])
+    known = cut(texts.mapInArrow(carried, "th long, shingles array<int>").join(wanted, "th").select("node", "shingles"))
+    bare = dealt.filter(exact).withColumn("sketch", F.when(F.col("n") >= similarity * EXACT - 1, F.col("sketch")))
+    rows = bare.join(known, "node").unionByName(plain.filter(~exact | F.col("sketch").isNull()))
+    found = cut(candidates(rows, joined))
+    rest = verified(found.drop("joins"))
+    joined = joined.unionByName(rest)
+    # a pair that was similar only by chance may stand for others in its group
+    if not found.filter("joins").join(rest, ["a", "b"], "left_anti").isEmpty():
+        joined = joined.unionByName(verified(candidates(rows, joined, unite=False).drop("joins")))
+    roots = components(joined)
     rooted = roots.join(distinct.select("node", "smallest"), "node")
     linked = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root")
     named = distinct.join(linked.select("node", "root", "component_id"), "node", "left").select(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -144,6 +145,59 @@ def test_texts_of_linked_fingerprints_are_joined_by_simhash_itself(spark, monkey
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i - i % 2 for i in range(12)} == jaccard_groups(list(enumerate(rows)))
 
 
+def near_copies_of_one(n: int) -> list[tuple[int, str]]:
+    """Texts of which few pairs have a similarity of 0.8, and nearly all some 0.76."""
+    draw = random.Random(n)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(n):
+        words = list(base)
+        for k in (0, 1):
+            words[draw.randrange(150)] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_pairs_that_leave_a_group_of_near_copies_grow_with_it_and_not_with_its_square(spark, monkeypatch, tmp_path):
+    """Few outliers have no partner and are compared with all of the group; that must not make rows."""
+    plain, made = simhash._plausible, []
+    for n in (150, 600):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+
+        def counting(similarity, folder=str(folder)):
+            def scan(batches):
+                with open(f"{folder}/{random.random()}", "w") as f:
+                    for batch in batches:
+                        f.write(f"{batch.num_rows}\n")
+                        yield from plain(similarity)(iter([batch]))
+
+            return scan
+
+        monkeypatch.setattr(simhash, "_plausible", counting)
+        rows = near_copies_of_one(n)
+        found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == jaccard_groups(rows)
+        made.append(sum(int(x) for f in folder.iterdir() for x in f.read_text().split()))
+    assert 0 < made[1] < 5 * made[0], made
+
+
+@pytest.mark.parametrize("exact,bits", [(512, 32), (140, 32), (512, 3)])
+def test_shingles_in_a_group_find_what_all_pairs_find(spark, monkeypatch, exact, bits):
+    """Also where some sets are too large to go with their rows, and where bits match by chance, so that pairs stand for others wrongly."""
+    draw, rows = random.Random(3), near_copies_of_one(60)
+    for i in range(60, 100):
+        words = rows[draw.randrange(60)][1].split()
+        rows.append((i, " ".join([*words[: draw.randrange(118, 150)], *(f"end{k}" for k in range(draw.randrange(8)))])))
+    whole = simhash.shingle_set
+    monkeypatch.setattr(simhash, "carried_bits", lambda *x: (whole(*x) & np.uint64((1 << bits) - 1)).astype(np.uint32))
+    monkeypatch.setattr(simhash, "EXACT", exact)
+    monkeypatch.setattr(simhash, "LARGE", 4)
+    monkeypatch.setattr(simhash, "NEIGHBOURS", 1)
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=40)
+    label = jaccard_groups(rows)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == label and 1 < len(set(label.values())) < 90
+
+
 def test_the_stage_leaves_one_text_of_each_jaccard_group(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     label = jaccard_groups([(r["doc_id"], r["text"]) for r in table.collect()])
