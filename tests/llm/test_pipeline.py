@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -157,6 +158,17 @@ def near_copies_of_one(n: int) -> list[tuple[int, str]]:
     return rows
 
 
+@pytest.mark.parametrize("n", [150, 600])
+def test_a_group_gives_on_fewer_pairs_than_it_has_rows(n):
+    sets = [simhash.shingle_set(text, 5, 42) for _, text in near_copies_of_one(n)]
+    fps, sizes = simhash.majority_bits(sets).view(np.int64), np.array([len(h) for h in sets], np.int32)
+    order = np.lexsort((fps, sizes))
+    held = pa.array([(sets[i] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for i in order], pa.list_(pa.int32()))
+    columns = {"s": pa.array(np.zeros(n, np.int64)), "node": pa.array(order), "root": pa.array(order), "n": pa.array(sizes[order]), "fp": pa.array(fps[order])}
+    columns |= {"sketch": pa.array([simhash.bin_sketch(sets[i]) for i in order], pa.binary()), "shingles": held}
+    assert sum(b.num_rows for b in simhash._candidates(["s"], 0.8)(iter([pa.RecordBatch.from_pydict(columns)]))) < n
+
+
 def test_pairs_that_leave_a_group_of_near_copies_grow_with_it_and_not_with_its_square(spark, monkeypatch, tmp_path):
     """Few outliers have no partner and are compared with all of the group; that must not make rows."""
     plain, made = simhash._plausible, []
