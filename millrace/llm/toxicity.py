@@ -28,6 +28,8 @@ from millrace.llm.common import cut, first_by_hash, fresh, text_batches
 SAMPLE_ROWS = 12_000
 #: Learned terms, at most, and the toxic texts that must hold one.
 LEARNED_TERMS, LEAST_SUPPORT = 600, 4
+#: Bytes of text that a worker judges at once; the arrays that it needs for them take some 20 times as much.
+PART_BYTES = 1 << 20
 # Plain insults of the four languages, and words that address the reader.
 INSULTS = frozenset(
     "idiot moron stupid loser scum trash worthless pathetic disgusting clown fool jerk dumb "
@@ -116,8 +118,20 @@ def word_facts(raw: pa.StringArray, learned: dict[str, float]) -> tuple[np.ndarr
     return facts, best
 
 
+def _parts(texts: pa.Array) -> list[pa.Array]:
+    """The texts in runs of some PART_BYTES; a longer text is never cut."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(ends // PART_BYTES)) + 1).tolist(), len(texts)]
+    return [texts[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def features(texts: pa.Array, learned: dict[str, float]) -> np.ndarray:
-    """Dense features of whole texts, a row each; all zero for a null or blank one. Each different word of the texts is judged once."""
+    """Dense features of whole texts, a row each; all zero for a null or blank one. What it holds besides them is bounded by a part of the texts."""
+    return np.concatenate([_part_features(part, learned) for part in _parts(texts)])
+
+
+def _part_features(texts: pa.Array, learned: dict[str, float]) -> np.ndarray:
+    """Each different word of the texts is judged once."""
     texts = pc.fill_null(texts, "")
     out = np.zeros((len(texts), len(FEATURES)))
     listed = pc.utf8_split_whitespace(texts)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -482,6 +483,22 @@ def test_features_equal_their_definition():
     assert np.array_equal(alone, got)
 
 
+def test_toxicity_judges_a_batch_in_parts_of_bounded_memory():
+    draw = random.Random(8)
+    words = ["you", "IDIOT!", "1d10t", "sooo", "community", *("".join(draw.choices("abcdefg", k=5)) for _ in range(3000))]
+    texts = [None, "", *(" ".join(draw.choices(words, k=500)) for _ in range(2000)), "  "]
+    learned = {"comm*": 2.5}
+    batch, few = pa.array(texts, pa.string()), pa.array(texts[:5] + texts[-4:], pa.string())
+    want = toxicity.features(few, learned)
+    tracemalloc.start()
+    got = toxicity.features(batch, learned)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (len(texts), len(toxicity.FEATURES))
+    assert np.array_equal(got[[*range(5), *range(-4, 0)]], want)
+    assert held < 2 * batch.nbytes
+
+
 def test_toxicity_of_clashing_columns_and_empty_tables(spark):
     names = ["features", "margin", "probability", "prediction", "raw", "calibrated", "_features", "_id", "_h", "part", "toxic"]
     rows = [(i, f"you idiot number {i}" if i % 2 else f"a calm text number {i}") for i in range(400)]
