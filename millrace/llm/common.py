@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.lineage import cut, shared_dir, small_or_plain
 
-__all__ = ["cut", "first_by_hash", "fresh", "join_counted", "shared_dir", "small_or_plain", "sorted_groups", "starts", "table", "text_batches"]
+__all__ = ["SMALL_BATCH_BYTES", "cut", "first_by_hash", "fresh", "join_counted", "shared_dir", "small_or_plain", "sorted_groups", "starts", "table", "text_batches"]
 
 #: One word of a text: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,13 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of an Arrow batch of texts.
-BATCH_BYTES = "8m"
+#: Bytes of an Arrow batch of texts; where what is made of a batch is not summed up for it, fewer do as well.
+BATCH_BYTES, SMALL_BATCH_BYTES = "8m", "2m"
 
 
-def text_batches(df: DataFrame) -> None:
+def text_batches(df: DataFrame, size: str = BATCH_BYTES) -> None:
     """From now on the session hands rows to Python in batches of a few MB at most, so that a worker's memory does not depend on how long texts are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

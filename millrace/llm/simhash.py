@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.lineage import drop
-from millrace.llm.common import cut, join_counted, small_or_plain, sorted_groups, starts, text_batches
+from millrace.llm.common import SMALL_BATCH_BYTES, cut, join_counted, small_or_plain, sorted_groups, starts, text_batches
 from millrace.llm.components import components
 
 _SPACE = re.compile(rb"[\x09-\x0D ]")
@@ -486,7 +486,7 @@ def near_copies(
     sketches thin them out. In a large group the rows carry their shingles (of sets of up to EXACT), so that of all its pairs only those leave it
     that join similar texts. The shingles themselves decide on all candidates. Equal sets are compared once; what links or neighbours of a group have joined is not compared again. Null and blank texts are copies of each other, a null id is never the smallest, as in near_duplicates.
     """
-    text_batches(docs)
+    text_batches(docs, SMALL_BATCH_BYTES)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import cut, first_by_hash, fresh, text_batches
+from millrace.llm.common import SMALL_BATCH_BYTES, cut, first_by_hash, fresh, text_batches
 
 #: Labelled rows that the model is fitted on, at most: the first by a hash of the id.
 SAMPLE_ROWS = 12_000
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     out; repeated documents count each. Without documents or labels the model gives every text the same score. The
     sampled ids (a fixed number) are broadcast, so the documents are read once and not shuffled.
     """
-    text_batches(docs)
+    text_batches(docs, SMALL_BATCH_BYTES)
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     chosen = first_by_hash(cut(known.withColumn("_h", F.xxhash64(F.lit(3), "_id"))), "_h", rows)
