@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table may be sent whole to every executor.
 BROADCAST_ROWS = 200_000
+#: Rows of which a merge shuffles no more at a time, for the disk that it takes.
+PORTION_ROWS = 1 << 23
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +39,17 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a write has shuffled is deleted when the write ends; else it stays on disk until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it again: later work neither repeats it nor loses it with an executor."""
     spark = df.sparkSession
@@ -42,6 +58,31 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pack(path: str, *parts: DataFrame) -> None:
+    """Write parts to one folder, one after the other, in little space (Zstandard halves hashes in hex). No more is on disk beside it than what one part shuffles."""
+    with tidy(parts[0].sparkSession):
+        for part in parts:
+            part.write.mode("append").option("compression", "zstd").parquet(path)
+
+
+def packed(*parts: DataFrame) -> DataFrame:
+    """cut() of all parts as one table, by pack()."""
+    spark = parts[0].sparkSession
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    pack(path, *parts)
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
+def portions(rows: int) -> int:
+    """Into how many parts a table of so many rows is taken that is shuffled whole."""
+    return max(1, -(-rows // PORTION_ROWS))
+
+
+def portion(df: DataFrame, i: int, n: int, *by: str) -> DataFrame:
+    """The i-th of n parts of df that hold all rows of a key together."""
+    return df if n == 1 else df.filter(F.pmod(F.xxhash64(*by), F.lit(n)) == i)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table that ``cut`` gave, when all that is made of it is written; other tables are left alone."""
     spark = df.sparkSession

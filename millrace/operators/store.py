@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.lineage import cut
 from millrace.model import KEY, SOURCES, TABLES
-from millrace.operators.merge import State, apply_staged
-from millrace.operators.normalize import dead_letters, normalize
+from millrace.operators.merge import State, apply_staged, stage
+from millrace.operators.normalize import dead_letters
 
 _COMMITS = "version long, batch_id long, name string, bucket int, at long"
 #: What the rows of a table are dealt to buckets by.
@@ -122,7 +122,7 @@ class Store:
 
     def merge(self, raw: DataFrame, *, now: datetime, attempts: int = 3, sources: tuple[str, ...] | None = SOURCES, batch_id: int = -1) -> DataFrame:
         """A run over raw on the last version, committed; returns the run's counts. Only buckets that hold keys of the batch are read and written."""
-        staged = cut(normalize(raw, sources))
+        staged = stage(raw, sources, attempts)
         only = self.touched(staged)
         state, rows, stats = apply_staged(self.read(only=only), staged, now=now, attempts=attempts)
         stats = cut(stats)  # as it was before the commit
