@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.lineage import cut
+from millrace.lineage import drop, packed, portion, portions, tidy
 from millrace.model import KEY, SOURCES, TABLES
 from millrace.operators.merge import State, apply_staged, stage
 from millrace.operators.normalize import dead_letters
@@ -78,17 +78,17 @@ class Store:
             out[name] = rows
         return out
 
-    def commit(self, state: State, batch_id: int = -1, only: Buckets | None = None, audit: DataFrame | None = None) -> int:
+    def commit(self, state: State, batch_id: int = -1, only: Buckets | None = None, audit: DataFrame | None = None, turns: int = 1) -> int:
         """Write the next version. The tables may be made from those of the last one.
 
         With ``only``, state holds these buckets of the tables that it names, and all else stays as it is. ``audit`` are
-        the rows to add to the audit, in place of a whole one.
+        the rows to add to the audit, in place of a whole one, written in so many ``turns``.
         """
         version, rows = self.version() + 1, []
         before = self._parts(version - 1)
         for name, schema in TABLES.items():
             if name == "audit" and audit is not None:
-                self._write(name, audit, version)
+                self._write(name, audit, version, turns)
                 rows += [*((name, *part) for part in before[name]), (name, _WHOLE, version)]
             elif only is None or name == "audit":
                 self._write(name, state[name], version)
@@ -103,10 +103,13 @@ class Store:
         table.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
         return version
 
-    def _write(self, name: str, df: DataFrame, version: int) -> None:
+    def _write(self, name: str, df: DataFrame, version: int, turns: int = 1) -> None:
         columns = self.spark.createDataFrame([], TABLES[name]).columns
-        dealt = df.select(*columns).withColumn("bucket", self._bucket(name)).repartition("bucket", F.pmod(F.hash(*_BY[name]), F.lit(4)))
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/v={version}")
+        for i in range(turns):
+            dealt = portion(df.select(*columns), i, turns, *_BY[name]).withColumn("bucket", self._bucket(name)).repartition("bucket", F.pmod(F.hash(*_BY[name]), F.lit(4)))
+            writer = dealt.write.mode("append" if i else "overwrite").option("compression", "zstd")
+            with tidy(self.spark):
+                writer.partitionBy("bucket").parquet(f"{self.path}/{name}/v={version}")
 
     def touched(self, staged: DataFrame) -> Buckets:
         """The buckets that hold the keys of staged rows; those of the audit only matter for what was recorded once."""
@@ -122,9 +125,11 @@ class Store:
 
     def merge(self, raw: DataFrame, *, now: datetime, attempts: int = 3, sources: tuple[str, ...] | None = SOURCES, batch_id: int = -1) -> DataFrame:
         """A run over raw on the last version, committed; returns the run's counts. Only buckets that hold keys of the batch are read and written."""
-        staged = stage(raw, sources, attempts)
-        only = self.touched(staged)
-        state, rows, stats = apply_staged(self.read(only=only), staged, now=now, attempts=attempts)
-        stats = cut(stats)  # as it was before the commit
-        self.commit(state, batch_id, only, rows)
+        staged, made = stage(raw, sources, attempts), []
+        only, turns = self.touched(staged), portions(staged.count())
+        state, rows, stats = apply_staged(self.read(only=only), staged, now=now, attempts=attempts, made=made)
+        stats = packed(stats)  # as it was before the commit
+        self.commit(state, batch_id, only, rows, turns)
+        for table in made:
+            drop(table)
         return stats

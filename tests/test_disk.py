@@ -14,6 +14,7 @@ from millrace import lineage
 from millrace.model import DRIFT, RAW_SCHEMA
 from millrace.operators.merge import apply_batch, decide, empty_state
 from millrace.operators.normalize import normalize
+from millrace.operators.store import Store
 
 NOW, LATER = datetime(2026, 1, 10), datetime(2026, 1, 11)
 
@@ -89,3 +90,14 @@ def test_a_run_in_portions_makes_what_decisions_say(spark, monkeypatch, most):
         assert [row[k] for k in ("created", "updated", "unchanged", "conflict_ignored", "dead_lettered")] == [
             sum(r["decision"] == k for r in want) for k in ("created", "updated", "unchanged", "conflict_ignored", "dead_letter")
         ]
+
+
+def test_a_store_keeps_nothing_that_a_commit_was_made_of(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "PORTION_ROWS", 5_000)
+    raw, held, files = rows(spark, 20_000), shuffled(spark), own(spark)
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.merge(raw, now=NOW).first()["created"] == 20_000
+    assert own(spark) - files < 100_000
+    assert settled(spark, held + 500_000) <= held + 500_000
+    found = store.read()
+    assert found["audit"].select("natural_key").distinct().count() == found["audit"].count() == found["ledger"].count() == 20_000
