@@ -15,6 +15,7 @@ from millrace.model import DRIFT, RAW_SCHEMA
 from millrace.operators.merge import apply_batch, decide, empty_state
 from millrace.operators.normalize import normalize
 from millrace.operators.store import Store
+from millrace.plans import batch_queries
 
 NOW, LATER = datetime(2026, 1, 10), datetime(2026, 1, 11)
 
@@ -101,3 +102,12 @@ def test_a_store_keeps_nothing_that_a_commit_was_made_of(spark, tmp_path, monkey
     assert settled(spark, held + 500_000) <= held + 500_000
     found = store.read()
     assert found["audit"].select("natural_key").distinct().count() == found["audit"].count() == found["ledger"].count() == 20_000
+
+
+def test_counts_of_stored_tables_leave_no_shuffle(spark):
+    held = shuffled(spark)
+    files = own(spark)
+    counts = {r["table"]: r["n"] for r in batch_queries.stored_counts(spark, "/root/testdata/sf0.01").collect()}
+    assert counts["ledger"] == counts["activities"] > 0
+    assert settled(spark, held + 500_000) <= held + 500_000
+    assert own(spark) - files < 5_000_000
