@@ -33,10 +33,30 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
 
 
+def _at(spark: SparkSession, path: str):
+    """A path, and the file system that it is in."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared folder, if it is there."""
+    found, files = _at(spark, path)
+    files.delete(found, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder in the shared folder another name; without one at that path an empty folder is made."""
+    found, files = _at(spark, path)
+    target, _ = _at(spark, to)
+    files.mkdirs(target.getParent())
+    if not (files.rename(found, target) if files.exists(found) else files.mkdirs(target)):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application has cut so far; call it when the results made of it are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, own_dir(spark))
 
 
 @contextmanager
@@ -89,8 +109,7 @@ def drop(df: DataFrame) -> None:
     own = own_dir(spark).split(":", 1)[-1].lstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if own in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
 
 
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

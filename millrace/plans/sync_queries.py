@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.lineage import cut, own_dir
+from millrace.lineage import delete, move, own_dir, packed, tidy
 from millrace.model import KEY
 from millrace.operators.merge import applied, apply_batch, conflict_audit, drift_audit, empty_state, reprocess, write_audit
 from millrace.operators.normalize import dead_letters, normalize
 from millrace.plans.events import AS_OF, decided_events, decided_sql, raw_events, synced_events
-from millrace.streaming.ledger import ledger_outcomes, stateful_session, stored_versions
+from millrace.streaming.ledger import OUTCOMES, ledger_outcomes, stateful_session, stored_versions
 
 
 def _ntz(df: DataFrame, *columns: str) -> DataFrame:
@@ -47,19 +47,23 @@ def ledger_stream(spark: SparkSession, sf_dir: str, batch_rows: int = 1 << 22) -
     taken all of the one before: there are three at least, of some ``batch_rows`` records at most.
     """
     folder = f"{own_dir(spark)}/{uuid.uuid4().hex}"
-    raw = cut(raw_events(spark, sf_dir, failing=True))
-    n = max(3, math.ceil(raw.count() / batch_rows))
-    bounds = sorted(set(raw.approxQuantile("arrival", [i / n for i in range(1, n)], 0.1 / n)))
-    raw = cut(raw.repartitionByRange("arrival").sortWithinPartitions("arrival"))  # so that a range is read from its own files
+    raw = raw_events(spark, sf_dir, failing=True)
+    arrivals = packed(raw.select("arrival"))
+    n = max(3, math.ceil(arrivals.count() / batch_rows))
+    bounds = sorted(set(arrivals.approxQuantile("arrival", [i / n for i in range(1, n)], 0.1 / n)))
+    with tidy(spark):  # a folder for each range
+        raw.withColumn("range", sum([(F.col("arrival") >= int(b)).cast("int") for b in bounds], F.lit(0))).write.partitionBy("range").parquet(f"{folder}/ranges")
     own = stateful_session(spark)
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = raw if low is None else raw.filter(F.col("arrival") >= int(low))
-        part = part if high is None else part.filter(F.col("arrival") < int(high))
-        part.write.mode("append").parquet(f"{folder}/in")
-        given = own.readStream.schema(raw.schema).parquet(f"{folder}/in")
+    cores = spark.sparkContext.defaultParallelism
+    own.conf.set("spark.sql.shuffle.partitions", min(int(own.conf.get("spark.sql.shuffle.partitions")), 2 * cores))  # each opens and commits its state in every micro-batch
+    given = None
+    for i in range(len(bounds) + 1):
+        move(spark, f"{folder}/ranges/range={i}", f"{folder}/in/{i}")
+        given = given or own.readStream.schema(raw.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
         sink = ledger_outcomes(given).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
         sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    return _ntz(stored_versions(spark.read.parquet(f"{folder}/out")), "occurred_at")
+        delete(spark, f"{folder}/in/{i}")
+    return _ntz(stored_versions(spark.read.schema(OUTCOMES).parquet(f"{folder}/out")), "occurred_at")
 
 
 def activities_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,16 @@ from __future__ import annotations
 import random
 import time
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
+from millrace import lineage
 from millrace.model import RAW_SCHEMA
 from millrace.operators.merge import apply_batch, decide, empty_state
 from millrace.operators.normalize import normalize
 from millrace.plans import events, sync_queries
+from millrace.streaming import ledger
 from millrace.streaming.ledger import ledger_outcomes, stateful_session, stored_versions
 
 NOW = datetime(2026, 5, 1)
@@ -95,3 +98,31 @@ def test_records_meet_the_state_in_their_order_however_many_files_they_come_in(s
             spark.conf.unset(k)
     want = sync_queries.ledger_state_after_failures(spark, sf)
     assert sorted(found.collect()) == sorted(want.select(found.columns).collect())
+
+
+def test_keys_of_a_bucket_do_not_mix_and_nothing_but_outcomes_and_state_stays_on_disk(spark, tmp_path, monkeypatch):
+    """All keys in one bucket, some null or known before; two starts."""
+    monkeypatch.setattr(ledger, "BUCKETS", 1)
+    draw = random.Random(9)
+    rows = [(i, draw.choice(["email", "tickets", None]), *raw(i, f"k{draw.randrange(12)}", 1 + draw.randrange(9), f"s{draw.randrange(5)}", draw.randrange(5))[2:]) for i in range(150)]
+    known, _ = apply_batch(empty_state(spark), spark.createDataFrame([raw(-1 - i, f"k{i}", 5, "s0") for i in range(4)], SCHEMA), now=NOW)
+    known["ledger"].write.parquet(f"{tmp_path}/ledger")
+    own, given = stream(spark, tmp_path)
+    for part in (rows[:80], rows[80:]):
+        write(spark, part, f"{tmp_path}/in")
+        drained(ledger_outcomes(given, ledger=own.read.parquet(f"{tmp_path}/ledger")), tmp_path)
+    found = [r for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(r["arrival"] for r in found) == list(range(150))
+    valid = normalize(spark.createDataFrame([r for r in rows if r[1]], SCHEMA), None).filter("error is null")
+    assert outcome(r for r in found if r["source"]) == outcome(decide(valid, known["ledger"]).collect())
+
+
+def test_ledger_stream_of_nothing_is_empty_and_its_input_does_not_stay(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    source.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert sync_queries.ledger_stream(spark, f"{tmp_path}/none").isEmpty()
+    folders = lambda: {str(p) for p in Path(lineage.own_dir(spark).removeprefix("file:")).rglob("*.parquet") if "/out/" not in str(p)}
+    before = folders()
+    assert not sync_queries.ledger_stream(spark, "/root/testdata/sf0.01").isEmpty()
+    left = sum(Path(p).stat().st_size for p in folders() - before)
+    assert left < 200_000  # the arrivals; all records as they came in were 1 MB and more, three times over
