@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.fields import resolve, resolve_key
-from millrace.lineage import own_dir
+from millrace.lineage import delete, own_dir, tidy
 from millrace.operators.merge import apply_batch, empty_state
 from millrace.operators.projections import contact_emails, deals, tickets
 from millrace.plans.events import AS_OF, dealt, table
@@ -116,16 +116,21 @@ def ticket_export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sync_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as a calendar, a mailbox and an export in one folder; the activities after a run over the readers of it."""
+    """All events as a calendar, a mailbox and an export in one folder; the activities after a run over the readers of it.
+
+    The files are of the rows of a task each, so they can be compressed; they are deleted when the run has read them.
+    """
     e, folder = dealt(table(spark, sf_dir, "events")), _folder(spark)
-    calendar_text(_entries(e)).write.text(f"{folder}/calendar.ics")
-    mailbox_text(_mails(e)).write.text(f"{folder}/mailbox.mbox")
+    with tidy(spark):
+        calendar_text(_entries(e)).write.text(f"{folder}/calendar.ics", compression="gzip")
+        mailbox_text(_mails(e)).write.text(f"{folder}/mailbox.mbox", compression="gzip")
     row = F.struct(
         F.col("event_id").cast("string").alias("record_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("occurred_at"), F.col("props").alias("body"),
         F.concat(F.lit("u"), _user(), F.lit("@Acme.example")).alias("contact_email"),
     )
-    write_json_arrays(e.select(F.to_json(row).alias("value")), f"{folder}/crm_export.json")
+    write_json_arrays(e.select(F.to_json(row).alias("value")), f"{folder}/crm_export.json", "gzip")
     state, _ = sync_all(empty_state(spark), build_readers(spark, folder), AS_OF)
+    delete(spark, folder)
     return state["activities"].select("source", "natural_key", "kind", "subject", "body", "contact_email", "account_name", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))
 
 

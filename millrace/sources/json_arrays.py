@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.lineage import BROADCAST_ROWS, cut
+from millrace.lineage import BROADCAST_ROWS, cut, packed, tidy
 
 _STRING = re.compile(r'"(?:[^"\\]++|\\.)*+(?:"|\Z)', re.DOTALL)
 _TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+("|\Z)|[\[\]{}]', re.DOTALL)
@@ -172,15 +172,15 @@ def read_json_arrays(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         told = rows.join(F.broadcast(begins), _RANGE)
     else:
         told = rows.withColumn("i", F.monotonically_increasing_id()).join(begins, _RANGE).repartition(*_RANGE).sortWithinPartitions(*_RANGE, "i")
-    found = cut(told.select("value", "file", "start", "inside", "stack", "opened").mapInArrow(_taken, "file string, start long, place long, opened long, value string"))
+    found = packed(told.select("value", "file", "start", "inside", "stack", "opened").mapInArrow(_taken, "file string, start long, place long, opened long, value string"))
     parts = found.filter("opened >= 0").groupBy("file", "opened").agg(F.max("place").alias("place"), F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
     joined = parts.select("file", "place", F.array_join(F.col("parts.value"), "").alias("value"))
     every = found.filter("opened < 0").select("file", "place", "value").unionByName(joined)
     return every.join(F.broadcast(numbered), "file").select("value", (F.col("number").cast("long") * _PLACES + F.col("place")).alias("arrival"))
 
 
-def write_json_arrays(rows: DataFrame, path: str) -> None:
-    """Write JSON texts as a folder of files that each hold an array. rows: value; nulls are left out."""
+def write_json_arrays(rows: DataFrame, path: str, compression: str = "none") -> None:
+    """Write JSON texts as a folder of files that each hold an array. rows: value; nulls are left out. Compressed files are read whole, a task each."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[str] = []
@@ -191,4 +191,5 @@ def write_json_arrays(rows: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_pydict({"value": pa.array([v + "," for v in values[:-1]], pa.string())})
         yield pa.RecordBatch.from_pydict({"value": [*waiting, "]"]})
 
-    rows.select("value").filter("value is not null").mapInArrow(lines, "value string").write.text(path)
+    with tidy(rows.sparkSession):
+        rows.select("value").filter("value is not null").mapInArrow(lines, "value string").write.text(path, compression=compression)

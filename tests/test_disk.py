@@ -15,7 +15,8 @@ from millrace.model import DRIFT, RAW_SCHEMA
 from millrace.operators.merge import apply_batch, decide, empty_state
 from millrace.operators.normalize import normalize
 from millrace.operators.store import Store
-from millrace.plans import batch_queries
+from millrace.plans import batch_queries, source_queries
+from millrace.sources.json_arrays import read_json_arrays, write_json_arrays
 
 NOW, LATER = datetime(2026, 1, 10), datetime(2026, 1, 11)
 
@@ -111,3 +112,20 @@ def test_counts_of_stored_tables_leave_no_shuffle(spark):
     assert counts["ledger"] == counts["activities"] > 0
     assert settled(spark, held + 500_000) <= held + 500_000
     assert own(spark) - files < 5_000_000
+
+
+def test_sources_that_were_read_do_not_stay(spark):
+    held, files = shuffled(spark), own(spark)
+    found = source_queries.sync_of_files(spark, "/root/testdata/sf0.01")
+    assert own(spark) - files < 2_500_000  # the texts alone were more
+    assert settled(spark, held + 500_000) <= held + 500_000
+    assert found.select("source", "natural_key").distinct().count() == found.count() == 28_000
+
+
+def test_compressed_arrays_are_read_back(spark, tmp_path):
+    rows = spark.range(2_000).select(F.concat(F.lit('{"n": "}{'), F.col("id").cast("string"), F.lit('", "a": [{}]}')).alias("value"))
+    write_json_arrays(rows.repartition(3), f"{tmp_path}/rows.json", "gzip")
+    assert len(list((tmp_path / "rows.json").glob("*.gz"))) >= 3
+    found = read_json_arrays(spark, f"{tmp_path}/rows.json")
+    assert sorted(r["value"] for r in found.collect()) == sorted(r["value"] for r in rows.collect())
+    assert found.select("arrival").distinct().count() == 2_000
